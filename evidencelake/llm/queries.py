@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evidencelake.llm import language_id, toxicity
+from evidencelake.llm._sample import crc_remainder
+from evidencelake.llm.decontamination import contamination
 from evidencelake.llm.near_dedup import Similarity, near_duplicates
 
 
@@ -18,8 +22,31 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Similarity(words=3, percent=85))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; crc32(doc_id) mod 3 = 1 is held out of learning."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)))
+    labels = _table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 3) != 1)
+    found = toxicity.score_toxicity(docs, toxicity.learn(docs.where(~F.col("held_out")), labels), carry=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; crc32(doc_id) mod 4 = 2 is held out of learning."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)))
+    found = language_id.identify(docs, language_id.learn(docs.where(~F.col("held_out"))), carry=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten benchmark words in all documents."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
