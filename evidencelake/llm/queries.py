@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidencelake.llm import language_id, toxicity
 from evidencelake.llm._sample import crc_remainder
 from evidencelake.llm.decontamination import contamination
+from evidencelake.llm.fingerprints import fingerprint_edits
 from evidencelake.llm.near_dedup import Similarity, near_duplicates
 
 
@@ -30,6 +31,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; crc32(doc_id) mod 4 = 2 is held out of learning."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)))
@@ -45,6 +51,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
