@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of cut tables by scope; "" holds the temporary folder of a local master.
 _KEPT: dict[str, list[str]] = {}
+_SCOPE = ["other"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,22 +29,36 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/evidencelake-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/evidencelake-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    _KEPT.setdefault(_SCOPE[0], []).append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def forget(spark: SparkSession, df: DataFrame | None = None) -> None:
-    """Delete the files of one cut table, or of all that this application has cut.
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Only for tables that no later result reads; a stage that follows a written
-    result calls it without ``df``.
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a cut table that nothing will read again."""
+    files = df.inputFiles()
+    for folders in _KEPT.values():
+        gone = [f for f in folders if files and f"/{f.rsplit('/', 1)[-1]}/" in files[0]]
+        _delete(df.sparkSession, gone)
+        folders[:] = [f for f in folders if f not in gone]
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Cut tables belong to ``name`` here; those that an earlier use of the name has left are deleted first.
+
+    For steps whose results are written before the next step begins.
     """
-    kept = _KEPT.get(spark.sparkContext.applicationId, [])
-    gone = set(kept) if df is None else {p for p in kept if any(f"{p.removeprefix('file://')}/" in f for f in df.inputFiles()[:1])}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in gone:
-        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
-        kept.remove(path)
+    _delete(spark, _KEPT.pop(name, []))
+    before, _SCOPE[0] = _SCOPE[0], name
+    try:
+        yield
+    finally:
+        _SCOPE[0] = before

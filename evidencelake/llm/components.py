@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         after = cut(_small_star(_large_star(now)), "edges")
-        forget(edges.sparkSession, now)
+        forget(now)
         now, before, state = after, state, _state(after)
         if state == before:
             break

@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
     so 0.5 is a tie and 1 a certain case; 0 with ``und``.  bits is e1, null with
     ``und``.  Repeated rows come back as often; other columns are not looked at.
     """
-    rows = docs.select(*carry, F.col(text).cast("string").alias("text"))
+    rows = docs.select(*(c for c in carry if c != "text"), F.col(text).cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictor(shared), f"{kinds}, lang_pred string, score double, bits double").drop("text")
+    return rows.mapInArrow(_predictor(shared), f"{kinds}, lang_pred string, score double, bits double").drop(*({"text"} - set(carry)))

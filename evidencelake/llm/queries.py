@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import language_id, toxicity
+from evidencelake.llm import language_id, pieces, toxicity
 from evidencelake.llm._sample import crc_remainder
 from evidencelake.llm.decontamination import contamination
 from evidencelake.llm.fingerprints import fingerprint_edits
@@ -36,6 +36,16 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and whether they decode to the text."""
+    import public_tokenizers
+
+    vocabulary = pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    size = F.coalesce(F.size("tokens"), F.lit(0)).cast("long")
+    return rows.select("doc_id", size.alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; crc32(doc_id) mod 4 = 2 is held out of learning."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)))
@@ -52,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_sentencepiece": op6_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

@@ -333,6 +333,6 @@ def score_toxicity(docs: DataFrame, field: Field, text: str = "text", carry: tup
     Repeated rows come back as often, each with the same result; other columns
     are not looked at.
     """
-    rows = docs.select(*carry, F.col(text).cast("string").alias("text"))
+    rows = docs.select(*(c for c in carry if c != "text"), F.col(text).cast("string").alias("text"))
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return rows.mapInArrow(_tagger(field, tagged), f"{kinds}, score double, spans {SPANS}").drop("text")
+    return rows.mapInArrow(_tagger(field, tagged), f"{kinds}, score double, spans {SPANS}").drop(*({"text"} - set(carry)))
