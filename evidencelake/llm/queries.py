@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import language_id, pieces, toxicity
+from evidencelake.llm import fixity, language_id, lm_scoring, pieces, quality, toxicity
 from evidencelake.llm._sample import crc_remainder
 from evidencelake.llm.decontamination import contamination
 from evidencelake.llm.fingerprints import fingerprint_edits
 from evidencelake.llm.near_dedup import Similarity, near_duplicates
+from evidencelake.llm.ngrams import flagged
+
+from evidencelake.llm.url_filters import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Similarity(words=3, percent=85))
 
 
+def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with those that ``labels`` calls good as the target."""
+    return flagged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents against the good ones."""
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), lm_scoring.learn(_good(spark, sf_dir)))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; crc32(doc_id) mod 3 = 1 is held out of learning."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)))
@@ -31,6 +44,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+#: The listed rules for urls.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls."""
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
@@ -46,6 +74,24 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the good ones; half of the rows are drawn."""
+    return quality.resample(_table(spark, sf_dir, "documents"), _good(spark, sf_dir))
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of two replicas of the WARC records of all pages.
+
+    In the second replica pages with crc32(page_id) mod 19 = 3 have their first
+    character replaced, which the audit has to find; files of 1,000 records or so.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    files = max(1, pages.count() // 1000)
+    broken = F.when(crc_remainder("page_id", 19) == 3, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    replicas = (pages, pages.withColumn("html", broken))
+    return fixity.audit(*(fixity.Tree(fixity.lay_out(fixity.page_records(p), files)) for p in replicas))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; crc32(doc_id) mod 4 = 2 is held out of learning."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)))
@@ -59,12 +105,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-    "op3_toxicity": op3_toxicity,
-    "op5_document_fingerprints": op5_document_fingerprints,
-    "op6_sentencepiece": op6_sentencepiece,
-    "op9_language_id": op9_language_id,
-    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_lm_scoring,
+        op3_toxicity,
+        op4_url_filters,
+        op5_document_fingerprints,
+        op6_sentencepiece,
+        op7_quality_resampling,
+        op8_warc_fixity,
+        op9_language_id,
+        op10_benchmark_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
