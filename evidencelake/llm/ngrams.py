@@ -23,14 +23,14 @@ def flagged(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def counted(batches: Iterator[pa.RecordBatch], keys) -> Iterator[pa.RecordBatch]:
-    """(key, n, n_target) of each step; ``keys`` turns the words of a step and their rows into keys and their rows."""
+def counted(batches: Iterator[pa.RecordBatch], keys, words: np.ndarray = _text.ALNUM) -> Iterator[pa.RecordBatch]:
+    """(key, n, n_target) of each step; ``keys`` turns the words of a step and their rows into keys and their rows, ``words`` are the bytes of words."""
     for batch in batches:
         target = batch.column("target").to_numpy(zero_copy_only=False)
         data, offsets = _text.buffers(batch.column("text"))
         for low, high in _text.steps(offsets, 8 * _text.STEP_BYTES):
             part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-            starts, ends, first = _text.spans(part, at, _text.ALNUM)
+            starts, ends, first = _text.spans(part, at, words)
             row = np.searchsorted(first[1:], np.arange(len(starts)), side="right")
             found, row = keys(_text.word_hashes(part, starts, ends), row)
             own = target[low:high][row]

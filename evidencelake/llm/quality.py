@@ -1,5 +1,6 @@
 """Quality by importance resampling of hashed n-grams.
 
+Words are runs of anything but white space, so that marks stuck to words count.
 Two bags of hashed unigrams and bigrams are counted over all texts: the target's
 and the raw corpus's.  A text's log importance weight is the mean log ratio of the
 two smoothed distributions over its n-grams, times ``scale`` n-grams, so that long
@@ -46,7 +47,7 @@ def ratios(rows: DataFrame, r: Resampling = Resampling()) -> np.ndarray:
     """log of target over raw probability of each bucket, from ``rows`` (text, target); the raw corpus is all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(batches, lambda hashes, row: _grams(hashes, row, r.buckets))
+        yield from counted(batches, lambda hashes, row: _grams(hashes, row, r.buckets), _text.NON_SPACE)
 
     n = np.ones((2, r.buckets))
     for x in totals(rows, run).collect():  # at most one row a bucket
@@ -58,7 +59,7 @@ def ratios(rows: DataFrame, r: Resampling = Resampling()) -> np.ndarray:
 def _weigher(ratio: np.ndarray, r: Resampling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, hashes, first in _text.tokens(batch.column("text"), _text.ALNUM):
+            for low, high, hashes, first in _text.tokens(batch.column("text"), _text.NON_SPACE):
                 row = np.searchsorted(first[1:], np.arange(len(hashes)), side="right")
                 grams, own = _grams(hashes, row, r.buckets)
                 n = np.bincount(own, minlength=high - low)
