@@ -8,7 +8,7 @@ small buckets also form their other pairs.  Pairs whose signatures agree well
 enough are confirmed on the full sets.  Links are first confirmed for one
 partner per class; later pairs are looked at only where they would join two
 components, and buckets that still hold several components are taken up again
-(see ``_rest``).  Nothing is gathered per group: hot classes and buckets are
+by an exact rule (see ``NearDuplicates.rest``).  Nothing is gathered per group: hot classes and buckets are
 skewed join keys on the side that adaptive execution splits.
 """
 
@@ -39,7 +39,8 @@ class Similarity:
     words: words in a shingle.  percent: least Jaccard similarity, in hundredths.
     rows: minima in a band.  miss: most chance that a pair at the least similarity
     shares no band; it sets the number of bands.  together: buckets of up to so
-    many classes form all their pairs at once.
+    many classes form all their pairs at once.  common: classes that hold a common
+    shingle, see ``NearDuplicates.rest``.
     """
 
     words: int = 5
@@ -47,6 +48,7 @@ class Similarity:
     rows: int = 6
     miss: float = 1e-6
     together: int = 12
+    common: int = 64
 
     @property
     def bands(self) -> int:
@@ -181,9 +183,9 @@ class NearDuplicates:
         both = _meet(pairs, classes.select("cid", F.col("signature").alias("value")))
         return both.mapInArrow(_agreement, "a long, b long, agreement double").where(F.col("agreement") >= self.p.least_agreement).select("a", "b")
 
-    def sets(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The full sets of the classes in ``pairs``, each from the text of one member."""
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("rep", "cid", "d1", "d2"), "wanted")
+    def sets(self, cids: DataFrame, classes: DataFrame) -> DataFrame:
+        """The full sets of classes, each from the text of one member."""
+        ids = cut(cids.distinct().join(classes, "cid").select("rep", "cid", "d1", "d2"), "wanted")
         if ids.count() * 32 < BROADCAST_BYTES:
             ids = F.broadcast(ids)
         found = self.docs.join(ids, F.col("doc_id") == F.col("rep")).select("cid", "d1", "d2", "text").mapInArrow(_sets(self.p.words), "cid long, shingles array<long>")
@@ -201,40 +203,59 @@ class NearDuplicates:
         two = one.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return two.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def unsettled(self, placed: DataFrame, buckets: DataFrame, labels: DataFrame, block: int = 64) -> DataFrame:
-        """Pairs across components in buckets that met only their smallest class.
-
-        Such a bucket is rare: it holds more classes than ``together`` that share
-        all minima of a band and yet are not linked.  Its classes meet in blocks
-        of about ``block``, with the sizes and components compared in the join, so
-        that only pairs that could still join two components come out.
-        """
-        large = placed.join(buckets.where(F.col("size") > self.p.together).select("key", "size"), "key").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    def unsettled(self, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members (key, cid, n, component) of crowded buckets that hold several components."""
+        large = crowded.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        dealt = large.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-        one = dealt.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("cid").alias("a"), "n", F.col("component").alias("ca"))
-        two = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-        met = one.join(two, ["key", "i", "j"]).where((F.col("ca") != F.col("cb")) & self.fits() & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))))
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return cut(large.join(mixed, "key"), "unsettled")
+
+    def rest(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Every pair of ``members`` that could still link two components.
+
+        Members of a crowded bucket met only its smallest class.  Among them a
+        shingle is common if ``common`` or more hold it.  Two sets that overlap
+        enough either share a shingle that is not common, and meet on it in a list
+        shorter than ``common``, or have no more in common than the smaller count of
+        common shingles c, so that (100 + percent) * c >= percent * (n + m).  Sets with
+        so few other shingles meet in their buckets, where the ones outside the most
+        frequent component meet all others.
+        """
+        p, common = self.p, self.p.common
+        own = members.select("cid", "n", "component").distinct()
+        items = cut(own.join(sets, "cid").select("cid", "n", "component", F.explode("value").alias("item")), "items")
+        often = items.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+        shared = cut(items.join(often, "item"), "shared")
+        rare = shared.where(F.col("held") < common)
+        left, right = (rare.select("item", *(F.col(c).alias(f"{c}{side}") for c in ("cid", "n", "component"))) for side in "12")
+        fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * p.percent
+        meet = left.join(right, "item").where((F.col("cid1") < F.col("cid2")) & (F.col("component1") != F.col("component2")) & fits).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
+        counts = shared.where(F.col("held") >= common).groupBy("cid").agg(F.count("*").alias("c"))
+        poor = members.join(counts, "cid").where(F.col("c") * 100 >= F.col("n") * p.percent)
+        main = poor.groupBy("key").agg(F.mode("component", True).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "main")
+        poor = poor.join(main, "key")
+        odd, every = (poor.select("key", *(F.col(c).alias(f"{c}{side}") for c in ("cid", "n", "component", "c", "main"))) for side in "12")
+        bound = F.least("c1", "c2") * (100 + p.percent) >= (F.col("n1") + F.col("n2")) * p.percent
+        others = odd.where("component1 <> main1").join(every, "key").where((F.col("component1") != F.col("component2")) & fits & bound).select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b"))
+        return meet.unionByName(others).distinct()
 
     def run(self) -> DataFrame:
         members, classes = self.classes()
         placed = classes.select("cid", "n", F.explode("bands").alias("key"))
-        buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("pivot"), F.min(F.struct("cid", "n")).alias("least")).where("size > 1").select("key", "size", "pivot", F.col("least.n").alias("pivot_n"))
+        buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cid", "n")).alias("least")).where("size > 1").select("key", "size", F.col("least.cid").alias("pivot"), F.col("least.n").alias("pivot_n"))
         buckets = cut(buckets, "buckets")
         pairs = cut(self.agreeing(self.candidates(placed, buckets), classes), "pairs")
-        sets = self.sets(pairs, classes)
+        crowded = cut(placed.join(buckets.where(F.col("size") > self.p.together).select("key"), "key"), "crowded")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(crowded.select("cid")), classes)
         first = pairs.groupBy("b").agg(F.min("a").alias("a"))
         edges = cut(self.linked(first, sets), "links")
         labels = connected_components(edges)
         others = self.apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
-        more = cut(self.linked(others, sets), "links")
-        labels = connected_components(edges.unionByName(more))
-        rest = cut(self.unsettled(placed, buckets, labels), "rest")
-        if not rest.isEmpty():
-            rest = cut(self.agreeing(rest, classes), "rest")
-            last = cut(self.linked(rest, self.sets(rest, classes)), "links")
-            labels = connected_components(edges.unionByName(more).unionByName(last))
+        edges = edges.unionByName(cut(self.linked(others, sets), "links"))
+        labels = connected_components(edges)
+        unsettled = self.unsettled(crowded, labels)
+        if not unsettled.isEmpty():
+            rest = self.agreeing(cut(self.rest(unsettled, sets), "rest"), classes)
+            labels = connected_components(edges.unionByName(cut(self.linked(rest, sets), "links")))
         reps = classes.select(F.col("cid").alias("node"), "rep").join(labels, "node")
         least = reps.groupBy("component").agg(F.min("rep").alias("least"))
         named = reps.select("node", "component").join(least, "component").select(F.col("node").alias("cid"), "least")
