@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evidencelake.plans import retrieval
+
+QUERIES: dict = dict(retrieval.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(retrieval.ORACLE_SQL)
