@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidencelake.plans import retrieval
+from evidencelake.plans import research, retrieval
 
-QUERIES: dict = dict(retrieval.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(retrieval.ORACLE_SQL)
+QUERIES: dict = retrieval.QUERIES | research.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | research.ORACLE_SQL
