@@ -20,6 +20,8 @@ _SEQ = U64(0xD6E8FEB86659FD93)
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
 
 
 def _table(inside) -> np.ndarray:
@@ -46,6 +48,8 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUES = _byte_values()
+#: The same with A-Z apart from a-z.
+EXACT = mix(np.arange(1, 257, dtype=U64) * _BASE)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -62,6 +66,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return p[:n], q[:n]
 
 
+def small_batches(spark) -> None:
+    """Let the session hand texts to Python in batches of at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices ``pool[start : start + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,13 +120,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z lower-cased."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, with A-Z lower-cased unless ``values`` holds other numbers for the bytes."""
     if not len(starts):
         return np.zeros(0, U64)
     p, q = _powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_VALUES[data] * p, out=sums[1:])
+    np.cumsum((_VALUES if values is None else values)[data] * p, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * q[starts])
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from evidencelake.llm._store import cut, forget
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a node without one: the components are stars."""
+    rows, ends = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return rows == ends and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,22 +29,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Columns ``node`` and ``component`` (its smallest node) of all nodes in ``edges`` (u, v: long).
 
     Each round is two aggregations with map-side combining and two equi-joins;
     no neighbour list is ever gathered, so a node with a third of all edges is
-    only a skewed join key, which adaptive execution splits.  The rounds end
-    when the edges no longer change; every component is then a star.  Loops and
-    repeated edges are allowed; rows with a null end are dropped.
+    only a skewed join key, which adaptive execution splits.  The rounds end when
+    every component is a star, or after ``rounds``: nodes of one component then
+    are connected, but connected nodes may still have several components.  Loops
+    and repeated edges are allowed; rows with a null end are dropped.
     """
-    edges = edges.select("u", "v").where("u <> v").distinct()
-    now = cut(edges, "edges")
-    state = _state(now)
-    while state[0]:
-        after = cut(_small_star(_large_star(now)), "edges")
-        forget(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    done = 0
+    while done != rounds and not _stars(now):
+        before, now = now, cut(_small_star(_large_star(now)), "edges")
+        forget(before)
+        done += 1
+    least = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    roots = now.select(F.col("v").alias("node")).distinct().join(least, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return least.unionByName(roots)

@@ -3,8 +3,8 @@
 Plan.  One pass hashes every text to its set of word shingles and keeps a
 digest of the set, ``bands`` keys of ``rows`` minima each, and one byte of each
 minimum.  Texts with equal sets form a class, of which one member goes on.
-Within a bucket of one band every class meets the smallest class of the bucket;
-small buckets also form their other pairs.  Pairs whose signatures agree well
+Within a small bucket of one band all classes meet, within a crowded one each
+meets the bucket's hub.  Pairs whose signatures agree well
 enough are confirmed on the full sets.  Links are first confirmed for one
 partner per class; later pairs are looked at only where they would join two
 components, and buckets that still hold several components are taken up again
@@ -47,7 +47,7 @@ class Similarity:
     percent: int = 80
     rows: int = 6
     miss: float = 1e-6
-    together: int = 12
+    together: int = 8
     common: int = 64
 
     @property
@@ -157,6 +157,7 @@ class NearDuplicates:
     """The steps of ``near_duplicates``; each returns a DataFrame."""
 
     def __init__(self, docs: DataFrame, p: Similarity):
+        _text.small_batches(docs.sparkSession)
         self.docs, self.p = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), p
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
@@ -171,10 +172,16 @@ class NearDuplicates:
         """Whether two set sizes, n and m, allow the similarity."""
         return F.least("n", "m") * 100 >= F.greatest("n", "m") * self.p.percent
 
-    def candidates(self, placed: DataFrame, buckets: DataFrame) -> DataFrame:
-        """Pairs of classes that share a bucket: each with the smallest, and all of small buckets."""
-        star = placed.join(buckets, "key").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), "n", F.col("pivot_n").alias("m")).where(self.fits()).select("a", "b")
-        few = placed.join(buckets.where(F.col("size").between(3, self.p.together)).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cid", "n"))).alias("g"))
+    def candidates(self, placed: DataFrame, buckets: DataFrame, crowded: DataFrame) -> DataFrame:
+        """Pairs of classes that share a bucket: all of a small one, and each of a crowded one with its hub.
+
+        The hub is the member that is in the most and largest crowded buckets, so
+        that the buckets of one group of copies agree on a few hubs near its middle.
+        """
+        weight = crowded.groupBy("cid").agg(F.sum("size").alias("weight"))
+        hubs = crowded.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("last"), "n")).alias("hub")).select("key", (-F.col("hub.last")).alias("hub"), F.col("hub.n").alias("m"))
+        star = crowded.join(hubs, "key").where("cid <> hub").where(self.fits()).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+        few = placed.join(buckets.where(F.col("size") <= self.p.together).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cid", "n"))).alias("g"))
         inside = F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(x.cid.alias("a"), y.cid.alias("b"), x.n.alias("n"), y.n.alias("m"))))
         return star.unionByName(few.select(F.inline(F.flatten(inside))).where(self.fits()).select("a", "b")).distinct()
 
@@ -205,14 +212,14 @@ class NearDuplicates:
 
     def unsettled(self, crowded: DataFrame, labels: DataFrame) -> DataFrame:
         """Members (key, cid, n, component) of crowded buckets that hold several components."""
-        large = crowded.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        large = crowded.drop("size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         return cut(large.join(mixed, "key"), "unsettled")
 
     def rest(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Every pair of ``members`` that could still link two components.
 
-        Members of a crowded bucket met only its smallest class.  Among them a
+        Members of a crowded bucket met only its hub.  Among them a
         shingle is common if ``common`` or more hold it.  Two sets that overlap
         enough either share a shingle that is not common, and meet on it in a list
         shorter than ``common``, or have no more in common than the smaller count of
@@ -241,21 +248,22 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         members, classes = self.classes()
         placed = classes.select("cid", "n", F.explode("bands").alias("key"))
-        buckets = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cid", "n")).alias("least")).where("size > 1").select("key", "size", F.col("least.cid").alias("pivot"), F.col("least.n").alias("pivot_n"))
-        buckets = cut(buckets, "buckets")
-        pairs = cut(self.agreeing(self.candidates(placed, buckets), classes), "pairs")
-        crowded = cut(placed.join(buckets.where(F.col("size") > self.p.together).select("key"), "key"), "crowded")
+        buckets = cut(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+        crowded = cut(placed.join(buckets.where(F.col("size") > self.p.together), "key"), "crowded")
+        pairs = cut(self.agreeing(self.candidates(placed, buckets, crowded), classes), "pairs")
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(crowded.select("cid")), classes)
         first = pairs.groupBy("b").agg(F.min("a").alias("a"))
         edges = cut(self.linked(first, sets), "links")
-        labels = connected_components(edges)
+        labels = connected_components(edges, rounds=1)  # enough to leave most pairs aside
         others = self.apart(pairs.join(first, ["a", "b"], "left_anti"), labels)
         edges = edges.unionByName(cut(self.linked(others, sets), "links"))
         labels = connected_components(edges)
         unsettled = self.unsettled(crowded, labels)
         if not unsettled.isEmpty():
             rest = self.agreeing(cut(self.rest(unsettled, sets), "rest"), classes)
-            labels = connected_components(edges.unionByName(cut(self.linked(rest, sets), "links")))
+            last = cut(self.linked(rest, sets), "links")
+            if not last.isEmpty():
+                labels = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(last))
         reps = classes.select(F.col("cid").alias("node"), "rep").join(labels, "node")
         least = reps.groupBy("component").agg(F.min("rep").alias("least"))
         named = reps.select("node", "component").join(least, "component").select(F.col("node").alias("cid"), "least")
