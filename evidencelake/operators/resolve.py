@@ -109,3 +109,32 @@ def similarities(pairs: DataFrame, text: str) -> DataFrame:
 
 def in_order(group: str) -> Window:
     return Window.partitionBy(group).orderBy("event_id")
+
+
+def candidates(scored: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs worth a merge: of one exact day with the least score, or of a nearer date relation with more in common.
+
+    scored has relation, score, containment, shared and mutual.
+    """
+    exact = (F.col("relation") == "exact_day") & (F.col("score") >= least)
+    relaxed = (F.col("relation") != "exact_day") & (F.col("score") >= least) & (F.col("containment") >= 0.7) & (F.col("shared") > 0) & F.col("mutual")
+    return scored.where(exact | relaxed)
+
+
+def participants(rows: DataFrame, group: str) -> DataFrame:
+    """One row of each person and mention of a group (person_id, mention, role, source_rank): subjects first, then the better source, then those with a role."""
+    order = [F.desc(F.coalesce(F.col("role") == "subject", F.lit(False))), "source_rank", F.desc(F.col("role").isNotNull()), "event_id"]
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(group, "person_id", "mention").orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def canonical(members: DataFrame, pairs: DataFrame, separator: str = "\x1f") -> DataFrame:
+    """component, canonical_event_id, members, score (mean of its pairs) and event_type of each component.
+
+    members has component, event_id and event_type; pairs has component and score.
+    The id is a hash of the sorted member ids; the type is the one all agree on, or
+    ``mixed``.
+    """
+    ids = F.array_join(F.transform(F.array_sort(F.collect_set("event_id")), lambda i: i.cast("string")), separator)
+    kinds = F.collect_set("event_type")
+    grouped = members.groupBy("component").agg(F.concat(F.lit("canonical_"), F.substring(F.sha2(ids, 256), 1, 32)).alias("canonical_event_id"), F.count_distinct("event_id").alias("members"), F.when(F.size(kinds) == 1, F.array_max(kinds)).otherwise("mixed").alias("event_type"))
+    return grouped.join(pairs.groupBy("component").agg(F.round(F.avg("score"), 6).alias("score")), "component")
