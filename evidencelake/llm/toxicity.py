@@ -44,7 +44,7 @@ SLOTS = len(PREFIXES) + 1
 class Fitting:
     """Bounds and settings: documents of each label; least toxic documents, odds and z of a feature; features that explain a document; windows and their length."""
 
-    documents: int = 1500
+    documents: int = 1000
     least_documents: int = 4
     least_odds: float = 8.0
     least_z: float = 3.0
@@ -333,6 +333,7 @@ def score_toxicity(docs: DataFrame, field: Field, text: str = "text", carry: tup
     Repeated rows come back as often, each with the same result; other columns
     are not looked at.
     """
+    _text.small_batches(docs.sparkSession)
     rows = docs.select(*(c for c in carry if c != "text"), F.col(text).cast("string").alias("text"))
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
     return rows.mapInArrow(_tagger(field, tagged), f"{kinds}, score double, spans {SPANS}").drop(*({"text"} - set(carry)))
