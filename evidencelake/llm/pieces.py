@@ -14,9 +14,9 @@ path; the best path of a part is kept and used again.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,10 @@ from evidencelake.llm import _text
 MARK = "▁"
 #: Pieces of a lower score are a last resort and count like unknown characters, which cost so much more than the worst other piece.
 _RESORT, _PENALTY = -1e8, 10.0
-_PARTS = re.compile(r" +[^ \n▁]*|[^ \n▁]+|\n|▁")
+_MARK_BYTES = MARK.encode()
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Parts whose paths a worker keeps; when they are more, it starts afresh.
-_KEPT_PARTS = 400_000
+#: Parts whose paths a worker keeps in each of two generations.
+_KEPT_PARTS = 150_000
 
 
 @dataclass(frozen=True)
@@ -72,8 +72,12 @@ class Coder:
                 self.automaton.add_word(piece, (len(piece), score if score > _RESORT else self.unknown, i))
         self.automaton.make_automaton()
         self.of_byte = {i: b for b, i in enumerate(self.bytes)}
-        self.texts = [p.replace(MARK, " ") for p in vocabulary.pieces]
-        self.known: dict[str, tuple[int, ...]] = {}
+        raw = [bytes([self.of_byte[i]]) if k == 1 else p.replace(MARK, " ").encode() if k == 0 else b"" for i, (p, k) in enumerate(zip(vocabulary.pieces, vocabulary.kinds, strict=True))]
+        self.sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.known: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
 
     def best(self, text: str) -> tuple[int, ...]:
         """The ids of the best path through ``text``; of equal scores the longest last piece."""
@@ -107,36 +111,67 @@ class Coder:
             n -= length
         return tuple(reversed(out))
 
-    def part(self, raw: str) -> tuple[int, ...]:
+    def part(self, raw: bytes) -> bytes:
+        """The ids of one part of a text, see ``parts``, as 32-bit numbers."""
         ids = self.known.get(raw)
+        if ids is not None:
+            return ids
+        ids = self.aged.get(raw)
         if ids is None:
-            if len(self.known) >= _KEPT_PARTS:
-                self.known.clear()
-            ids = tuple(self.bytes[b] for b in raw.encode()) if raw in ("\n", MARK) else self.best(raw.replace(" ", MARK))
-            if len(raw) <= 64:
-                self.known[raw] = ids
+            path = [self.bytes[b] for b in raw] if raw in (b"\n", _MARK_BYTES) else self.best(raw.decode().replace(" ", MARK))
+            ids = array("i", path).tobytes()
+        if len(raw) <= 64:
+            if len(self.known) >= _KEPT_PARTS:  # what has not been used again since the last time goes
+                self.aged, self.known = self.known, {}
+            self.known[raw] = ids
         return ids
 
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after the other, and where each row's begin (and the total)."""
+        full = np.flatnonzero(np.diff(offsets))
+        text = np.insert(data, offsets[full], 0x20)
+        grown = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
+        if not len(text):
+            return np.zeros(0, np.int32), grown
+        starts = parts(text, grown)
+        ends = np.append(starts[1:], len(text))
+        _, first, inverse = np.unique(_text.word_hashes(text, starts, ends, _text.EXACT), return_index=True, return_inverse=True)
+        raw = text.tobytes()
+        paths = [self.part(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        sizes = np.fromiter(map(len, paths), dtype=np.int64, count=len(paths)) // 4
+        pool = np.frombuffer(b"".join(paths), dtype=np.int32)
+        each = sizes[inverse]
+        flat = _text.gather(pool, (np.cumsum(sizes) - sizes)[inverse], each)
+        return flat, np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, grown)]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.part, _PARTS.findall(" " + text)))) if text else []
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return self.encode_all(data, np.array([0, len(data)]))[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of rows of ids: the bytes of all pieces, without the first space."""
+        sizes = self.sizes[ids]
+        raw = _text.gather(self.pool, self.begins[ids], sizes).tobytes()
+        at = np.concatenate([[0], np.cumsum(sizes)])[offsets].tolist()
+        return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``; ids of no text are nothing, and bytes that are no UTF-8 become U+FFFD."""
-        out, held = [], bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if self.vocabulary.kinds[i] == 0:
-                out.append(self.texts[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0]
+
+
+def parts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the parts of rows of bytes: runs of spaces with what follows, line breaks, marks, and the rest between them."""
+    space, line = text == 0x20, text == 0x0A
+    begins = line.copy()
+    begins[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    begins[0] = True
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    mark = np.flatnonzero(text[:-2] == _MARK_BYTES[0]) if len(text) > 2 else np.zeros(0, np.int64)
+    mark = mark[(text[mark + 1] == _MARK_BYTES[1]) & (text[mark + 2] == _MARK_BYTES[2])]
+    begins[mark] = True
+    after = mark + 3
+    begins[after[after < len(text)]] = True
+    return np.flatnonzero(begins)
 
 
 _CODERS: dict[int, Coder] = {}
@@ -163,17 +198,13 @@ def _share(df: DataFrame, vocabulary: Vocabulary) -> _Shared:
 def _encoder(shared: _Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
-        at = None
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            _, offsets = _text.buffers(batch.column("text"))
+            column = batch.column("text")
+            data, offsets = _text.buffers(column)
             for low, high in _text.steps(offsets):
+                ids, at = coder.encode_all(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 part = batch.slice(low, high - low)
-                ids = [None if t is None else coder.encode(t) for t in part.column(at).to_pylist()]
-                size = [0 if x is None else len(x) for x in ids]
-                flat = np.fromiter(chain.from_iterable(x for x in ids if x), dtype=np.int32, count=sum(size))
-                ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(ends, pa.array(flat), mask=pa.array([x is None for x in ids]))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=column.slice(low, high - low).is_null())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "tokens"])
 
     return run
@@ -185,8 +216,10 @@ def _decoder(shared: _Shared):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = [None if x is None else coder.decode(x) for x in part.column("tokens").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                tokens = part.column("tokens")
+                size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts = coder.decode_all(tokens.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string(), mask=tokens.is_null().to_numpy(zero_copy_only=False))], names=[*part.schema.names, "decoded"])
 
     return run
 
@@ -200,6 +233,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     A null text has null tokens, an empty one none.  Repeated rows each come back.
     """
+    _text.small_batches(docs.sparkSession)
     rows = docs.drop("tokens").withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(_encoder(_share(docs, vocabulary)), f"{_kinds(rows)}, tokens array<int>")
 
@@ -210,5 +244,6 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Null tokens decode to null.  What ``encode`` has made of a text decodes to
     exactly that text.
     """
+    _text.small_batches(rows.sparkSession)
     rows = rows.drop("decoded")
     return rows.mapInArrow(_decoder(_share(rows, vocabulary)), f"{_kinds(rows)}, decoded string")
