@@ -69,3 +69,41 @@ def quote_matches(quote: Column, page: Column) -> Column:
     anchors = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.length(quote) - 1) / size).cast("int")), lambda i: F.substring(quote, i * size + 1, size)), lambda a: F.length(a) == size)
     share = F.size(F.filter(anchors, lambda a: F.contains(page, a))) / F.greatest(F.size(anchors), F.lit(1))
     return F.when(F.length(quote) == 0, F.lit(False)).otherwise(F.contains(page, quote) | (share >= 0.6))
+
+
+def disposition(answer: Column, status: Column, refusals: str) -> Column:
+    """refused, partial or answered: a refusal by status or wording, partial evidence, or an answer."""
+    refused = (status == "no_evidence") | answer.rlike(refusals) | (F.length(F.trim(answer)) == 0)
+    return F.when(refused, "refused").when(status == "partial", "partial").otherwise("answered")
+
+
+def fact_coverage(facts: DataFrame, answers: DataFrame) -> DataFrame:
+    """case_id, fact_id and covered of each of ``facts`` (case_id, fact_id, patterns, judged).
+
+    A fact is covered if the answer, letters and digits only, holds one of its
+    patterns; without patterns the judge's verdict counts, and without that it is
+    unknown (null).
+    """
+    from evidencelake.functions import text as T
+
+    both = facts.join(answers.select("case_id", T.comparable("answer").alias("__answer")), "case_id", "left")
+    held = F.exists("patterns", lambda p: F.contains(F.col("__answer"), F.lower(F.regexp_replace(p, r"[^\p{L}\p{N}]", ""))))
+    known = F.coalesce(F.size("patterns"), F.lit(0)) > 0
+    return both.select("case_id", "fact_id", F.when(known, F.coalesce(held, F.lit(False))).otherwise(F.col("judged")).alias("covered"))
+
+
+def coverage_summary(covered: DataFrame) -> DataFrame:
+    """One row: the mean over cases of the share of known facts covered, the share over all known facts, and how many are known."""
+    cases = covered.where("covered IS NOT NULL").groupBy("case_id").agg(F.avg(F.col("covered").cast("double")).alias("share"), F.count("*").alias("known"), F.count_if("covered").alias("found"))
+    return cases.agg(F.avg("share").alias("macro"), F.try_divide(F.sum("found").cast("double"), F.sum("known")).alias("micro"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"))
+
+
+def category(tags: Column, order: list[str], refusal: Column) -> Column:
+    """The first of ``order`` among the tags; refusals are one of their own."""
+    first = F.get(F.filter(F.array(*map(F.lit, order)), lambda t: F.array_contains(tags, t)), F.lit(0))
+    return F.when(refusal, "refusal").otherwise(first)
+
+
+def consistent_hash(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group and whether all its rows that have a ``value`` share it."""
+    return rows.groupBy(group).agg((F.count_distinct(value) <= 1).alias("consistent"))
