@@ -10,6 +10,8 @@ CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 CJK_RUN = rf"{CJK}+"
 LATIN = r"[A-Za-z]+(?:[-_][A-Za-z0-9]+)*|[0-9]+(?:\.[0-9]+)?"
 YEAR = r"(?<![0-9])((?:18|19|20)[0-9]{2})(?![0-9])"
+#: What stands between terms of the ranked index.
+TERM_BREAK = r"[^\p{L}\p{N}]+"
 #: Limits of page classes.
 SHORT_TEXT, REPLACEMENT_RATIO = 50, 0.01
 LOW_OCR_CHARACTERS, LOW_OCR_CJK = 20, 5
@@ -89,7 +91,7 @@ def index_tokens(c: Column | str) -> Column:
 
 def ranked_terms(c: Column | str) -> Column:
     """Terms as the ranked index splits them: runs of letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(_column(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(_column(c)), TERM_BREAK), lambda w: w != "")
 
 
 def query_tokens(c: Column | str, stop: tuple[str, ...] = (), edges: str = "") -> Column:
