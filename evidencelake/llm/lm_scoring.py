@@ -1,35 +1,44 @@
 """Cross-entropy difference of two bigram models that share a vocabulary.
 
 The target model counts the target documents, the background model all of them;
-both have the same vocabulary (the most frequent words of all documents, and one
-token for the rest), order and smoothing.  A document's score is the mean, over its
-tokens, of the background's log probability less the target's: the lower, the more
-the document is like the target.
-
-Counts cover every document.  A bigram's probability is (c(v, w) + k P(w)) /
-(c(v) + k) with P the smoothed unigram model.  Bigrams that are rarer than the
-model's size allows fall back to P in both models; the model's size is a bound on
-what is shared with the executors, not on what is counted.
+both have the same vocabulary (every word of all documents, and one token for
+words that are not among them), order and smoothing.  A document's score is the
+mean, over its tokens, of the background's log probability less the target's: the
+lower, the more the document is like the target.
+
+Counts cover every document, word and bigram.  A bigram's probability is
+(c(v, w) + k P(w)) / (c(v) + k) with P the smoothed unigram model.  Its logarithm is
+a sum of terms of the word w, the context v and the bigram, each zero where nothing
+was counted.  Terms of the most frequent words and bigrams are shared with the
+executors; a document asks for all others by key, in a join with the whole model.
+Terms are whole multiples of 1 / ``UNIT``, so that sums do not depend on which terms
+are shared, nor on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm import _text
 from evidencelake.llm._store import cut
-from evidencelake.llm.ngrams import counted, totals
+
+#: Parts of a nat in which terms are counted.
+UNIT = 10**9
+#: Turns the key of a word into its key as a context.
+_CONTEXT = 0x5851F42D4C957F2D
+_ORDER = _text.U64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Size:
-    """Words of the vocabulary, bigrams of the shared model, and the weight k of the unigram model."""
+    """Words and bigrams whose terms are shared, at most, and the weight k of the unigram model; results depend on k only."""
 
     words: int = 20_000
     bigrams: int = 400_000
@@ -37,58 +46,71 @@ class Size:
 
 
 @dataclass
-class Models:
-    """Sorted word hashes; unigram log probabilities and context counts (background, target); sorted bigrams and their counts."""
+class Shared:
+    """Sorted keys of words and bigrams; terms (background, target) of words, of contexts and of bigrams; log of both unigram totals."""
 
     words: np.ndarray
     unigrams: np.ndarray
     contexts: np.ndarray
     bigrams: np.ndarray
-    counts: np.ndarray
-    backing: float
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Token of each word: its place in the vocabulary, or the vocabulary's size."""
-        return ids(self.words, hashes)
-
-    def losses(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log P of both models of each token; at ``begins`` there is no context."""
-        uni = self.unigrams[:, tokens]
-        before = np.concatenate([[0], tokens[:-1]])
-        pair = before * (len(self.words) + 1) + tokens
-        n = np.zeros((2, len(tokens)))
-        if len(self.bigrams):
-            at = np.minimum(np.searchsorted(self.bigrams, pair), len(self.bigrams) - 1)
-            hit = self.bigrams[at] == pair
-            n[:, hit] = self.counts[:, at[hit]]
-        out = np.log(n + self.backing * np.exp(uni)) - np.log(self.contexts[:, before] + self.backing)
-        out[:, begins] = uni[:, begins]
-        return out
-
-
-def ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, len(words))
+    pairs: np.ndarray
+    totals: np.ndarray
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from counted(batches, lambda hashes, row: (hashes.astype(np.int64), row))
+@dataclass
+class Models:
+    """What is shared, and the terms (key, background, target) of all words, contexts and bigrams."""
 
+    shared: Shared
+    terms: DataFrame
 
-def _pairs(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
 
-        def keys(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            tokens = ids(words, hashes)
-            inside = row[1:] == row[:-1]
-            return (tokens[:-1] * (len(words) + 1) + tokens[1:])[inside], row[1:][inside]
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """Key of each word with the next."""
+    return _text.mix(hashes[:-1] * _ORDER + hashes[1:])
 
-        yield from counted(batches, keys)
 
-    return run
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in the sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hash of each word of a step, whether the next word follows it in its row, and whether the row is a target."""
+    for batch in batches:
+        target = batch.column("target").to_numpy(zero_copy_only=False)
+        data, offsets = _text.buffers(batch.column("text"))
+        for low, high in _text.steps(offsets, 8 * _text.STEP_BYTES):
+            part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            starts, ends, first = _text.spans(part, at, _text.ALNUM)
+            row = np.repeat(np.arange(high - low), np.diff(first))
+            yield _text.word_hashes(part, starts, ends), np.append(row[1:] == row[:-1], False)[: len(row)], target[low:high][row]
+
+
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == _text.U64 else x.astype(np.int64)) for x in columns.values()], names=list(columns))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for hashes, followed, own in _tokens(batches):
+        values, inverse = np.unique(hashes, return_inverse=True)
+        count = lambda where: np.bincount(inverse[where], minlength=len(values))
+        yield _batch({"word": values, "n": count(slice(None)), "n_target": count(own), "c": count(followed), "c_target": count(own & followed)})
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for hashes, followed, own in _tokens(batches):
+        inside = followed[:-1]
+        values, at, inverse, n = np.unique(pair_keys(hashes)[inside], return_index=True, return_inverse=True, return_counts=True)
+        yield _batch({"key": values, "word": hashes[1:][inside][at], "n": n, "n_target": np.bincount(inverse[own[:-1][inside]], minlength=len(values))})
+
+
+def _counts(rows: DataFrame, run, keys: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    kinds = ", ".join(f"{c} long" for c in keys + sums)
+    return rows.select("text", "target").mapInArrow(run, kinds).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def _columns(df: DataFrame):
@@ -108,44 +130,89 @@ def _least(pairs: DataFrame, most: int) -> int:
     return least or (1 << 62)
 
 
+def _units(nats: Column) -> Column:
+    return F.round(nats * float(UNIT)).cast("long")
+
+
 def learn(rows: DataFrame, size: Size = Size()) -> Models:
     """Models of ``rows`` (text, target); the background is all rows."""
     _text.small_batches(rows.sparkSession)
-    spark = rows.sparkSession
-    words = cut(totals(rows, _words), "words")
-    all_n, all_target = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    top = {c: x.to_numpy() for c, x in _columns(words.orderBy(F.desc("n"), "key").limit(size.words))}
-    hashes = top["key"].view(_text.U64)
-    order = np.argsort(hashes)
-    vocabulary = hashes[order]
-    n = np.zeros((2, len(vocabulary) + 1))
-    n[0, :-1], n[1, :-1] = top["n"][order], top["n_target"][order]
-    n[:, -1] = np.array([all_n, all_target]) - n.sum(axis=1)
-    pairs = cut(totals(rows, _pairs(spark.sparkContext.broadcast(vocabulary))), "bigrams")
-    width = len(vocabulary) + 1
-    kept = {c: x.to_numpy() for c, x in _columns(pairs.where(F.col("n") >= _least(pairs, size.bigrams)))}
-    at = np.argsort(kept["key"])
-    # a token is the context of one token less where it ends a document
-    followed = {c: x.to_numpy() for c, x in _columns(pairs.groupBy(F.floor(F.col("key") / width).alias("v")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))}
-    contexts = np.zeros((2, width))
-    contexts[:, followed["v"]] = followed["n"], followed["n_target"]
-    unigrams = np.log(n + 1) - np.log(n.sum(axis=1, keepdims=True) + width)
-    return Models(vocabulary, unigrams, contexts, kept["key"][at], np.array([kept["n"][at], kept["n_target"][at]], dtype=float), size.backing)
-
-
-def _scorer(shared):
+    words = cut(_counts(rows, _words, ("word",), ("n", "n_target", "c", "c_target")), "words")
+    pairs = cut(_counts(rows, _pairs, ("key", "word"), ("n", "n_target")), "bigrams")
+    known, *held = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    totals = [float(n + known + 1) for n in held]
+    k = size.backing
+    unigrams = words.select(F.col("word").alias("key"), _units(F.log(F.col("n") + 1.0)).alias("background"), _units(F.log(F.col("n_target") + 1.0)).alias("target"))
+    contexts = words.where("c > 0").select(F.col("word").bitwiseXOR(F.lit(_CONTEXT)).alias("key"), _units(-F.log1p(F.col("c") / k)).alias("background"), _units(-F.log1p(F.col("c_target") / k)).alias("target"))
+    top = cut(words.orderBy(F.desc("n"), "word").limit(size.words), "top")
+    of = [F.col("word"), F.col("n").alias("w"), F.col("n_target").alias("w_target")]
+    # frequent words are not dealt out: a word's bigrams would all come to one task
+    often = F.broadcast(top.select(*of))
+    met = pairs.join(often, "word").unionByName(pairs.join(often, "word", "left_anti").join(words.select(*of), "word").select("word", "key", "n", "n_target", "w", "w_target"))
+    ratio = lambda n, w, total: _units(F.log1p(F.col(n) * total / ((F.col(w) + 1.0) * k)))
+    bigrams = met.select("key", "n", ratio("n", "w", totals[0]).alias("background"), ratio("n_target", "w_target", totals[1]).alias("target"))
+
+    def sorted_terms(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = {c: x.to_numpy() for c, x in _columns(some)}
+        keys = found["key"].view(_text.U64)
+        order = np.argsort(keys)
+        return keys[order], np.array([found["background"], found["target"]])[:, order]
+
+    shared_words, shared_unigrams = sorted_terms(unigrams.join(F.broadcast(top.select(F.col("word").alias("key"))), "key", "left_semi"))
+    keys, found = sorted_terms(contexts.join(F.broadcast(top.select(F.col("word").bitwiseXOR(F.lit(_CONTEXT)).alias("key"))), "key", "left_semi"))
+    at, hit = find(keys, shared_words ^ _text.U64(_CONTEXT))
+    shared_contexts = np.zeros((2, len(shared_words)), np.int64)
+    shared_contexts[:, hit] = found[:, at[hit]]
+    shared_bigrams, shared_pairs = sorted_terms(bigrams.where(F.col("n") >= _least(pairs, size.bigrams)).drop("n"))
+    shared = Shared(shared_words, shared_unigrams, shared_contexts, shared_bigrams, shared_pairs, np.array([math.log(x) for x in totals]))
+    return Models(shared, unigrams.unionByName(contexts).unionByName(bigrams.drop("n")))
+
+
+def _asker(broadcast):
+    """A row of each document with its tokens and the sums of shared terms, and one of each other key with how often it is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        shared = broadcast.value
         for batch in batches:
             for low, high, hashes, first in _text.tokens(batch.column("text"), _text.ALNUM):
                 n = np.diff(first)
-                begins = first[:-1][n > 0]
-                loss = models.losses(models.ids(hashes), begins) if len(hashes) else np.zeros((2, 0))
-                sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in loss]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = [np.where(n > 0, -np.diff(s[first]) / np.maximum(n, 1), 0.0) for s in sums]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high].cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(mean[1], mask=none), pa.array(mean[0], mask=none), pa.array(mean[1] - mean[0], mask=none)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+                row = np.repeat(np.arange(high - low), n)
+                followed = np.flatnonzero(row[1:] == row[:-1])
+                at, hit = find(shared.words, hashes)
+                sums = np.zeros((2, len(hashes) + 1), np.int64)
+                own = sums[:, 1:]
+                own[:, hit] = shared.unigrams[:, at[hit]]
+                context = followed[hit[followed]]
+                own[:, context] += shared.contexts[:, at[context]]
+                keys = pair_keys(hashes)[followed]
+                place, there = find(shared.bigrams, keys)
+                own[:, followed[there]] += shared.pairs[:, place[there]]
+                np.cumsum(own, axis=1, out=own)
+                background, target = sums[:, first[1:]] - sums[:, first[:-1]]
+                rare = followed[~hit[followed]]
+                asked = np.concatenate([hashes[~hit], hashes[rare] ^ _text.U64(_CONTEXT), keys[~there]])
+                row = np.concatenate([row[~hit], row[rare], row[followed[~there]]])
+                order = np.lexsort((asked, row))
+                asked, row = asked[order], row[order]
+                begins = np.flatnonzero(np.append(True, (asked[1:] != asked[:-1]) | (row[1:] != row[:-1]))[: len(asked)])
+                times = np.diff(np.append(begins, len(asked)))
+                ids = batch.column("id").to_numpy()[low:high]
+                docs, rest = len(n), len(begins)
+                none = pa.nulls(rest, pa.int64())
+                pad = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([ids, ids[row[begins]]])),
+                        # a document's own row asks for nothing, no times: the key only deals it out
+                        pa.array(np.concatenate([_text.mix(ids.astype(_text.U64)), asked[begins]]).view(np.int64)),
+                        pa.array(np.concatenate([np.zeros(docs, np.int64), times])),
+                        pa.concat_arrays([batch.column("doc_id")[low:high].cast(pa.int64()), none]),
+                        pad(n),
+                        pad(background),
+                        pad(target),
+                    ],
+                    names=["id", "key", "times", "doc_id", "n", "own_background", "own_target"],
+                )
 
     return run
 
@@ -157,5 +224,14 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
     alike; other columns are not looked at.  Without target documents the target
     model is uniform.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(models)), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    _text.small_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(models.shared)
+    asked = rows.mapInArrow(_asker(shared), "id long, key long, times long, doc_id long, n long, own_background long, own_target long")
+    met = asked.join(models.terms, "key", "left")
+    # only documents' own rows have own sums, and only they ask for nothing
+    total = lambda c: F.sum(F.coalesce(F.col(f"own_{c}"), F.lit(0)) + F.col("times") * F.coalesce(F.col(c), F.lit(0))).alias(c)
+    sums = met.groupBy("id").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), total("background"), total("target"))
+    loss = lambda c, i: F.when(F.col("n_tokens") > 0, float(models.shared.totals[i]) - F.col(c) / float(UNIT) / F.col("n_tokens"))
+    losses = sums.select("doc_id", "n_tokens", loss("target", 1).alias("target_loss"), loss("background", 0).alias("background_loss"))
+    return losses.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

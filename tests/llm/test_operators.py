@@ -260,6 +260,38 @@ def test_language_models_prefer_their_own(spark):
     assert got[40]["n_tokens"] == 0 and got[40]["difference"] is None and got[44]["n_tokens"] == 2
 
 
+def test_language_models_know_every_word_and_bigram(spark):
+    texts = [prose(i, 60, 90) for i in range(12)] + [None, "", "one", "ONE two"]
+    docs = documents(spark, texts)
+    rows = docs.withColumn("target", F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)))
+    every = [(r["text"] or "", r["target"]) for r in rows.collect()]
+    words, contexts, pairs = ([Counter(), Counter()] for _ in range(3))
+    for text, target in every:
+        w = text.lower().split()
+        for i in range(1 + target):
+            words[i].update(w)
+            contexts[i].update(w[:-1])
+            pairs[i].update(itertools.pairwise(w))
+
+    def loss(text, i, k=4.0):
+        w = text.lower().split()
+        p = lambda x: (words[i][x] + 1) / (words[i].total() + len(words[0]) + 1)
+        return -(np.log(p(w[0])) + sum(np.log((pairs[i][v, x] + k * p(x)) / (contexts[i][v] + k)) for v, x in itertools.pairwise(w))) / len(w)
+
+    scored = [*texts, "never seen w1 w2 before"]
+    found = []
+    for size in (lm_scoring.Size(), lm_scoring.Size(words=3, bigrams=4)):
+        got = {r["doc_id"]: r for r in lm_scoring.score_documents(documents(spark, scored), lm_scoring.learn(rows, size)).collect()}
+        for i, t in enumerate(scored):
+            if not t:
+                assert got[i]["n_tokens"] == 0 and got[i]["target_loss"] is None
+                continue
+            assert got[i]["n_tokens"] == len(t.split())
+            assert abs(got[i]["background_loss"] - loss(t, 0)) < 1e-6 and abs(got[i]["target_loss"] - loss(t, 1)) < 1e-6
+        found.append(got)
+    assert found[0] == found[1]
+
+
 def test_corrupt_records_are_located(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(None, None, None), (7, "http://h/7", "<p>7</p>" * 2)], "page_id long, url string, html string")
     bad = pages.withColumn("html", F.when(F.col("page_id").isin(10, 77, 299), F.concat("html", F.lit("!"))).otherwise(F.col("html")))
