@@ -1,6 +1,6 @@
 """URL verdicts from host rules and from association rules mined with FP-growth.
 
-Listed rules decide the urls that they fit.  Those urls are also the labelled
+Listed rules decide the urls that they fit.  All of those urls are also the labelled
 transactions of Spark's FP-growth: their tokens and their verdict are the items,
 and rules from tokens to a verdict are kept by support and confidence.  Urls that
 no listed rule fits get the verdict of the surest mined rule whose tokens they
@@ -24,9 +24,8 @@ _LABEL = "verdict="
 
 @dataclass(frozen=True)
 class Mining:
-    """labelled: urls of each verdict that are mined, about so many.  Least support and confidence of a rule, most tokens, most rules."""
+    """Least support and confidence of a rule, most tokens, most rules."""
 
-    labelled: int = 20_000
     support: float = 0.005
     confidence: float = 0.8
     tokens: int = 3
@@ -60,13 +59,10 @@ def tokens() -> Column:
 
 
 def mine(labelled: DataFrame, m: Mining) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) of the mined rules, surest first; ``labelled`` has key, tokens and verdict."""
-    counts = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}
-    if len(counts) < 2:
+    """(tokens, verdict, confidence, support) of the mined rules, surest first; ``labelled`` has tokens and verdict."""
+    if labelled.select("verdict").distinct().count() < 2:
         return []
-    share = F.create_map(*(x for v, n in sorted(counts.items()) for x in (F.lit(v), F.lit(min(1.0, m.labelled / n)))))
-    place = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 40)) / float(1 << 40)
-    items = labelled.where(place <= share[F.col("verdict")]).select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
+    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=m.support, minConfidence=m.confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(_LABEL)) & (F.size("antecedent") <= m.tokens))
     if found.count() > m.rules:
@@ -113,6 +109,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], m: Mining = Minin
     host, path = host_and_path("url")
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = listed(rules)
-    ready = parsed.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"), tokens().alias("tokens"))
-    mined = mine(ready.where("verdict IS NOT NULL").select(F.struct("page_id", "url").alias("key"), "tokens", "verdict"), m)
-    return ready.drop("url").mapInArrow(_matcher(mined, m.default), "page_id long, host string, path string, rule string, verdict string, confidence double")
+    ready = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), tokens().alias("tokens"))
+    mined = mine(ready.where("verdict IS NOT NULL").select("tokens", "verdict"), m)
+    return ready.mapInArrow(_matcher(mined, m.default), "page_id long, host string, path string, rule string, verdict string, confidence double")

@@ -163,6 +163,13 @@ def test_mined_rules(spark):
     assert [r["confidence"] for r in got] == [1.0, 1.0, None]
 
 
+def test_every_labelled_url_is_mined(spark):
+    urls = spark.range(42_400).select(F.col("id").alias("page_id"), F.expr("CASE WHEN id < 8400 THEN 'http://a.net/t' WHEN id < 10400 THEN 'http://a.com/t' ELSE 'http://a.net/u' END").alias("url"))
+    pages = urls.union(spark.createDataFrame([(-1, "http://x.org/t")], "page_id long, url string"))
+    got = url_filters.judge_urls(pages, [("block", "net/"), ("allow", "com/")]).where("rule IS NULL").first()
+    assert got["verdict"] == "block" and abs(got["confidence"] - 8400 / 10400) < 1e-12
+
+
 def test_fingerprints(spark):
     texts = [t for t in AWKWARD if t is not None] + [prose(i) for i in range(12)] + [prose(3)]
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(documents(spark, texts)).collect()}
