@@ -9,12 +9,15 @@ c * log2(N) / n bits a letter, and the language with the least of it wins.
 Only letters count: they are lower-cased, and every run of other characters is
 one space.  Texts are parsed in blocks of ``BLOCK`` symbols, whole, many blocks
 at a time: one table look-up a symbol and language, with the phrase count in the
-low bit of the entry.
+low bit of the entry.  The table has columns for the most frequent letters only;
+transitions of all other learned letters are in a sorted list.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ from evidencelake.llm._sample import bounded_sample
 
 UNDETERMINED = "und"
 BLOCK = 512
+#: Letters with columns in the table, at most, and entries of the table, about so many at most.
+DENSE, ENTRIES = 250, 1 << 26
 SPACE = " "
 
 
@@ -109,7 +114,10 @@ class Model:
     A state is the offset of its row; an entry holds the next state times four,
     plus the phrases that end there (none, the one before, or that and an unknown
     symbol).  ``codes`` gives the symbol of every code point: 0 pads, 1 is a
-    space, 2 a letter outside the alphabet, then the alphabet.
+    space, 2 a letter outside the alphabet, then the alphabet, the most frequent
+    letters first.  Symbols from ``width`` on have no column; ``keys`` has their
+    transitions, sorted, as state * number of symbols + symbol, and ``targets`` the
+    states that they lead to.
     """
 
     languages: list[str]
@@ -117,26 +125,63 @@ class Model:
     roots: np.ndarray
     bits: np.ndarray
     codes: np.ndarray
-
-
-def fit(samples: dict[str, str]) -> Model:
-    """A model of normalised samples; languages with an empty sample are left out."""
+    width: int
+    number: int
+    keys: np.ndarray
+    targets: np.ndarray
+
+    def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """State after each symbol without a column, or -1."""
+        if not len(self.keys):
+            return np.full(len(states), -1, np.int32)
+        wanted = states.astype(np.int64) * self.number + symbols
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.targets[at], -1)
+
+    def entries(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Entry of each language's states (a row each) at the symbols of the lanes."""
+        rare = np.flatnonzero(symbols >= self.width)
+        if not len(rare):
+            return self.table[states + symbols]
+        out = self.table[states + np.where(symbols < self.width, symbols, 2)]
+        own = states[:, rare].ravel()
+        letters = np.tile(symbols[rare], len(states))
+        roots = np.repeat(self.roots, len(rare))
+        to, again = self.follow(own, letters), self.follow(roots, letters)
+        found = np.where(to >= 0, to * 4, np.where(again >= 0, again * 4 + 1, out[:, rare].ravel()))
+        out[:, rare] = found.reshape(len(states), -1)
+        return out
+
+
+def fit(samples: dict[str, str], dense: int = DENSE) -> Model:
+    """A model of normalised samples; languages with an empty sample are left out.
+
+    ``dense`` letters at most have columns in the table; results do not depend on it.
+    """
     languages = sorted(lang for lang, text in samples.items() if text.strip())
-    alphabet = sorted({c for lang in languages for c in samples[lang]} - {SPACE})[:250]
+    often = Counter()
+    for lang in languages:
+        often.update(samples[lang])
+    del often[SPACE]
+    alphabet = sorted(often, key=lambda c: (-often[c], c))
     symbol = {c: i + 3 for i, c in enumerate(alphabet)} | {SPACE: 1}
-    width = len(alphabet) + 3
-    codes = np.ones(0x110000, dtype=np.uint8)
+    # an automaton has fewer than two states a symbol
+    states = sum(2 * len(samples[lang]) for lang in languages)
+    width = 3 + max(0, min(len(alphabet), dense, ENTRIES // max(1, states) - 3))
+    number = len(alphabet) + 3
+    codes = np.ones(0x110000, dtype=np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
             codes[point] = symbol.get(fold(c), 2)
     parts, roots, bits, base = [], [], [], 0
+    keys, targets = array("q"), array("q")
     for lang in languages:
         automaton = SuffixAutomaton(samples[lang])
         rows = len(automaton.next)
         root = np.full(width, -1, dtype=np.int64)
         for c, to in automaton.next[0].items():
-            if c in symbol:
+            if symbol[c] < width:
                 root[symbol[c]] = base + to * width
         unknown = root < 0
         # no transition: the phrase has ended, and the next begins at the root
@@ -144,17 +189,22 @@ def fit(samples: dict[str, str]) -> Model:
         table[0] = np.where(unknown, base * 4 + 1, root * 4)
         for state, following in enumerate(automaton.next):
             for c, to in following.items():
-                if c in symbol:
+                if symbol[c] < width:
                     table[state, symbol[c]] = (base + to * width) * 4
+                else:
+                    keys.append((base + state * width) * number + symbol[c])
+                    targets.append(base + to * width)
         table[:, 0] = (base + np.arange(rows) * width) * 4
-        parts.append(table.ravel())
+        parts.append(table.ravel().astype(np.int32))
         roots.append(base)
         bits.append(math.log2(max(2, len(samples[lang]))))
         base += rows * width
     if base * 4 > np.iinfo(np.int32).max:
         raise ValueError("the samples are too large: take fewer symbols of each language")
-    table = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    return Model(languages, table, np.array(roots, dtype=np.int32), np.array(bits), codes)
+    table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    rare, to = np.array(keys, dtype=np.int64), np.array(targets, dtype=np.int32)
+    order = np.argsort(rare)
+    return Model(languages, table, np.array(roots, dtype=np.int32), np.array(bits), codes, width, number, rare[order], to[order])
 
 
 def parse(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +231,14 @@ def parse(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     lanes = len(row)
     phrases = np.zeros((k, rows))
     if lanes and k:
-        padded = np.concatenate([symbols, np.zeros(BLOCK, np.uint8)])
+        padded = np.concatenate([symbols, np.zeros(BLOCK, np.int32)])
         columns = padded[low[None, :] + np.arange(BLOCK)[:, None]].astype(np.int32)
         active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
         state = np.repeat(model.roots[:, None], lanes, axis=1)
         count = np.zeros((k, lanes), dtype=np.int32)
         for t in range(int(length[0])):
             n = active[t]
-            entry = model.table[state[:, :n] + columns[t, :n]]
+            entry = model.entries(state[:, :n], columns[t, :n])
             count[:, :n] += entry & 3
             state[:, :n] = entry >> 2
         count += state != model.roots[:, None]

@@ -334,6 +334,24 @@ def test_cross_parsing_matches_the_automaton():
             assert n == 0 or abs(bits[i, k] - count * model.bits[k] / n) < 1e-9
 
 
+@pytest.mark.parametrize("dense", [0, 3, 250])
+def test_letters_of_many_scripts_are_all_known(dense):
+    r = random.Random(3)
+    scripts = {"hangul": 0xAC00, "han": 0x4E00, "latin": 0x61}
+    word = lambda lang: "".join(chr(scripts[lang] + r.randrange(26 if lang == "latin" else 400)) for _ in range(4))
+    samples = {lang: " ".join(word(lang) for _ in range(300)) + (" qz" if lang == "han" else "") for lang in scripts}
+    model = language_id.fit(samples, dense)
+    texts = [samples["hangul"][100:900], samples["han"][50:700] + "aqz", "한국 中文 mixed " + samples["latin"][:90], "жжж 漢" + samples["han"][:9]]
+    letters, bits = language_id.parse(model, *_text.buffers(pa.array(texts)))
+    for k, lang in enumerate(model.languages):
+        automaton = language_id.SuffixAutomaton(samples[lang])
+        for i, t in enumerate(texts):
+            form = language_id.normalise(t)
+            count = sum(automaton.phrases(form[b : b + language_id.BLOCK]) for b in range(0, len(form), language_id.BLOCK))
+            assert abs(bits[i, k] - count * model.bits[k] / letters[i]) < 1e-9
+    assert [model.languages[i] for i in bits[:2].argmin(axis=1)] == ["hangul", "han"] and bits[:2].min() < 1
+
+
 def test_languages(spark):
     texts = ["the cat and the dog are here with the others " * 3] * 5 + ["der hund und die katze sind nicht hier " * 3] * 5 + AWKWARD + ["123 !"]
     rows = spark.createDataFrame([(i, t, "en" if i < 5 else "de" if i < 10 else None, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score double")
