@@ -1,13 +1,16 @@
 """Fingerprints of weighted terms by consistent weighted sampling, in DataFrame functions only.
 
-Terms are words, hashed into ``BUCKETS`` buckets, weighted by their count.  For
+Terms are words, told apart by 64-bit hashes, weighted by their count.  For
 slot i and term k there are fixed samples r, c ~ Gamma(2, 1) and b ~ U(0, 1); with
 weight S, t = floor(ln S / r + b), ln y = r (t - b) and ln a = ln c - ln y - r.  The
 slot keeps (k, t) of the term with the least a.  Two texts agree in a slot with a
 probability equal to the generalised Jaccard similarity of their weighted terms,
 so the share of equal slots estimates it.
 
-The samples are a table of fixed size, broadcast.  Everything about one text stays
+The samples come from a table of fixed size, broadcast: a term takes r and b from the
+bucket that some bits of its hash name, and c from the one that others name.  A slot
+names the term by its own hash, so terms that share buckets stay apart; two terms
+share both with a probability of 2^-26.  Everything about one text stays
 in the task that has the text: texts are dealt out by key once, and the counts,
 the minima and the join with the next document's opening all keep that layout.
 """
@@ -36,27 +39,24 @@ def _uniform(bucket: str, i: Column, which: int) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def sampling_table(spark: SparkSession) -> DataFrame:
-    """bucket with the arrays r, lnc and b of all slots."""
+def sampling_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """bucket with the arrays r and b of all slots, and other with the array lnc."""
 
     def gamma(i: Column, one: int) -> Column:
         return -F.log(_uniform("bucket", i, one)) - F.log(_uniform("bucket", i, one + 1))
 
     slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    return spark.range(0, BUCKETS, 1, 1).select(
-        F.col("id").cast("int").alias("bucket"),
-        F.transform(slots, lambda i: gamma(i, 1)).alias("r"),
-        F.transform(slots, lambda i: F.log(gamma(i, 3))).alias("lnc"),
-        F.transform(slots, lambda i: _uniform("bucket", i, 5)).alias("b"),
-    )
+    buckets = spark.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    rb = buckets.select("bucket", F.transform(slots, lambda i: gamma(i, 1)).alias("r"), F.transform(slots, lambda i: _uniform("bucket", i, 5)).alias("b"))
+    return rb, buckets.select(F.col("bucket").alias("other"), F.transform(slots, lambda i: F.log(gamma(i, 3))).alias("lnc"))
 
 
 def _slot(i: int) -> Column:
-    """The packed sample of slot ``i``: a in the high bits, the name of (bucket, t) in the low ones."""
+    """The packed sample of slot ``i``: a in the high bits, the name of (term, t) in the low ones."""
     r, b = F.col("r")[i], F.col("b")[i]
     t = F.floor(F.col("ln_s") / r + b)
     a = F.col("lnc")[i] - r * (t - b) - r
-    name = (F.col("bucket") * F.lit(2654435761) + t * F.lit(40503)).bitwiseAND(F.lit(_NAME))
+    name = (F.col("name") + t * F.lit(40503)).bitwiseAND(F.lit(_NAME))
     return F.shiftleft(((a + 200.0) * 1e6).cast("long"), _NAME_BITS).bitwiseOR(name)
 
 
@@ -68,8 +68,11 @@ def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
     """
     words = texts.select(*keys, (~F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).alias("blank"), F.explode(F.split(F.lower("text"), _SEPARATORS)).alias("word"))
     words = words.where((F.col("word") != "") | F.col("blank"))
-    counts = words.groupBy(*keys, F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("s"))
-    drawn = counts.withColumn("ln_s", F.log("s")).join(F.broadcast(sampling_table(texts.sparkSession)), "bucket")
+    counts = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("s"))
+    bits = lambda low: F.shiftrightunsigned("term", low).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    terms = counts.select(*keys, F.log("s").alias("ln_s"), bits(51).alias("bucket"), bits(38).alias("other"), F.col("term").bitwiseAND(F.lit(_NAME)).alias("name"))
+    rb, c = sampling_tables(texts.sparkSession)
+    drawn = terms.join(F.broadcast(rb), "bucket").join(F.broadcast(c), "other")
     least = drawn.groupBy(*keys).agg(*(F.min(_slot(i)).alias(f"s{i}") for i in range(SLOTS)))
     return least.select(*keys, F.array(*(F.col(f"s{i}").bitwiseAND(F.lit(_NAME)).cast("int") for i in range(SLOTS))).alias("signature"))
 

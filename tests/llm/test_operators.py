@@ -188,6 +188,16 @@ def test_fingerprints(spark):
     assert len(got) == len(texts) + 1
 
 
+def test_long_texts_without_a_word_in_common_are_not_alike(spark):
+    words = [[f"{i}x{j}" for j in range(8000)] for i in range(2)]
+    texts = spark.createDataFrame(list(enumerate(map(" ".join, (*words, words[0][:4000] + words[1][4000:], words[0] * 2)))), "k long, text string")
+    got = {r["k"]: r["signature"] for r in fingerprints.signatures(texts, ["k"]).collect()}
+    equal = lambda a, b: sum(x == y for x, y in zip(got[a], got[b], strict=True)) / fingerprints.SLOTS
+    assert equal(0, 1) == 0
+    # 4,000 of 12,000 words are common; the same words twice
+    assert abs(equal(0, 2) - 1 / 3) < 0.2 and abs(equal(0, 3) - 0.5) < 0.2
+
+
 def test_fingerprints_use_no_python(spark):
     plan = fingerprints.fingerprint_edits(documents(spark, [prose(1), prose(2)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
