@@ -112,12 +112,13 @@ def in_order(group: str) -> Window:
 
 
 def candidates(scored: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs worth a merge: of one exact day with the least score, or of a nearer date relation with more in common.
+    """Pairs worth a merge: of one exact day with the least score or much text in common, or of another date relation with more in common.
 
-    scored has relation, score, containment, shared and mutual.
+    scored has relation, score, containment, jaccard, shared and mutual.
     """
-    exact = (F.col("relation") == "exact_day") & (F.col("score") >= least)
-    relaxed = (F.col("relation") != "exact_day") & (F.col("score") >= least) & (F.col("containment") >= 0.7) & (F.col("shared") > 0) & F.col("mutual")
+    exact = (F.col("relation") == "exact_day") & ((F.col("score") >= least) | ((F.col("containment") >= 0.82) & (F.col("jaccard") >= 0.55)))
+    alike = (F.col("containment") >= 0.80) & (F.col("jaccard") >= 0.45) & (F.col("shared") > 0) & (F.col("mutual") | (F.col("containment") >= 0.90))
+    relaxed = (F.col("relation") != "exact_day") & (F.col("score") >= max(0.60, least - 0.10)) & alike
     return scored.where(exact | relaxed)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import evaluation, review
+from evidencelake.operators import evaluation, resolve, review
 
 
 def test_decisions(spark):
@@ -34,3 +34,21 @@ def test_dispositions(spark):
     rows = spark.createDataFrame([("an answer", "supported"), ("cannot say", "supported"), ("an answer", "partial"), ("", "supported"), ("x", "no_evidence")], "a string, s string")
     got = [r[0] for r in rows.select(evaluation.disposition(F.col("a"), F.col("s"), "cannot")).collect()]
     assert got == ["answered", "refused", "partial", "refused", "refused"]
+
+
+def test_candidates_by_both_ways_in(spark):
+    rows = [
+        (1, "exact_day", 0.70, 0.1, 0.1, 0, False, True),
+        (2, "exact_day", 0.65, 0.82, 0.55, 0, False, True),
+        (3, "exact_day", 0.65, 0.82, 0.54, 2, True, False),
+        (4, "same_month", 0.60, 0.80, 0.45, 1, True, True),
+        (5, "same_value", 0.65, 0.90, 0.45, 1, False, True),
+        (6, "same_month", 0.65, 0.89, 0.50, 1, False, False),
+        (7, "same_month", 0.90, 0.79, 0.50, 1, True, False),
+        (8, "same_month", 0.90, 0.80, 0.44, 1, True, False),
+        (9, "same_month", 0.59, 0.95, 0.90, 1, True, False),
+        (10, "same_value", 0.90, 0.95, 0.90, 0, True, False),
+        (11, None, 0.90, 0.95, 0.90, 2, True, False),
+    ]
+    scored = spark.createDataFrame([r[:-1] for r in rows], "a long, relation string, score double, containment double, jaccard double, shared int, mutual boolean")
+    assert sorted(r["a"] for r in resolve.candidates(scored).collect()) == [r[0] for r in rows if r[-1]]
