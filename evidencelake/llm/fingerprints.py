@@ -29,6 +29,8 @@ _NAME_BITS = 31
 _NAME = (1 << _NAME_BITS) - 1
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEY = ["k", "h"]
+#: A key with more than this share of all rows is merged before texts are dealt out.
+CROWD = 256
 #: Stands for a null doc_id in keys.
 _NO_ID = -(1 << 63)
 
@@ -39,8 +41,13 @@ def _uniform(bucket: str, i: Column, which: int) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _packed(part: Column) -> Column:
+    """A summand of a, over -100, in the high bits of a slot."""
+    return F.shiftleft(((part + 100.0) * 1e6).cast("long"), _NAME_BITS)
+
+
 def sampling_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """bucket with the arrays r and b of all slots, and other with the array lnc."""
+    """bucket with arrays of all slots (r, 1 / r, b and packed r (b - 1)), and other with the array of packed ln c."""
 
     def gamma(i: Column, one: int) -> Column:
         return -F.log(_uniform("bucket", i, one)) - F.log(_uniform("bucket", i, one + 1))
@@ -48,33 +55,56 @@ def sampling_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
     buckets = spark.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     rb = buckets.select("bucket", F.transform(slots, lambda i: gamma(i, 1)).alias("r"), F.transform(slots, lambda i: _uniform("bucket", i, 5)).alias("b"))
-    return rb, buckets.select(F.col("bucket").alias("other"), F.transform(slots, lambda i: F.log(gamma(i, 3))).alias("lnc"))
+    rb = rb.select("*", F.transform("r", lambda r: 1.0 / r).alias("over_r"), F.zip_with("r", "b", lambda r, b: _packed(r * (b - 1.0))).alias("single"))
+    return rb, buckets.select(F.col("bucket").alias("other"), F.transform(slots, lambda i: _packed(F.log(gamma(i, 3)))).alias("lnc"))
 
 
 def _slot(i: int) -> Column:
-    """The packed sample of slot ``i``: a in the high bits, the name of (term, t) in the low ones."""
-    r, b = F.col("r")[i], F.col("b")[i]
-    t = F.floor(F.col("ln_s") / r + b)
-    a = F.col("lnc")[i] - r * (t - b) - r
+    """The packed sample of slot ``i``: a in the high bits, the name of (term, t) in the low ones.
+
+    A term that occurs once has ln S = 0 and t = 0.
+    """
+    at = lambda c: F.get(c, F.lit(i))
+    t = F.floor(F.col("ln_s") * at("over_r") + at("b"))
     name = (F.col("name") + t * F.lit(40503)).bitwiseAND(F.lit(_NAME))
-    return F.shiftleft(((a + 200.0) * 1e6).cast("long"), _NAME_BITS).bitwiseOR(name)
+    return F.when(F.col("ln_s") == 0.0, at("single") + at("lnc") + F.col("name")).otherwise(_packed(at("r") * (at("b") - 1.0 - t)) + at("lnc") + name)
+
+
+def _sorted_hashes(text: Column) -> Column:
+    """The hashes of a text's words, ascending; a text without words has the one term ''."""
+    words = F.filter(F.split(F.lower(text), _SEPARATORS), lambda w: w != "")
+    return F.sort_array(F.transform(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(""))), lambda w: F.xxhash64(w)))
+
 
+def _ends(hashes: str) -> Column:
+    """Places after the last of each run of equal hashes."""
+    n = F.size(hashes)
+    return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(hashes, i) != F.get(hashes, i - 1)))
 
-def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and signature (array of SLOTS ints) of each row of ``texts`` (keys, text); the keys are unique.
 
-    No exchange is needed if ``texts`` is already dealt out by some of the keys.
-    A text without words has the one term ''.
+def _terms(which: int) -> Column:
+    """The terms of text ``which``, each with its count."""
+    hashes, ends = F.col(f"hashes{which}"), F.col(f"ends{which}")
+    return F.transform(ends, lambda e, j: F.struct(F.lit(which).alias("which"), F.get(hashes, e - 1).alias("term"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("s")))
+
+
+def signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys``, which and signature (array of SLOTS ints) of the text in each of ``columns``; the keys are unique.
+
+    A text's words are sorted and counted in its own row; only its distinct terms
+    become rows, and those never leave the task if ``texts`` is already dealt out by
+    some of the keys.
     """
-    words = texts.select(*keys, (~F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).alias("blank"), F.explode(F.split(F.lower("text"), _SEPARATORS)).alias("word"))
-    words = words.where((F.col("word") != "") | F.col("blank"))
-    counts = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("s"))
+    number = range(len(columns))
+    hashed = texts.select(*keys, *(_sorted_hashes(F.col(c)).alias(f"hashes{i}") for i, c in enumerate(columns)))
+    ended = hashed.select("*", *(_ends(f"hashes{i}").alias(f"ends{i}") for i in number))
+    counts = ended.select(*keys, F.inline(F.concat(*(_terms(i) for i in number))))
     bits = lambda low: F.shiftrightunsigned("term", low).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    terms = counts.select(*keys, F.log("s").alias("ln_s"), bits(51).alias("bucket"), bits(38).alias("other"), F.col("term").bitwiseAND(F.lit(_NAME)).alias("name"))
+    terms = counts.select(*keys, "which", F.log("s").alias("ln_s"), bits(51).alias("bucket"), bits(38).alias("other"), F.col("term").bitwiseAND(F.lit(_NAME)).alias("name"))
     rb, c = sampling_tables(texts.sparkSession)
     drawn = terms.join(F.broadcast(rb), "bucket").join(F.broadcast(c), "other")
-    least = drawn.groupBy(*keys).agg(*(F.min(_slot(i)).alias(f"s{i}") for i in range(SLOTS)))
-    return least.select(*keys, F.array(*(F.col(f"s{i}").bitwiseAND(F.lit(_NAME)).cast("int") for i in range(SLOTS))).alias("signature"))
+    least = drawn.groupBy(*keys, "which").agg(*(F.min(_slot(i)).alias(f"s{i}") for i in range(SLOTS)))
+    return least.select(*keys, "which", F.array(*(F.col(f"s{i}").bitwiseAND(F.lit(_NAME)).cast("int") for i in range(SLOTS))).alias("signature"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -107,6 +137,17 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return near.join(F.broadcast(ends), "range").select(*_KEY, "m", "n", F.coalesce("next", "after").alias("next"), F.coalesce("previous", "before").alias("previous"))
 
 
+def without_crowds(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` with one row of each key (k, h) that has over a ``CROWD``-th of all rows.
+
+    There are fewer than ``CROWD`` such keys, so they are broadcast, and equal rows are
+    merged before they leave their tasks.
+    """
+    total = keys.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    crowds = F.broadcast(keys.where(F.col("m") * CROWD > F.greatest(F.lit(total), F.lit(CROWD))).select(*_KEY))
+    return texts.join(crowds, _KEY, "left_anti").unionByName(texts.join(crowds, _KEY, "left_semi").groupBy(*_KEY).agg(F.max("text").alias("text")).select(*texts.columns))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, its edited text's, and how alike they and the next document's are.
 
@@ -122,17 +163,18 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     keys = cut(neighbours(texts.select(*_KEY, F.length("text").alias("n"))), "neighbours")
-    first = Window.partitionBy(*_KEY).orderBy("h")
-    held = texts.select(*_KEY, "text").withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
-    opening = held.join(keys.select(*_KEY, "previous"), _KEY).select(F.col("previous.k").alias("k"), F.col("previous.h").alias("h"), F.left("text", F.floor(F.col("previous.n") / 2).cast("int")).alias("opening"))
+    held = without_crowds(texts, keys)
+    # texts are the streamed side of both joins: they are dealt out once and never sorted
+    beside = lambda rows: rows.hint("shuffle_hash")
+    opening = held.join(beside(keys.select(*_KEY, "previous")), _KEY).select(F.col("previous.k").alias("k"), F.col("previous.h").alias("h"), F.left("text", F.floor(F.col("previous.n") / 2).cast("int")).alias("opening"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = held.join(opening, _KEY).select(*_KEY, "text", F.concat(F.left("text", n - half), F.left("opening", half)).alias("edited"))
-    pair = edited.select(*_KEY, F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))))
-    signed = signatures(pair, [*_KEY, "which", "sha"])
-    rows = signed.groupBy(*_KEY).agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("edited"), F.max("sha").alias("edited_sha256"))
-    rows = cut(rows.select(*_KEY, "own", as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), "edited_sha256", likeness("own", "edited").alias("near_edited")), "fingerprints")
+    one = opening.groupBy(*_KEY).agg(F.max("opening").alias("opening"))  # rows that repeat have one
+    pair = held.join(beside(one), _KEY).select(*_KEY, "text", F.concat(F.left("text", n - half), F.left("opening", half)).alias("edited"))
+    signed = signatures(pair.withColumn("sha", F.unhex(F.sha2("edited", 256))), [*_KEY, "sha"], ["text", "edited"])
+    own = lambda which: F.max(F.when(F.col("which") == which, F.col("signature")))
+    rows = cut(signed.groupBy(*_KEY).agg(own(0).alias("own"), own(1).alias("edited"), F.max("sha").alias("sha")), "fingerprints")
     following = rows.select("k", "h", F.col("own").alias("following")).join(keys.select("k", "h", F.col("previous.k").alias("to_k"), F.col("previous.h").alias("to_h")), _KEY).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "following")
-    every = rows.join(keys.select(*_KEY, "m", "n"), _KEY).join(following, _KEY).withColumn("near_next", likeness("own", "following")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    every = rows.join(keys.select(*_KEY, "m", "n"), _KEY).join(following, _KEY).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     doc_id = F.when(F.col("k") != _NO_ID, F.col("k"))
-    return every.select(doc_id.alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return every.select(doc_id.alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"), likeness("own", "following").alias("near_next"))

@@ -171,7 +171,7 @@ def test_every_labelled_url_is_mined(spark):
 
 
 def test_fingerprints(spark):
-    texts = [t for t in AWKWARD if t is not None] + [prose(i) for i in range(12)] + [prose(3)]
+    texts = [t or "" for t in AWKWARD] + [prose(i) for i in range(12)] + [prose(3)]
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(documents(spark, texts)).collect()}
     order = [i for i in range(len(texts) - 1, -1, -1)]
     words = lambda t: Counter(w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w)
@@ -188,10 +188,19 @@ def test_fingerprints(spark):
     assert len(got) == len(texts) + 1
 
 
+def test_fingerprints_of_few_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert fingerprints.fingerprint_edits(none).collect() == []
+    rows = fingerprints.fingerprint_edits(spark.createDataFrame([(1, None), (1, None)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["n_chars"], r["near_edited"], r["near_next"]) for r in rows] == [(1, 0, 1.0, 1.0)] * 2
+    same = fingerprints.fingerprint_edits(spark.createDataFrame([(7, "abcd")], "doc_id long, text string")).collect()
+    assert [r["edited_sha256"] for r in same] == [hashlib.sha256(b"abab").hexdigest()]
+
+
 def test_long_texts_without_a_word_in_common_are_not_alike(spark):
     words = [[f"{i}x{j}" for j in range(8000)] for i in range(2)]
     texts = spark.createDataFrame(list(enumerate(map(" ".join, (*words, words[0][:4000] + words[1][4000:], words[0] * 2)))), "k long, text string")
-    got = {r["k"]: r["signature"] for r in fingerprints.signatures(texts, ["k"]).collect()}
+    got = {r["k"]: r["signature"] for r in fingerprints.signatures(texts, ["k"], ["text"]).collect()}
     equal = lambda a, b: sum(x == y for x, y in zip(got[a], got[b], strict=True)) / fingerprints.SLOTS
     assert equal(0, 1) == 0
     # 4,000 of 12,000 words are common; the same words twice
