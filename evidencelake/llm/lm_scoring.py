@@ -7,23 +7,26 @@ mean, over its tokens, of the background's log probability less the target's: th
 lower, the more the document is like the target.
 
 Counts cover every document, word and bigram.  A bigram's probability is
-(c(v, w) + k P(w)) / (c(v) + k) with P the smoothed unigram model.  Its logarithm is
-a sum of terms of the word w, the context v and the bigram, each zero where nothing
-was counted.  Terms of the most frequent words and bigrams are shared with the
-executors; a document asks for all others by key, in a join with the whole model.
-Terms are whole multiples of 1 / ``UNIT``, so that sums do not depend on which terms
-are shared, nor on the order of rows.
+(c(v, w) + k P(w)) / (c(v) + k) with P the smoothed unigram model.
+
+Plan.  Documents are dealt into ``steps`` of some megabytes.  Every step sends the
+distinct keys of its words, contexts and bigrams, with how often it has them, to
+the ``slices`` of the key space, packed as one row for each slice.  A slice adds up
+what all steps have of its keys and answers each of them.  A step meets its texts
+again (their exchange is reused) with the answers and adds up the terms.  So a key
+travels once for each step that holds it, whatever number of documents does, and no
+model is gathered anywhere.  Terms are whole multiples of 1 / ``UNIT``, so that sums
+do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm import _text
@@ -32,206 +35,164 @@ from evidencelake.llm._store import cut
 #: Parts of a nat in which terms are counted.
 UNIT = 10**9
 #: Turns the key of a word into its key as a context.
-_CONTEXT = 0x5851F42D4C957F2D
+_CONTEXT = _text.U64(0x5851F42D4C957F2D)
 _ORDER = _text.U64(0xD6E8FEB86659FD93)
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double"
 
 
 @dataclass(frozen=True)
-class Size:
-    """Words and bigrams whose terms are shared, at most, and the weight k of the unigram model; results depend on k only."""
+class Plan:
+    """The weight k of the unigram model, and bytes of text of a step and of what a slice is meant for; results depend on k only."""
 
-    words: int = 20_000
-    bigrams: int = 400_000
     backing: float = 4.0
+    step: int = 8 << 20
+    slice: int = 8 << 20
 
 
-@dataclass
-class Shared:
-    """Sorted keys of words and bigrams; terms (background, target) of words, of contexts and of bigrams; log of both unigram totals."""
-
-    words: np.ndarray
-    unigrams: np.ndarray
-    contexts: np.ndarray
-    bigrams: np.ndarray
-    pairs: np.ndarray
-    totals: np.ndarray
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """Key of each word with the next."""
+    return _text.mix(hashes[:-1] * _ORDER + hashes[1:])
 
 
 @dataclass
-class Models:
-    """What is shared, and the terms (key, background, target) of all words, contexts and bigrams."""
-
-    shared: Shared
-    terms: DataFrame
+class _Step:
+    """The tokens of some rows: hashes, the row of each, places whose next token is of the same row, and tokens of each row."""
+
+    hashes: np.ndarray
+    row: np.ndarray
+    followed: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray) -> _Step:
+        found = [(words, np.diff(first)) for _, _, words, first in _text.tokens(texts, _text.ALNUM)]
+        hashes = np.concatenate([x[0] for x in found]) if found else np.zeros(0, _text.U64)
+        n = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        return cls(hashes, row, np.flatnonzero(row[1:] == row[:-1]), n)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all words, contexts and bigrams, one after the other, and their rows."""
+        keys = np.concatenate([self.hashes, self.hashes[self.followed] ^ _CONTEXT, pair_keys(self.hashes)[self.followed]])
+        return keys, np.concatenate([self.row, self.row[self.followed], self.row[self.followed]])
+
+
+def _sliced(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each key: as many equal parts of the key space."""
+    return ((keys >> _text.U64(32)) * _text.U64(slices)) >> _text.U64(32)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as hold the largest, with the number of bytes in front."""
+    most = int(counts.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return bytes([width]) + counts.astype(f"<i{width}").tobytes()
+
+
+def _large(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, f"<i{held[0]}", offset=1).astype(np.int64)
+
+
+def _asker(slices: int):
+    """What one step has of each slice: its distinct keys, ascending, and their counts in counted rows and in target rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        step = _Step.of(table.column("text"))
+        keys, row = step.keys()
+        counted, target = (table.column(c).to_numpy() for c in ("counted", "target"))
+        values, inverse = np.unique(keys, return_inverse=True)
+        n, own = (np.bincount(inverse, weights=w[row], minlength=len(values)).astype(np.int64) for w in (counted, counted & target))
+        cuts = np.searchsorted(_sliced(values, slices), np.arange(slices + 1).astype(_text.U64))
+        some = np.flatnonzero(np.diff(cuts))
+        parts = [slice(cuts[i], cuts[i + 1]) for i in some]
+        number = table.column("step")[0].as_py()
+        return pa.table(
+            [pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([values[p].tobytes() for p in parts], pa.binary()), pa.array([_small(n[p]) for p in parts], pa.binary()), pa.array([_small(own[p]) for p in parts], pa.binary())],
+            names=["slice", "step", "keys", "n", "n_target"],
+        )
 
+    return run
 
-def pair_keys(hashes: np.ndarray) -> np.ndarray:
-    """Key of each word with the next."""
-    return _text.mix(hashes[:-1] * _ORDER + hashes[1:])
 
+def _answer(table: pa.Table) -> pa.Table:
+    """For each step that asks a slice, the counts of its keys in all steps."""
+    asked = [np.frombuffer(x, _text.U64) for x in table.column("keys").to_pylist()]
+    values, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in asked])[:-1]
+    found = []
+    for c in ("n", "n_target"):
+        total = np.bincount(inverse, weights=np.concatenate([_large(x) for x in table.column(c).to_pylist()]), minlength=len(values)).astype(np.int64)
+        found.append([_small(x) for x in np.split(total[inverse], cuts)])
+    return pa.table([table.column("step"), table.column("slice"), pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["step", "slice", "n", "n_target"])
+
+
+def _units(nats: np.ndarray) -> np.ndarray:
+    return np.rint(nats * UNIT).astype(np.int64)
+
+
+def _scorer(totals: tuple[float, float], k: float):
+    """The losses of the rows of a step, from its texts and the answers of all slices."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        step = _Step.of(texts.column("text"))
+        values, inverse = np.unique(step.keys()[0], return_inverse=True)
+        answers = answers.sort_by("slice")
+        words, contexts, pairs = np.split(inverse, np.cumsum([len(step.hashes), len(step.followed)]))
+        losses = []
+        for c, total in zip(("n_target", "n"), totals[::-1], strict=True):
+            counts = np.concatenate([np.zeros(0, np.int64), *(_large(x) for x in answers.column(c).to_pylist())])
+            assert len(counts) == len(values)
+            own = _units(np.log(counts[words] + 1.0))
+            w = counts[words[step.followed + 1]] + 1.0
+            own[step.followed + 1] += _units(-np.log1p(counts[contexts] / k)) + _units(np.log1p(counts[pairs] * total / (w * k)))
+            sums = np.concatenate([[0], np.cumsum(own)])
+            ends = np.cumsum(step.n)
+            none = step.n == 0
+            losses.append(pa.array(math.log(total) - (sums[ends] - sums[ends - step.n]) / UNIT / np.maximum(step.n, 1), mask=none))
+        return pa.table([texts.column("doc_id"), pa.array(step.n.astype(np.int64)), *losses], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key in the sorted ``keys``, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    return run
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hash of each word of a step, whether the next word follows it in its row, and whether the row is a target."""
+def _words(batches):
     for batch in batches:
         target = batch.column("target").to_numpy(zero_copy_only=False)
-        data, offsets = _text.buffers(batch.column("text"))
-        for low, high in _text.steps(offsets, 8 * _text.STEP_BYTES):
-            part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-            starts, ends, first = _text.spans(part, at, _text.ALNUM)
-            row = np.repeat(np.arange(high - low), np.diff(first))
-            yield _text.word_hashes(part, starts, ends), np.append(row[1:] == row[:-1], False)[: len(row)], target[low:high][row]
-
-
-def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == _text.U64 else x.astype(np.int64)) for x in columns.values()], names=list(columns))
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for hashes, followed, own in _tokens(batches):
-        values, inverse = np.unique(hashes, return_inverse=True)
-        count = lambda where: np.bincount(inverse[where], minlength=len(values))
-        yield _batch({"word": values, "n": count(slice(None)), "n_target": count(own), "c": count(followed), "c_target": count(own & followed)})
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for hashes, followed, own in _tokens(batches):
-        inside = followed[:-1]
-        values, at, inverse, n = np.unique(pair_keys(hashes)[inside], return_index=True, return_inverse=True, return_counts=True)
-        yield _batch({"key": values, "word": hashes[1:][inside][at], "n": n, "n_target": np.bincount(inverse[own[:-1][inside]], minlength=len(values))})
-
-
-def _counts(rows: DataFrame, run, keys: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
-    kinds = ", ".join(f"{c} long" for c in keys + sums)
-    return rows.select("text", "target").mapInArrow(run, kinds).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-
-
-def _columns(df: DataFrame):
-    """Name and Arrow column of a small table."""
-    table = df.toArrow()
-    return zip(table.column_names, table.columns, strict=True)
-
-
-def _least(pairs: DataFrame, most: int) -> int:
-    """The least count, 2 or more, that at most ``most`` pairs reach."""
-    held, least = 0, None
-    for n, rows in sorted(((r[0], r[1]) for r in pairs.where("n > 1").groupBy("n").count().collect()), reverse=True):
-        held += rows
-        if held > most:
-            break
-        least = n
-    return least or (1 << 62)
-
-
-def _units(nats: Column) -> Column:
-    return F.round(nats * float(UNIT)).cast("long")
-
-
-def learn(rows: DataFrame, size: Size = Size()) -> Models:
-    """Models of ``rows`` (text, target); the background is all rows."""
-    _text.small_batches(rows.sparkSession)
-    words = cut(_counts(rows, _words, ("word",), ("n", "n_target", "c", "c_target")), "words")
-    pairs = cut(_counts(rows, _pairs, ("key", "word"), ("n", "n_target")), "bigrams")
-    known, *held = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    totals = [float(n + known + 1) for n in held]
-    k = size.backing
-    unigrams = words.select(F.col("word").alias("key"), _units(F.log(F.col("n") + 1.0)).alias("background"), _units(F.log(F.col("n_target") + 1.0)).alias("target"))
-    contexts = words.where("c > 0").select(F.col("word").bitwiseXOR(F.lit(_CONTEXT)).alias("key"), _units(-F.log1p(F.col("c") / k)).alias("background"), _units(-F.log1p(F.col("c_target") / k)).alias("target"))
-    top = cut(words.orderBy(F.desc("n"), "word").limit(size.words), "top")
-    of = [F.col("word"), F.col("n").alias("w"), F.col("n_target").alias("w_target")]
-    # frequent words are not dealt out: a word's bigrams would all come to one task
-    often = F.broadcast(top.select(*of))
-    met = pairs.join(often, "word").unionByName(pairs.join(often, "word", "left_anti").join(words.select(*of), "word").select("word", "key", "n", "n_target", "w", "w_target"))
-    ratio = lambda n, w, total: _units(F.log1p(F.col(n) * total / ((F.col(w) + 1.0) * k)))
-    bigrams = met.select("key", "n", ratio("n", "w", totals[0]).alias("background"), ratio("n_target", "w_target", totals[1]).alias("target"))
-
-    def sorted_terms(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = {c: x.to_numpy() for c, x in _columns(some)}
-        keys = found["key"].view(_text.U64)
-        order = np.argsort(keys)
-        return keys[order], np.array([found["background"], found["target"]])[:, order]
-
-    shared_words, shared_unigrams = sorted_terms(unigrams.join(F.broadcast(top.select(F.col("word").alias("key"))), "key", "left_semi"))
-    keys, found = sorted_terms(contexts.join(F.broadcast(top.select(F.col("word").bitwiseXOR(F.lit(_CONTEXT)).alias("key"))), "key", "left_semi"))
-    at, hit = find(keys, shared_words ^ _text.U64(_CONTEXT))
-    shared_contexts = np.zeros((2, len(shared_words)), np.int64)
-    shared_contexts[:, hit] = found[:, at[hit]]
-    shared_bigrams, shared_pairs = sorted_terms(bigrams.where(F.col("n") >= _least(pairs, size.bigrams)).drop("n"))
-    shared = Shared(shared_words, shared_unigrams, shared_contexts, shared_bigrams, shared_pairs, np.array([math.log(x) for x in totals]))
-    return Models(shared, unigrams.unionByName(contexts).unionByName(bigrams.drop("n")))
-
-
-def _asker(broadcast):
-    """A row of each document with its tokens and the sums of shared terms, and one of each other key with how often it is asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = broadcast.value
-        for batch in batches:
-            for low, high, hashes, first in _text.tokens(batch.column("text"), _text.ALNUM):
-                n = np.diff(first)
-                row = np.repeat(np.arange(high - low), n)
-                followed = np.flatnonzero(row[1:] == row[:-1])
-                at, hit = find(shared.words, hashes)
-                sums = np.zeros((2, len(hashes) + 1), np.int64)
-                own = sums[:, 1:]
-                own[:, hit] = shared.unigrams[:, at[hit]]
-                context = followed[hit[followed]]
-                own[:, context] += shared.contexts[:, at[context]]
-                keys = pair_keys(hashes)[followed]
-                place, there = find(shared.bigrams, keys)
-                own[:, followed[there]] += shared.pairs[:, place[there]]
-                np.cumsum(own, axis=1, out=own)
-                background, target = sums[:, first[1:]] - sums[:, first[:-1]]
-                rare = followed[~hit[followed]]
-                asked = np.concatenate([hashes[~hit], hashes[rare] ^ _text.U64(_CONTEXT), keys[~there]])
-                row = np.concatenate([row[~hit], row[rare], row[followed[~there]]])
-                order = np.lexsort((asked, row))
-                asked, row = asked[order], row[order]
-                begins = np.flatnonzero(np.append(True, (asked[1:] != asked[:-1]) | (row[1:] != row[:-1]))[: len(asked)])
-                times = np.diff(np.append(begins, len(asked)))
-                ids = batch.column("id").to_numpy()[low:high]
-                docs, rest = len(n), len(begins)
-                none = pa.nulls(rest, pa.int64())
-                pad = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids, ids[row[begins]]])),
-                        # a document's own row asks for nothing, no times: the key only deals it out
-                        pa.array(np.concatenate([_text.mix(ids.astype(_text.U64)), asked[begins]]).view(np.int64)),
-                        pa.array(np.concatenate([np.zeros(docs, np.int64), times])),
-                        pa.concat_arrays([batch.column("doc_id")[low:high].cast(pa.int64()), none]),
-                        pad(n),
-                        pad(background),
-                        pad(target),
-                    ],
-                    names=["id", "key", "times", "doc_id", "n", "own_background", "own_target"],
-                )
+        for low, high, words, first in _text.tokens(batch.column("text"), _text.ALNUM):
+            own = np.repeat(target[low:high], np.diff(first))
+            values, inverse, n = np.unique(words, return_inverse=True, return_counts=True)
+            n_target = np.bincount(inverse[own], minlength=len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n_target)], names=["word", "n", "n_target"])
+
+
+def totals(rows: DataFrame) -> tuple[float, float]:
+    """Denominators of the smoothed unigram models of the background and the target: tokens, distinct words of all ``rows`` (text, target), and one."""
+    found = rows.select("text", "target").mapInArrow(_words, "word long, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    known, *held = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    return tuple(float(n + known + 1) for n in held)
 
-    return run
 
+def score_documents(rows: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (nats a token) and difference of each row of ``rows`` (doc_id, text, target).
 
-def score_documents(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats a token) and difference of each row of ``docs`` (doc_id, text).
+    Both models count ``rows``, the target's those with target.  If there is a
+    column counted, rows where it is false are scored but not counted.
 
     A null or wordless text has no tokens and null losses.  Repeated rows come back
     alike; other columns are not looked at.  Without target documents the target
-    model is uniform.
+    model is uniform; without rows there is no result.  A null target or counted
+    is false.
     """
-    _text.small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models.shared)
-    asked = rows.mapInArrow(_asker(shared), "id long, key long, times long, doc_id long, n long, own_background long, own_target long")
-    met = asked.join(models.terms, "key", "left")
-    # only documents' own rows have own sums, and only they ask for nothing
-    total = lambda c: F.sum(F.coalesce(F.col(f"own_{c}"), F.lit(0)) + F.col("times") * F.coalesce(F.col(c), F.lit(0))).alias(c)
-    sums = met.groupBy("id").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), total("background"), total("target"))
-    loss = lambda c, i: F.when(F.col("n_tokens") > 0, float(models.shared.totals[i]) - F.col(c) / float(UNIT) / F.col("n_tokens"))
-    losses = sums.select("doc_id", "n_tokens", loss("target", 1).alias("target_loss"), loss("background", 0).alias("background_loss"))
-    return losses.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    spark = rows.sparkSession
+    _text.small_batches(spark)
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c)
+    counted = flag("counted") if "counted" in rows.columns else F.lit(True).alias("counted")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), flag("target"), counted)
+    both = totals(rows.where("counted"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    steps, slices = size // plan.step + 1, size // plan.slice + 1
+    # the partition spreads rows that repeat
+    dealt = rows.withColumn("step", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(steps)))
+    asked = dealt.select("step", "text", "target", "counted", "doc_id").groupBy("step").applyInArrow(_asker(slices), "slice long, step long, keys binary, n binary, n_target binary")
+    answers = asked.groupBy("slice").applyInArrow(_answer, "step long, slice long, n binary, n_target binary")
+    scored = dealt.select("step", "text", "target", "counted", "doc_id").groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(_scorer(both, plan.backing), _SCORES)
+    return cut(scored, "losses").withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -33,7 +33,7 @@ def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of all documents against the good ones."""
-    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), lm_scoring.learn(_good(spark, sf_dir)))
+    return lm_scoring.score_documents(_good(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,14 +278,20 @@ def test_quality_of_nothing(spark):
 
 def test_language_models_prefer_their_own(spark):
     texts = [("the cat sat on the mat " if i % 2 else "zzz qqq vvv ppp kkk ") * 10 for i in range(40)] + AWKWARD
-    docs = documents(spark, texts)
-    target = docs.withColumn("target", F.coalesce((F.col("doc_id") < 40) & (F.col("doc_id") % 2 == 1), F.lit(False)))
-    models = lm_scoring.learn(target, lm_scoring.Size(words=50, bigrams=50))
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, models).collect()}
+    target = documents(spark, texts).withColumn("target", (F.col("doc_id") < 40) & (F.col("doc_id") % 2 == 1))
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(target).collect()}
     assert max(got[i]["difference"] for i in range(1, 40, 2)) < min(got[i]["difference"] for i in range(0, 40, 2))
     assert got[40]["n_tokens"] == 0 and got[40]["difference"] is None and got[44]["n_tokens"] == 2
 
 
+def test_language_models_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, target boolean")
+    assert lm_scoring.score_documents(none).collect() == []
+    got = lm_scoring.score_documents(spark.createDataFrame([(1, "a b", None), (2, None, True)], "doc_id long, text string, target boolean")).collect()
+    uniform = {r["doc_id"]: r["target_loss"] for r in got}
+    assert abs(uniform[1] - np.log(3)) < 1e-6 and uniform[2] is None
+
+
 def test_language_models_know_every_word_and_bigram(spark):
     texts = [prose(i, 60, 90) for i in range(12)] + [None, "", "one", "ONE two"]
     docs = documents(spark, texts)
@@ -305,9 +311,11 @@ def test_language_models_know_every_word_and_bigram(spark):
         return -(np.log(p(w[0])) + sum(np.log((pairs[i][v, x] + k * p(x)) / (contexts[i][v] + k)) for v, x in itertools.pairwise(w))) / len(w)
 
     scored = [*texts, "never seen w1 w2 before"]
+    other = spark.createDataFrame([(100, scored[-1], True, False)], "doc_id long, text string, target boolean, counted boolean")
     found = []
-    for size in (lm_scoring.Size(), lm_scoring.Size(words=3, bigrams=4)):
-        got = {r["doc_id"]: r for r in lm_scoring.score_documents(documents(spark, scored), lm_scoring.learn(rows, size)).collect()}
+    for plan in (lm_scoring.Plan(), lm_scoring.Plan(step=300, slice=700)):
+        got = {r["doc_id"]: r for r in lm_scoring.score_documents(rows.withColumn("counted", F.lit(True)).unionByName(other, True), plan).collect()}
+        got[len(texts)] = got.pop(100)
         for i, t in enumerate(scored):
             if not t:
                 assert got[i]["n_tokens"] == 0 and got[i]["target_loss"] is None
