@@ -1,9 +1,12 @@
 """WARC records, Merkle trees over their files, and audits of replicas.
 
-A file's leaves are the hashes of its records in the order of their offsets; a
-node hashes up to ``FAN`` neighbours of the level below and covers their range of
-offsets.  An audit compares the roots of two replicas and then only the children
-of nodes that differ, level by level, down to records.
+A file's leaves are its records in the order of their offsets.  A node covers
+neighbours of the level below, and so a range of offsets.  Which record opens a node
+is decided by a hash of the record's name alone: at level l one record in ``FAN`` ** l
+opens a node.  So a lost or added record changes the nodes around it and no others.
+A node hashes the offsets, sizes and hashes of its children, and beside it their
+hashes alone.  An audit compares the roots of two replicas and then only
+the children of nodes that differ, level by level, down to records.
 """
 
 from __future__ import annotations
@@ -48,15 +51,17 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of uncompressed WARC files: file, offset, size, hash, record_id, url, body.
 
-    What follows a header that cannot be read is one record with a null body.  A
-    file is one row in memory, so files are to be of a usual size (1 GB).
+    ``path`` is the folder of a replica; file is relative to it.  What follows a header
+    that cannot be read is one record with a null body.  A file is one row in memory, so
+    files are to be of a usual size (1 GB).
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_records, "file string, offset long, size long, hash string, record_id string, url string, body binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.substring_index(F.col("path"), path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return files.select(name.alias("path"), "content").mapInArrow(_records, "file string, offset long, size long, hash string, record_id string, url string, body binary")
 
 
 def lay_out(records: DataFrame, files: int) -> DataFrame:
-    """file, rank, offset, size, hash and record_id of ``records`` (record_id, place, size, hash), dealt over ``files`` files.
+    """file, offset, size, hash and record_id of ``records`` (record_id, place, size, hash), dealt over ``files`` files.
 
     A record goes to the file that its id, its place (a number that does not depend
     on its content) and, for repeated records, the number of the copy choose; in a
@@ -65,46 +70,70 @@ def lay_out(records: DataFrame, files: int) -> DataFrame:
     """
     copies = records.groupBy("record_id", "place", "size", "hash").agg(F.count("*").alias("m"))
     each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).withColumn("file", F.pmod(F.xxhash64("record_id", "place", "copy"), F.lit(files)).cast("long"))
-    inside = Window.partitionBy("file").orderBy("record_id", "place", "copy", "hash")
-    return each.select("file", (F.row_number().over(inside) - 1).cast("long").alias("rank"), (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("offset"), "size", "hash", "record_id")
+    inside = Window.partitionBy("file").orderBy("record_id", "place", "copy", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("file", (F.sum("size").over(inside) - F.col("size")).alias("offset"), "size", "hash", "record_id")
 
 
 class Tree:
-    """The levels of the trees of all files of one replica (file, rank, offset, size, hash, record_id); level 0 holds the records."""
+    """The levels of the trees of all files of one replica (file, offset, size, hash, record_id).
+
+    Level 0 holds the records, the last one root a file.  Every row has the id of its node and,
+    as up, that of its node one level higher.  A record's id stands for its record_id
+    and, if a file has several of that name, its number among them; an unnamed record
+    counts as named ''.  An empty replica has no rows at any level.
+    """
 
     def __init__(self, laid: DataFrame):
-        leaves = cut(laid, "records")
-        most = (leaves.agg(F.max("rank")).first()[0] or 0) + 1
-        self.levels = [leaves]
-        for _ in range(max(1, math.ceil(math.log(most, FAN) - 1e-9))):
-            below = self.levels[-1]
-            parts = below.groupBy("file", F.floor(F.col("rank") / FAN).alias("up")).agg(F.array_sort(F.collect_list(F.struct("rank", "hash"))).alias("children"), F.min("offset").alias("offset"), F.max(F.col("offset") + F.col("size")).alias("end"))
-            node = F.sha2(F.array_join(F.transform("children", lambda c: c.hash), "|"), 256)
-            self.levels.append(cut(parts.select("file", F.col("up").alias("rank"), "offset", (F.col("end") - F.col("offset")).alias("size"), node.alias("hash")), "nodes"))
-
-
-def audit(one: Tree, two: Tree) -> DataFrame:
-    """The records in which two replicas differ: file, rank, offset, size, record_id, status, hash_one and hash_two.
-
-    status is corrupt, missing (from the second) or extra (in it).  Trees of
-    different height are compared from the lower one's roots; a file that one
-    replica lacks differs as a whole.
+        same = Window.partitionBy("file", "record_id").orderBy("offset", "hash")
+        named = laid.select("file", "offset", "size", "hash", F.coalesce("record_id", F.lit("")).alias("record_id")).withColumn("copy", F.row_number().over(same))
+        records = cut(named.withColumn("id", F.xxhash64("record_id", "copy")), "records")
+        most = records.groupBy("file").count().agg(F.max("count")).first()[0] or 1
+        height = max(1, math.ceil(math.log(most, FAN) - 1e-9))
+        before = Window.partitionBy("file").orderBy("offset", "id").rowsBetween(Window.unboundedPreceding, 0)
+        # every node above level 0 is named for the record that opens it, the first one 0; the root is 0 too
+        opens = lambda level: F.coalesce(F.last(F.when(F.pmod("id", F.lit(FAN**level)) == 0, F.col("id")), True).over(before), F.lit(0).cast("long"))
+        ups = [f"up{level}" for level in range(1, height)]
+        inner = cut(records.select("*", *(opens(level).alias(f"up{level}") for level in range(1, height)), F.col("hash").alias("contents")), "leaves")
+        inner = inner.withColumn("hash", F.sha2(F.concat_ws(":", "offset", "size", "hash"), 256))
+        self.levels = [inner.select("file", "id", (F.col(ups[0]) if ups else F.lit(0).cast("long")).alias("up"), "offset", "size", "hash", "contents", "record_id")]
+        for level in range(1, height + 1):
+            above = ups[level:]
+            key = F.col(f"up{level}") if level < height else F.lit(0).cast("long")
+            children = F.array_sort(F.collect_list(F.struct("offset", "size", "hash", "contents")))
+            nodes = inner.groupBy("file", key.alias("id"), *above).agg(children.alias("children"), F.min("offset").alias("offset"), (F.max(F.col("offset") + F.col("size")) - F.min("offset")).alias("size"))
+            joined = lambda *c: F.sha2(F.array_join(F.transform("children", lambda x: F.concat_ws(":", *(x[n] for n in c))), "|"), 256)
+            inner = cut(nodes.select("file", "id", *above, "offset", "size", joined("offset", "size", "hash").alias("hash"), joined("contents").alias("contents")), "nodes")
+            self.levels.append(inner.select("file", "id", (F.col(above[0]) if above else F.lit(0).cast("long")).alias("up"), "offset", "size", "hash", "contents"))
+
+
+def audit(one: Tree, two: Tree, offsets: bool = True) -> DataFrame:
+    """The records in which two replicas differ: file, offset, size, record_id, status, hash_one and hash_two.
+
+    status is corrupt (other contents), moved (the same at another offset, only if
+    ``offsets`` count), missing (from the second) or extra (in it); offset and size are the
+    first replica's if it has the record.  A lost record is missing, and those behind it in its file are
+    moved.  A file that one replica lacks differs as a whole, and so does every file if
+    one replica is empty.  Trees of different height have a root and their lower levels
+    in common.
     """
-    top = min(len(one.levels), len(two.levels)) - 1
+    by = "hash" if offsets else "contents"
+    common = min(len(one.levels), len(two.levels)) - 2
+    steps = [(one.levels[-1], two.levels[-1]), *((one.levels[i], two.levels[i]) for i in range(common, -1, -1))]
     differing = None
-    for level in range(top, -1, -1):
-        a, b = one.levels[level], two.levels[level]
+    for k, pair in enumerate(steps):
+        last = k == len(steps) - 1
         if differing is not None:
-            up = differing.select("file", F.col("rank").alias("up")).distinct()
-            a, b = (x.withColumn("up", F.floor(F.col("rank") / FAN)).join(up, ["file", "up"], "left_semi").drop("up") for x in (a, b))
-        more = ["record_id"] if level == 0 else []
-        left, right = (x.select("file", "rank", F.struct("offset", "size", "hash", *more).alias(n)) for x, n in ((a, "a"), (b, "b")))
-        differing = left.join(right, ["file", "rank"], "full_outer").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
-        if level:
-            differing = cut(differing.select("file", "rank"), "differing")
+            # below the roots, levels that only one tree has are passed over
+            up = F.lit(0).cast("long") if k == 1 else F.col("up")
+            pair = [x.withColumn("up", up).join(differing.where(side).select("file", F.col("id").alias("up")), ["file", "up"], "left_semi") for x, side in zip(pair, ("in_one", "in_two"), strict=True)]
+        more = ["contents", "record_id"] if last else []
+        left, right = (x.select("file", "id", F.struct("offset", "size", F.col(by).alias("by"), *more).alias(n)) for x, n in zip(pair, "ab", strict=True))
+        differing = left.join(right, ["file", "id"], "full_outer").where(~F.col("a.by").eqNullSafe(F.col("b.by")))
+        if not last:
+            differing = cut(differing.select("file", "id", F.col("a").isNotNull().alias("in_one"), F.col("b").isNotNull().alias("in_two")), "differing")
     pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
-    status = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("corrupt")
-    return differing.select("file", "rank", pick("offset"), pick("size"), pick("record_id"), status.alias("status"), F.col("a.hash").alias("hash_one"), F.col("b.hash").alias("hash_two"))
+    status = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(F.col("a.contents") == F.col("b.contents"), "moved").otherwise("corrupt")
+    return differing.select("file", pick("offset"), pick("size"), pick("record_id"), status.alias("status"), F.col("a.contents").alias("hash_one"), F.col("b.contents").alias("hash_two"))
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -330,11 +330,56 @@ def test_corrupt_records_are_located(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(None, None, None), (7, "http://h/7", "<p>7</p>" * 2)], "page_id long, url string, html string")
     bad = pages.withColumn("html", F.when(F.col("page_id").isin(10, 77, 299), F.concat("html", F.lit("!"))).otherwise(F.col("html")))
     trees = [fixity.Tree(fixity.lay_out(fixity.page_records(p), 3)) for p in (pages, bad)]
-    got = sorted((r["record_id"], r["status"]) for r in fixity.audit(*trees).collect())
-    assert got == [("10", "corrupt"), ("299", "corrupt"), ("77", "corrupt")]
+    bad = {("corrupt", i): 1 for i in ("10", "77", "299")}
+    assert statuses(*trees, offsets=False) == bad
+    # the records behind them have moved
+    assert {x: n for x, n in statuses(*trees).items() if x[0] != "moved"} == bad
     assert fixity.audit(trees[0], trees[0]).collect() == []
 
 
+def statuses(one, two, **options):
+    return Counter((r["status"], r["record_id"]) for r in fixity.audit(one, two, **options).collect())
+
+
+def test_lost_added_moved_and_swapped_records(spark):
+    rows = [(0, 10 * i, 10, f"h{i}", f"r{i}") for i in range(300)] + [(1, 0, 5, "x", "only")]
+    tree = lambda rows: fixity.Tree(spark.createDataFrame(rows, "file long, offset long, size long, hash string, record_id string"))
+    whole = tree(rows)
+    lost = tree([(f, o - 10 * (f == 0 and o > 1000), s, h, r) for f, o, s, h, r in rows if r != "r100"])
+    behind = {("moved", f"r{i}"): 1 for i in range(101, 300)}
+    assert statuses(whole, lost) == {("missing", "r100"): 1, **behind}
+    assert statuses(lost, whole) == {("extra", "r100"): 1, **behind}
+    assert statuses(whole, lost, offsets=False) == {("missing", "r100"): 1}
+    shifted = tree([(f, o + 7, s, h, r) for f, o, s, h, r in rows])
+    assert len(statuses(whole, shifted)) == 301 and not statuses(whole, shifted, offsets=False)
+    swapped = tree([(f, {50: 200, 200: 50}.get(o // 10, o // 10) * 10 if f == 0 else o, s, h, r) for f, o, s, h, r in rows])
+    assert statuses(whole, swapped) == {("moved", "r50"): 1, ("moved", "r200"): 1}
+    bad = tree([(f, o, s, h + "!" * (r in ("r0", "r299")), r) for f, o, s, h, r in rows if f == 0])
+    assert statuses(whole, bad) == {("corrupt", "r0"): 1, ("corrupt", "r299"): 1, ("missing", "only"): 1}
+    nothing = tree([])
+    assert statuses(whole, nothing) == {("missing", r[4]): 1 for r in rows} and not statuses(nothing, nothing)
+    twice = tree([(0, 0, 3, "a", None), (0, 3, 3, "a", None)])
+    assert statuses(twice, tree([(0, 0, 3, "a", None)])) == {("missing", ""): 1}
+
+
+def test_only_differing_nodes_are_descended(spark):
+    rows = [(0, 10 * i, 10, f"h{i}", f"r{i}") for i in range(2000)]
+    one, two = (fixity.Tree(spark.createDataFrame([(f, o, s, h + x * (r == "r900"), r) for f, o, s, h, r in rows], "file long, offset long, size long, hash string, record_id string")) for x in ("", "!"))
+    for a, b in zip(one.levels[1:], two.levels[1:], strict=True):
+        assert a.select("file", "id", "hash").exceptAll(b.select("file", "id", "hash")).count() == 1
+
+
+def test_written_replicas_are_audited(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(40)], "page_id long, url string, html string")
+    texts = [r[0].encode() for r in pages.orderBy("page_id").select(fixity.record("page_id", "url", "html")).collect()]
+    for name, change in (("one", lambda t: t), ("two", lambda t: t.replace(b"<p>12</p>", b"<p>1Z</p>"))):
+        for part in range(2):
+            (tmp_path / name / f"part{part}").mkdir(parents=True)
+            (tmp_path / name / f"part{part}" / "a.warc").write_bytes(b"".join(map(change, texts[part::2])))
+    trees = [fixity.Tree(fixity.read_warc(spark, f"{tmp_path}/{name}")) for name in ("one", "two")]
+    assert [(r["file"], r["status"], r["record_id"]) for r in fixity.audit(*trees).collect()] == [("part0/a.warc", "corrupt", "<urn:record:12>")]
+
+
 def test_warc_files_are_read(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>ü</p>"), (2, "http://b/", "")], "page_id long, url string, html string")
     texts = [r[0] for r in pages.orderBy("page_id").select(fixity.record("page_id", "url", "html")).collect()]
