@@ -7,9 +7,10 @@ entropy of a text of n letters in c phrases against a sample of N letters is
 c * log2(N) / n bits a letter, and the language with the least of it wins.
 
 Only letters count: they are lower-cased, and every run of other characters is
-one space.  Texts are parsed in blocks of ``BLOCK`` symbols, whole, many blocks
-at a time: one table look-up a symbol and language, with the phrase count in the
-low bit of the entry.  The table has columns for the most frequent letters only;
+one space.  Many stretches of ``BLOCK`` symbols are parsed at a time: one table look-up a
+symbol and language, with the phrase count in the low bits of the entry.  A stretch
+that does not begin in the state where the one before it has ended is parsed
+again from there, until none is left, so phrases run through the whole text.  The table has columns for the most frequent letters only;
 transitions of all other learned letters are in a sorted list.
 """
 
@@ -32,17 +33,21 @@ from evidencelake.llm._sample import bounded_sample
 UNDETERMINED = "und"
 BLOCK = 512
 #: Letters with columns in the table, at most, and entries of the table, about so many at most.
-DENSE, ENTRIES = 250, 1 << 26
+DENSE, ENTRIES = 60, 1 << 24
 SPACE = " "
 
 
 @dataclass(frozen=True)
 class Sampling:
-    """Bounds of the sample that is learned: documents of a language, code points of a document, symbols of an automaton."""
+    """Bounds of the sample that is learned: documents of a language, pieces of a document and code points of a piece.
 
-    documents: int = 400
-    characters: int = 400
-    symbols: int = 40_000
+    A document of at most pieces * characters code points is learned whole, of a
+    longer one a piece at a hashed place of each of as many equal parts.
+    """
+
+    documents: int = 100
+    pieces: int = 4
+    characters: int = 100
 
 
 def fold(c: str) -> str:
@@ -174,7 +179,8 @@ def fit(samples: dict[str, str], dense: int = DENSE) -> Model:
         c = chr(point)
         if c.isalpha():
             codes[point] = symbol.get(fold(c), 2)
-    parts, roots, bits, base = [], [], [], 0
+    every = np.empty(states * width + width, dtype=np.int32)
+    roots, bits, base = [], [], 0
     keys, targets = array("q"), array("q")
     for lang in languages:
         automaton = SuffixAutomaton(samples[lang])
@@ -185,7 +191,10 @@ def fit(samples: dict[str, str], dense: int = DENSE) -> Model:
                 root[symbol[c]] = base + to * width
         unknown = root < 0
         # no transition: the phrase has ended, and the next begins at the root
-        table = np.tile(np.where(unknown, base * 4 + 2, root * 4 + 1), (rows, 1))
+        if (base + rows * width) * 4 > np.iinfo(np.int32).max:
+            raise ValueError("the samples are too large: take fewer documents of each language")
+        table = every[base : base + rows * width].reshape(rows, width)
+        table[:] = np.where(unknown, base * 4 + 2, root * 4 + 1)
         table[0] = np.where(unknown, base * 4 + 1, root * 4)
         for state, following in enumerate(automaton.next):
             for c, to in following.items():
@@ -195,18 +204,30 @@ def fit(samples: dict[str, str], dense: int = DENSE) -> Model:
                     keys.append((base + state * width) * number + symbol[c])
                     targets.append(base + to * width)
         table[:, 0] = (base + np.arange(rows) * width) * 4
-        parts.append(table.ravel().astype(np.int32))
         roots.append(base)
         bits.append(math.log2(max(2, len(samples[lang]))))
         base += rows * width
-    if base * 4 > np.iinfo(np.int32).max:
-        raise ValueError("the samples are too large: take fewer symbols of each language")
-    table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    table = every[:base]
     rare, to = np.array(keys, dtype=np.int64), np.array(targets, dtype=np.int32)
     order = np.argsort(rare)
     return Model(languages, table, np.array(roots, dtype=np.int32), np.array(bits), codes, width, number, rare[order], to[order])
 
 
+def _advance(model: Model, symbols: np.ndarray, low: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each stretch of ``symbols``, and the state after it, for each language (a row each) from its ``entry``."""
+    order = np.argsort(-length, kind="stable")
+    length = length[order]
+    columns = symbols[low[order][None, :] + np.arange(int(length[0]))[:, None]]
+    active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    state, count = entry[:, order], np.zeros(entry.shape, dtype=np.int64)
+    for t, n in enumerate(active):
+        found = model.entries(state[:, :n], columns[t, :n])
+        count[:, :n] += found & 3
+        state[:, :n] = found >> 2
+    back = np.argsort(order, kind="stable")
+    return count[:, back], state[:, back]
+
+
 def parse(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters of each row, and its entropy in bits a letter under each language (infinite without a letter)."""
     rows, k = len(offsets) - 1, len(model.languages)
@@ -226,22 +247,21 @@ def parse(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     low = at[row] + number * BLOCK
     length = np.minimum(BLOCK, at[row + 1] - low)
-    order = np.argsort(-length, kind="stable")
-    row, low, length = row[order], low[order], length[order]
-    lanes = len(row)
     phrases = np.zeros((k, rows))
-    if lanes and k:
+    if len(row) and k:
         padded = np.concatenate([symbols, np.zeros(BLOCK, np.int32)])
-        columns = padded[low[None, :] + np.arange(BLOCK)[:, None]].astype(np.int32)
-        active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
-        state = np.repeat(model.roots[:, None], lanes, axis=1)
-        count = np.zeros((k, lanes), dtype=np.int32)
-        for t in range(int(length[0])):
-            n = active[t]
-            entry = model.entries(state[:, :n], columns[t, :n])
-            count[:, :n] += entry & 3
-            state[:, :n] = entry >> 2
-        count += state != model.roots[:, None]
+        opens = number == 0
+        entry = np.repeat(model.roots[:, None], len(row), axis=1)
+        leave, count = entry.copy(), np.zeros(entry.shape, dtype=np.int64)
+        pending = np.arange(len(row))
+        while len(pending):
+            count[:, pending], leave[:, pending] = _advance(model, padded, low[pending], length[pending], entry[:, pending])
+            after = pending[pending + 1 < len(row)] + 1
+            after = after[~opens[after]]
+            pending = after[(entry[:, after] != leave[:, after - 1]).any(axis=0)]
+            entry[:, pending] = leave[:, pending - 1]
+        closes = np.append(opens[1:], True)
+        count += closes & (leave != model.roots[:, None])
         for i in range(k):
             phrases[i] = np.bincount(row, weights=count[i], minlength=rows)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -275,11 +295,15 @@ def _predictor(shared):
 
 def learn(rows: DataFrame, sampling: Sampling = Sampling()) -> Model:
     """A model from ``rows`` (doc_id, text, lang): a bounded sample of the rows of each language."""
-    texts = rows.select("doc_id", "lang", F.substring("text", 1, sampling.characters).alias("text"))
-    pieces: dict[str, list[str]] = {}
+    n, size = F.length("text"), sampling.characters
+    part = F.floor(n / sampling.pieces).cast("int")
+    place = lambda i: F.lit(i) * part + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(part - size + 1, F.lit(1))).cast("int")
+    spread = F.concat_ws(SPACE, *(F.substring(F.col("text"), place(i) + 1, F.lit(size)) for i in range(sampling.pieces)))
+    texts = rows.select("doc_id", "lang", F.when(n > sampling.pieces * size, spread).otherwise(F.col("text")).alias("text"))
+    learned: dict[str, list[str]] = {}
     for r in bounded_sample(texts.where("text IS NOT NULL"), "lang", sampling.documents):
-        pieces.setdefault(r["lang"], []).append(normalise(r["text"]))
-    return fit({lang: SPACE.join(p)[: sampling.symbols] for lang, p in pieces.items()})
+        learned.setdefault(r["lang"], []).append(normalise(r["text"]))
+    return fit({lang: SPACE.join(p) for lang, p in learned.items()})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -394,7 +394,8 @@ def test_cross_parsing_matches_the_automaton():
     samples = {"aa": language_id.normalise("the cat sat on the mat and the rat"), "bb": language_id.normalise("der hund und die katze über dem haus")}
     model = language_id.fit(samples)
     automata = [language_id.SuffixAutomaton(samples[k]) for k in ("aa", "bb")]
-    texts = ["The cat!", "ÜBER dem Haus 12", "zzz", "", "x" * 700, "die   katze, the mat"]
+    quote = "the cat sat on the mat and the rat "
+    texts = ["The cat!", "ÜBER dem Haus 12", "zzz", "", "x" * 700, "die   katze, the mat", quote * 60, "zq" * 300 + quote * 40 + "über dem haus " * 200]
     data, offsets = _text.buffers(pa.array(texts))
     letters, bits = language_id.parse(model, data, offsets)
     for i, t in enumerate(texts):
@@ -402,7 +403,7 @@ def test_cross_parsing_matches_the_automaton():
         n = sum(c != " " for c in form)
         assert letters[i] == n
         for k, automaton in enumerate(automata):
-            count = sum(automaton.phrases(form[b : b + language_id.BLOCK]) for b in range(0, len(form), language_id.BLOCK))
+            count = automaton.phrases(form)
             assert n == 0 or abs(bits[i, k] - count * model.bits[k] / n) < 1e-9
 
 
@@ -419,11 +420,35 @@ def test_letters_of_many_scripts_are_all_known(dense):
         automaton = language_id.SuffixAutomaton(samples[lang])
         for i, t in enumerate(texts):
             form = language_id.normalise(t)
-            count = sum(automaton.phrases(form[b : b + language_id.BLOCK]) for b in range(0, len(form), language_id.BLOCK))
+            count = automaton.phrases(form)
             assert abs(bits[i, k] - count * model.bits[k] / letters[i]) < 1e-9
     assert [model.languages[i] for i in bits[:2].argmin(axis=1)] == ["hangul", "han"] and bits[:2].min() < 1
 
 
+def test_quotes_go_to_the_language_that_has_them(spark):
+    r = random.Random(8)
+    points = r.sample(range(0x4E00, 0x9FA0), 12000)
+    samples = {lang: "".join(map(chr, points[i::2])) for i, lang in enumerate(("a", "b"))}
+    model = language_id.fit(samples)
+    texts = [samples[lang][at : at + 200] for lang in samples for at in (0, 2500, 5700)]
+    _, bits = language_id.parse(model, *_text.buffers(pa.array(texts)))
+    assert bits.argmin(axis=1).tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_whole_documents_are_learned_from(spark):
+    filler = "lorem " * 2000
+    rows = spark.createDataFrame([(i, filler + "zyxw " * 4000, "long") for i in range(40)] + [(100, "kurz und gut", "short")], "doc_id long, text string, lang string")
+    model = language_id.learn(rows, language_id.Sampling(documents=20))
+    assert model.languages == ["long", "short"]
+    _, bits = language_id.parse(model, *_text.buffers(pa.array(["zyxw zyxw zyxw zyxw", "kurz und gut"])))
+    assert bits.argmin(axis=1).tolist() == [0, 1] and bits[0, 0] < 2
+
+
+def test_no_documents_have_no_language(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id.identify(none, language_id.learn(none)).collect() == []
+
+
 def test_languages(spark):
     texts = ["the cat and the dog are here with the others " * 3] * 5 + ["der hund und die katze sind nicht hier " * 3] * 5 + AWKWARD + ["123 !"]
     rows = spark.createDataFrame([(i, t, "en" if i < 5 else "de" if i < 10 else None, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score double")
