@@ -42,13 +42,17 @@ SLOTS = len(PREFIXES) + 1
 
 @dataclass(frozen=True)
 class Fitting:
-    """Bounds and settings: documents of each label; least toxic documents, odds and z of a feature; features that explain a document; windows and their length."""
+    """Bounds and settings: toxic and plain documents; least toxic documents, odds and z of a feature; features that explain a document; windows and their length.
+
+    Of the windows of the sampled documents every n-th is fitted, at most half of ``windows`` with lexicon tokens.
+    """
 
     documents: int = 1000
-    least_documents: int = 4
+    plain: int = 2400
+    least_documents: int = 3
     least_odds: float = 8.0
-    least_z: float = 3.0
-    cover: int = 6
+    least_z: float = 4.0
+    cover: int = 12
     features: int = 1024
     windows: int = 4000
     window: int = 64
@@ -141,6 +145,12 @@ def _features(probabilities: np.ndarray) -> np.ndarray:
     return np.array([1.0, probabilities.max(), np.log1p(probabilities.sum())])
 
 
+def _entropy(yes: np.ndarray, both: np.ndarray, share: float) -> np.ndarray:
+    """Log likelihood ratio of ``yes`` of ``both`` toxic documents against a common ``share``."""
+    no = both - yes
+    return yes * np.log(np.maximum(yes, 1) / (both * share)) + no * np.log(np.maximum(no, 1) / (both * (1 - share)))
+
+
 def _lexicon(texts: list[np.ndarray], toxic: np.ndarray, f: Fitting) -> np.ndarray:
     """Features that set toxic documents apart, from the distinct features of each text."""
     sizes = np.array([toxic.sum(), (~toxic).sum()], dtype=float)
@@ -152,8 +162,9 @@ def _lexicon(texts: list[np.ndarray], toxic: np.ndarray, f: Fitting) -> np.ndarr
     yes, no = np.bincount(inverse[bad], minlength=len(vocabulary)), np.bincount(inverse[~bad], minlength=len(vocabulary))
     a, b = yes + 0.5, no + 0.5
     odds = np.log(a / (sizes[0] + 1 - a)) - np.log(b / (sizes[1] + 1 - b))
-    deviation = np.sqrt(1 / a + 1 / b + 1 / (sizes[0] + 1 - a) + 1 / (sizes[1] + 1 - b))
-    good = np.flatnonzero((yes >= min(f.least_documents, 2 + sizes[0] / 20)) & (odds > np.log(f.least_odds)) & (odds / deviation > min(f.least_z, 1.5 + sizes[0] / 100)))
+    # the root of the likelihood ratio: features that few documents have are judged fairly even if no plain one has them
+    z = np.sqrt(2 * (_entropy(yes, yes + no, sizes[0] / sizes.sum())))
+    good = np.flatnonzero((yes >= min(f.least_documents, 2 + sizes[0] / 20)) & (odds > np.log(f.least_odds)) & (z > min(f.least_z, 1.5 + sizes[0] / 100)))
     good = good[np.argsort(-yes[good], kind="stable")][: 8 * f.features]
     if not len(good):
         return np.zeros(0, _text.U64)
@@ -165,17 +176,19 @@ def _lexicon(texts: list[np.ndarray], toxic: np.ndarray, f: Fitting) -> np.ndarr
     has = has[:, toxic]
     wrong = no[good] * 10.0 * sizes[0] / sizes[1]
     left, chosen, taken = np.full(has.shape[1], f.cover), [], set()
+    gain = has.sum(axis=1) - wrong
     for _ in range(f.features):
-        gain = has @ (left > 0).astype(float) - wrong
         best = int(np.argmax(gain))
         if gain[best] < min(f.least_documents, 2 + sizes[0] / 20):
             break
+        gain[best] = -1.0
         key = has[best].tobytes()
         if key not in taken:  # a feature of the same documents adds nothing
             chosen.append(best)
             taken.add(key)
+            explained = has[best] & (left == 1)
             left = left - has[best]
-        has[best] = False
+            gain = gain - has[:, explained].sum(axis=1)
     return np.sort(vocabulary[good[chosen]])
 
 
@@ -315,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, f: Fitting = Fitting()) -> Field:
     Rows with a null id or label are left out; of several labels of one document the largest counts.
     """
     rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = bounded_sample(rows.join(docs.select("doc_id").where("text IS NOT NULL"), "doc_id", "left_semi"), "toxic", f.documents)
+    picked = bounded_sample(rows.join(docs.select("doc_id").where("text IS NOT NULL"), "doc_id", "left_semi"), "toxic", {1: f.documents, 0: f.plain})
     spark = docs.sparkSession
     if not picked:
         return fit([], [], f)
