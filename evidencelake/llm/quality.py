@@ -2,9 +2,9 @@
 
 Words are runs of anything but white space, so that marks stuck to words count.
 Two bags of hashed unigrams and bigrams are counted over all texts: the target's
-and the raw corpus's.  A text's log importance weight is the mean log ratio of the
-two smoothed distributions over its n-grams, times ``scale`` n-grams, so that long
-texts are not favoured for their length.  The resample is the Gumbel top-k: the k
+and the raw corpus's.  A text's log importance weight is the sum of the log
+ratios of the two smoothed distributions over its n-grams; with ``per`` set, it is
+the mean log ratio times so many n-grams, so that length counts for nothing.  The resample is the Gumbel top-k: the k
 rows of the largest weight plus Gumbel noise, which are k draws without
 replacement in proportion to the weights.
 """
@@ -27,10 +27,10 @@ from evidencelake.llm.ngrams import counted, totals
 
 @dataclass(frozen=True)
 class Resampling:
-    """Buckets of the hashed n-grams, n-grams a weight stands for, the share of rows drawn, the seed, rows ranked in one task at most."""
+    """Buckets of the hashed n-grams, n-grams that every text counts as having (None: its own), the share of rows drawn, the seed, rows ranked in one task at most."""
 
     buckets: int = 10_000
-    scale: float = 50.0
+    per: float | None = None
     share: float = 0.5
     seed: int = 7
     ranked: int = 100_000
@@ -63,8 +63,10 @@ def _weigher(ratio: np.ndarray, r: Resampling):
                 row = np.searchsorted(first[1:], np.arange(len(hashes)), side="right")
                 grams, own = _grams(hashes, row, r.buckets)
                 n = np.bincount(own, minlength=high - low)
-                mean = np.bincount(own, weights=ratio[grams], minlength=high - low) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high].cast(pa.int64()), batch.column("h")[low:high], pa.array(n.astype(np.int64)), pa.array(mean * r.scale)], names=["doc_id", "h", "n_grams", "weight"])
+                weight = np.bincount(own, weights=ratio[grams], minlength=high - low)
+                if r.per is not None:
+                    weight = weight / np.maximum(n, 1) * r.per
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high].cast(pa.int64()), batch.column("h")[low:high], pa.array(n.astype(np.int64)), pa.array(weight)], names=["doc_id", "h", "n_grams", "weight"])
 
     return run
 

@@ -271,6 +271,38 @@ def test_quality_draws_exactly_k(spark):
     assert sum(r["doc_id"] is not None and r["doc_id"] % 2 == 1 for r in chosen) > 45
 
 
+@pytest.mark.parametrize("per", [None, 20.0])
+def test_importance_weights_match_brute_force(spark, per):
+    texts = [prose(i, 5 + 7 * (i % 5), 60) for i in range(30)] + AWKWARD
+    docs = documents(spark, texts)
+    rows = docs.withColumn("target", F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)))
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        return [(w,) for w in words] + list(itertools.pairwise(words))
+
+    size = 997
+    number = {}
+    # the bucket of an n-gram is taken from the operator's hash, everything else is counted anew
+    for low, high, hashes, first in _text.tokens(pa.array([t or "" for t in texts] + ["of no id at all in these few words"]), _text.NON_SPACE):
+        row = np.searchsorted(first[1:], np.arange(len(hashes)), side="right")
+        found, own = quality._grams(hashes, row, size)
+        for i in range(low, high):
+            text = texts[i] if i < len(texts) else "of no id at all in these few words"
+            number.update(zip(grams(text), found[own == i - low].tolist(), strict=True))
+    counts = np.ones((2, size))
+    for r in rows.collect():
+        for g in grams(r["text"]):
+            counts[0, number[g]] += 1
+            counts[1, number[g]] += r["target"]
+    log = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    r = quality.Resampling(buckets=size, per=per)
+    got = {x["doc_id"]: x for x in quality.resample(docs, rows, r).collect()}
+    for i, t in enumerate(texts):
+        own = [log[number[g]] for g in grams(t)]
+        wanted = sum(own) if per is None else per * sum(own) / max(1, len(own))
+        assert got[i]["n_grams"] == len(own) and abs(got[i]["weight"] - wanted) < 1e-9
+
+
 def test_quality_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.resample(none, none.withColumn("target", F.lit(True))).collect() == []
