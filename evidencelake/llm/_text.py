@@ -8,6 +8,8 @@ from prefix sums, and then mixed; sequences of words hash alike.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +75,25 @@ def small_batches(spark) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: the driver, and Python workers between tasks, live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(run):
+    """``run`` on the batches of a task, with the memory given back at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices ``pool[start : start + size]`` one after the other."""
     ends = np.cumsum(sizes)

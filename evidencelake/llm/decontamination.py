@@ -215,12 +215,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, m: Matching = Matching(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
     for tests in test_items(benchmark, m):
-        index = cut(texts.mapInArrow(_indexer(spark.sparkContext.broadcast(tests), m), _INDEX).withColumn("block", F.monotonically_increasing_id()), "postings")
+        index = cut(texts.mapInArrow(_text.releasing(_indexer(spark.sparkContext.broadcast(tests), m)), _INDEX).withColumn("block", F.monotonically_increasing_id()), "postings")
         counted = index.select(F.inline(F.arrays_zip("terms", "counts"))).groupBy("terms").agg(F.sum("counts").alias("n")).collect()
         frequency = np.zeros(len(tests.terms), np.int64)
         for r in counted:
             frequency[r["terms"]] = r["n"]
-        found.append(index.mapInArrow(_searcher(spark.sparkContext.broadcast((tests, frequency)), m), _FOUND))
+        found.append(index.mapInArrow(_text.releasing(_searcher(spark.sparkContext.broadcast((tests, frequency)), m)), _FOUND))
     if len(found) == 1:
         return found[0].drop("block", "place")
     every = found[0]

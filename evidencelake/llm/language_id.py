@@ -303,7 +303,9 @@ def learn(rows: DataFrame, sampling: Sampling = Sampling()) -> Model:
     learned: dict[str, list[str]] = {}
     for r in bounded_sample(texts.where("text IS NOT NULL"), "lang", sampling.documents):
         learned.setdefault(r["lang"], []).append(normalise(r["text"]))
-    return fit({lang: SPACE.join(p) for lang, p in learned.items()})
+    model = fit({lang: SPACE.join(p) for lang, p in learned.items()})
+    _text.release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -319,4 +321,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
     rows = docs.select(*(c for c in carry if c != "text"), F.col(text).cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictor(shared), f"{kinds}, lang_pred string, score double, bits double").drop(*({"text"} - set(carry)))
+    return rows.mapInArrow(_text.releasing(_predictor(shared)), f"{kinds}, lang_pred string, score double, bits double").drop(*({"text"} - set(carry)))

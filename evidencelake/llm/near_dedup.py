@@ -162,7 +162,7 @@ class NearDuplicates:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """One row per text with its class, and one row per class with what finds its partners."""
-        signed = cut(self.docs.mapInArrow(_signer(self.p), _SIGNED), "signed")
+        signed = cut(self.docs.mapInArrow(_text.releasing(_signer(self.p)), _SIGNED), "signed")
         same = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
         classes = cut(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
         members = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "cid", "rep"), ["d1", "d2"], "left")
@@ -195,7 +195,7 @@ class NearDuplicates:
         ids = cut(cids.distinct().join(classes, "cid").select("rep", "cid", "d1", "d2"), "wanted")
         if ids.count() * 32 < BROADCAST_BYTES:
             ids = F.broadcast(ids)
-        found = self.docs.join(ids, F.col("doc_id") == F.col("rep")).select("cid", "d1", "d2", "text").mapInArrow(_sets(self.p.words), "cid long, shingles array<long>")
+        found = self.docs.join(ids, F.col("doc_id") == F.col("rep")).select("cid", "d1", "d2", "text").mapInArrow(_text.releasing(_sets(self.p.words)), "cid long, shingles array<long>")
         return cut(found.groupBy("cid").agg(F.first("shingles").alias("value")), "sets")
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:

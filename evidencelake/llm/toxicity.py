@@ -335,7 +335,9 @@ def learn(docs: DataFrame, labels: DataFrame, f: Fitting = Fitting()) -> Field:
     chosen = F.broadcast(spark.createDataFrame([(int(r["doc_id"]), int(r["toxic"])) for r in picked], "doc_id long, toxic int"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     texts = sorted((r["doc_id"], r["toxic"], r["text"]) for r in found.collect())
-    return fit([t[2] for t in texts], [t[1] for t in texts], f)
+    field = fit([t[2] for t in texts], [t[1] for t in texts], f)
+    _text.release_memory()
+    return field
 
 
 def score_toxicity(docs: DataFrame, field: Field, text: str = "text", carry: tuple[str, ...] = ("doc_id",), tagged: float = 0.5) -> DataFrame:
@@ -349,4 +351,4 @@ def score_toxicity(docs: DataFrame, field: Field, text: str = "text", carry: tup
     _text.small_batches(docs.sparkSession)
     rows = docs.select(*(c for c in carry if c != "text"), F.col(text).cast("string").alias("text"))
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
-    return rows.mapInArrow(_tagger(field, tagged), f"{kinds}, score double, spans {SPANS}").drop(*({"text"} - set(carry)))
+    return rows.mapInArrow(_text.releasing(_tagger(field, tagged)), f"{kinds}, score double, spans {SPANS}").drop(*({"text"} - set(carry)))
