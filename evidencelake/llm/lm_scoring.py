@@ -83,14 +83,25 @@ def _sliced(keys: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes as hold the largest, with the number of bytes in front."""
-    most = int(counts.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
-    return bytes([width]) + counts.astype(f"<i{width}").tobytes()
+    """Counts of a byte each; 255 stands for a larger one, which follows behind them all."""
+    large = counts[counts >= 255]
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
 
 
 def _large(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, f"<i{held[0]}", offset=1).astype(np.int64)
+    size = int.from_bytes(held[:8], "little")
+    counts = np.frombuffer(held, np.uint8, size, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(held, "<i8", offset=8 + size)
+    return counts
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Ascending keys, byte by byte: first bytes of neighbours are alike and compress well."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _keys(held: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(_text.U64)
 
 
 def _asker(slices: int):
@@ -107,7 +118,7 @@ def _asker(slices: int):
         parts = [slice(cuts[i], cuts[i + 1]) for i in some]
         number = table.column("step")[0].as_py()
         return pa.table(
-            [pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([values[p].tobytes() for p in parts], pa.binary()), pa.array([_small(n[p]) for p in parts], pa.binary()), pa.array([_small(own[p]) for p in parts], pa.binary())],
+            [pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([_planes(values[p]) for p in parts], pa.binary()), pa.array([_small(n[p]) for p in parts], pa.binary()), pa.array([_small(own[p]) for p in parts], pa.binary())],
             names=["slice", "step", "keys", "n", "n_target"],
         )
 
@@ -116,7 +127,7 @@ def _asker(slices: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each step that asks a slice, the counts of its keys in all steps."""
-    asked = [np.frombuffer(x, _text.U64) for x in table.column("keys").to_pylist()]
+    asked = [_keys(x) for x in table.column("keys").to_pylist()]
     values, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     cuts = np.cumsum([len(x) for x in asked])[:-1]
     found = []
