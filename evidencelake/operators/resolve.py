@@ -12,6 +12,8 @@ from evidencelake.operators.lineage import cut
 DATE_WEIGHTS = {"exact_day": 0.34, "same_value": 0.24, "same_month": 0.18}
 CONTAINMENT, JACCARD, SHARED, MUTUAL, ORGANIZATION, LOCATION, TYPE = 0.22, 0.10, 0.14, 0.10, 0.04, 0.03, 0.03
 LEAST, AUTOMATIC = 0.70, 0.80
+#: Fixed value: the type of events that have no other.
+GENERIC = "activity"
 
 
 def date_relation(a: Column, b: Column) -> Column:
@@ -41,9 +43,22 @@ def pair_score(relation: Column, containment: Column, jaccard: Column, shared: C
 
 
 def representative(events: DataFrame, group: str) -> DataFrame:
-    """The event of each group that stands for it: the best reviewed, surest, then the shortest description, then the largest id."""
+    """The event of each group that stands for it.
+
+    The best reviewed, surest, one of an exact day (if there is a column precision), of a type other than
+    ``GENERIC``, with the shortest description, then of the largest id.
+    """
     rank = F.when(F.col("review_status") == "confirmed", 2).when(F.col("review_status") == "unreviewed", 1).otherwise(0)
-    return events.groupBy(group).agg(F.max_by(F.struct("*"), F.struct(rank, "confidence", -F.length("description"), "event_id")).alias("e")).select(group, "e.event_id", "e.confidence", "e.review_status")
+    exact = [(F.col("precision") == "day")] if "precision" in events.columns else []
+    specific = [(F.col("event_type") != GENERIC)] if "event_type" in events.columns else []
+    return events.groupBy(group).agg(F.max_by(F.struct("*"), F.struct(rank, "confidence", *exact, *specific, -F.length("description"), "event_id")).alias("e")).select(group, "e.event_id", "e.confidence", "e.review_status")
+
+
+def canonical_type(members: DataFrame, group: str) -> DataFrame:
+    """group and event_type: the one all members have, else the only one besides ``GENERIC``, else the representative's (of the row with is_representative)."""
+    kinds, specific = F.collect_set("event_type"), F.collect_set(F.when(F.col("event_type") != GENERIC, F.col("event_type")))
+    own = F.max(F.when(F.col("is_representative"), F.col("event_type")))
+    return members.groupBy(group).agg(F.when(F.size(kinds) == 1, F.array_max(kinds)).when(F.size(specific) == 1, F.array_max(specific)).otherwise(own).alias("event_type"))
 
 
 def field_variants(events: DataFrame, group: str, fields: list[str]) -> DataFrame:
@@ -86,9 +101,9 @@ def components(pairs: DataFrame) -> DataFrame:
         # labels also jump to the label of their label, so that long chains take few rounds
         jump = labels.select(F.col("x").alias("component"), F.col("component").alias("up"))
         after = cut(labels.join(nearest, "x", "left").join(jump, "component", "left").select("x", F.least("component", F.coalesce("near", "component"), F.coalesce("up", "component")).alias("component")))
-        changed = after.agg(F.sum("component")).first()[0] != labels.agg(F.sum("component")).first()[0]
+        same = after.join(labels.withColumnRenamed("component", "before"), "x").where("component <> before").isEmpty()
         labels = after
-        if not changed:
+        if same:
             return labels.withColumnRenamed("x", "node")
 
 

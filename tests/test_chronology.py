@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from evidencelake.operators import chronology as C
 
 
@@ -45,3 +47,17 @@ def test_summary_and_sample(spark, built):
     assert (r["events"], r["needs_review"], r["with_location"]) == (4, 1, 2)
     rows = spark.createDataFrame([("g", i) for i in range(10)], "g string, i int")
     assert [r["i"] for r in C.spaced_sample(rows, "g", "i", 4).orderBy("i").collect()] == [0, 3, 6, 9]
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ("抵达北京，在上海举行会议。", "北京；上海"),
+    ("前往平型关附近，到达平型关附近地区。", "平型关附近地区"),
+    ("在会议期间工作。到达中央工作。", None),
+    ("抵达沈阳机场，赴莫斯科访问，返回延安，到达太原。", "沈阳机场；莫斯科；延安"),
+    ("来到某某村，", "某某村"),
+    ("", None),
+    (None, None),
+])
+def test_places(spark, text, wanted):
+    rows = spark.createDataFrame([(text,)], "text string")
+    assert rows.select(C.places(F.col("text"))).first()[0] == wanted

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import dates
-from evidencelake.operators import enrichment, planning, positions
+from evidencelake.operators import enrichment, planning, positions, resolve
 
 
 @pytest.mark.parametrize("text, hint, start, end, certainty, flags", [
@@ -78,3 +78,15 @@ def test_evidence_budget_and_citations(spark):
     assert [r["number"] for r in enrichment.used_citations(answers, citations).collect()] == [1]
     whole = spark.createDataFrame([(["甲 乙", "丙"], "甲乙在丙")], "v array<string>, e string")
     assert whole.select(enrichment.grounded(F.col("v"), F.col("e"))).first()[0] is True
+
+
+def test_components_of_named_events(spark):
+    pairs = spark.createDataFrame([("e1", "e2"), ("e2", "e9"), ("f1", "f2")], "a string, b string")
+    got = {r["node"]: r["component"] for r in resolve.components(pairs).collect()}
+    assert got == {"e1": "e1", "e2": "e1", "e9": "e1", "f1": "f1", "f2": "f1"}
+
+
+def test_canonical_types(spark):
+    rows = [(1, "visit", True), (1, "visit", False), (2, "activity", True), (2, "speech", False), (3, "visit", False), (3, "speech", True), (4, "activity", True)]
+    got = resolve.canonical_type(spark.createDataFrame(rows, "component int, event_type string, is_representative boolean"), "component")
+    assert {r["component"]: r["event_type"] for r in got.collect()} == {1: "visit", 2: "speech", 3: "speech", 4: "activity"}
