@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidencelake.plans import research, retrieval, review
+from evidencelake.plans import catalog, research, retrieval, review
 
-QUERIES: dict = retrieval.QUERIES | research.QUERIES | review.QUERIES
-ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | research.ORACLE_SQL | review.ORACLE_SQL
+QUERIES: dict = retrieval.QUERIES | research.QUERIES | review.QUERIES | catalog.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | research.ORACLE_SQL | review.ORACLE_SQL | catalog.ORACLE_SQL
