@@ -64,3 +64,29 @@ def evidence_status(hits: DataFrame) -> DataFrame:
     """query_id and status: no_evidence without a hit by words, supported if one of the first five has both ranks, else partial."""
     flags = hits.groupBy("query_id").agg(F.max(F.col("keyword_rank").isNotNull()).alias("words"), F.max((F.col("rank") <= 5) & F.col("keyword_rank").isNotNull() & F.col("vector_rank").isNotNull()).alias("both"))
     return flags.select("query_id", F.when(~F.col("words"), "no_evidence").when(F.col("both"), "supported").otherwise("partial").alias("status"))
+
+
+def review_reasons(status: Column, confidence: Column, event_type: Column, model_review: Column, model_reasons: Column, error: Column) -> Column:
+    """Why an event tried by a model needs a review, in order and once each; null model columns are a failed attempt."""
+    rules = F.array(
+        F.lit("model_assisted"),
+        F.when(status == "needs_review", "source_needs_review"),
+        F.when(confidence < SURE, "low_rule_confidence"),
+        F.when(event_type == "activity", "generic_rule_event_type"),
+        F.when(model_review, "model_requested_review"),
+    )
+    told = F.transform(F.coalesce(model_reasons, F.array().cast("array<string>")), lambda r: F.concat(F.lit("model_"), r))
+    return F.array_distinct(F.array_compact(F.concat(rules, told, F.array(error))))
+
+
+def attempt_priority(status: Column, model_review: Column) -> Column:
+    """Failed attempts first, then those whose model asks for a review."""
+    return F.when(~status.eqNullSafe("succeeded"), 90).when(F.coalesce(model_review, F.lit(False)), 70).otherwise(50)
+
+
+def review_queue(queue: DataFrame, events: DataFrame, attempts: DataFrame, limit: int = 20) -> DataFrame:
+    """The first pending rows of a queue (queue_id, event_id, source_attempt_id, priority, status, created_at) with their event and attempt."""
+    if not 1 <= limit <= 200:
+        raise ValueError("a review queue lists 1 to 200 rows")
+    joined = queue.where("status = 'pending'").join(events, "event_id").join(attempts.withColumnRenamed("attempt_id", "source_attempt_id").withColumnRenamed("status", "attempt_status").drop("event_id"), "source_attempt_id")
+    return joined.orderBy(F.desc("priority"), "created_at", "queue_id").limit(limit)

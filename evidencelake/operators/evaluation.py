@@ -107,3 +107,16 @@ def category(tags: Column, order: list[str], refusal: Column) -> Column:
 def consistent_hash(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group and whether all its rows that have a ``value`` share it."""
     return rows.groupBy(group).agg((F.count_distinct(value) <= 1).alias("consistent"))
+
+
+def route(mode: Column) -> Column:
+    """The route that a retrieval mode belongs to."""
+    mixed = F.contains(mode, F.lit("hybrid")) | F.contains(mode, F.lit("keyword")) | F.contains(mode, F.lit("vector"))
+    named = F.startswith(mode, F.lit("structured_")) | mode.isin("full_text_section", "query_clarification")
+    return F.when(named | ~mixed, mode).otherwise("hybrid_retrieval")
+
+
+def routing(cases: DataFrame) -> DataFrame:
+    """``cases`` (case_id, mode, preferred) with route and route_match, null without preferred routes."""
+    taken = cases.withColumn("route", route(F.col("mode")))
+    return taken.withColumn("route_match", F.when(F.size("preferred") > 0, F.array_contains("preferred", F.col("route"))))

@@ -78,3 +78,90 @@ def distinct_in_order(rows: DataFrame, group: str, value: str, order: str, most:
 
     once = rows.groupBy(group, value).agg(F.min(order).alias(order))
     return once.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, value))).where(F.col("place") <= most)
+
+
+#: References to the time or people of an earlier question, questions that need more than one look, and aspects that say nothing.
+EARLIER_TIME = r"那年|当年|这一年|同年|次年|翌年|当时|同期|这一时期|那个时期|这段时期"
+EARLIER_ENTITY = (
+    r"(?:^|[，,。！？?!；;\s])(?:他|她|他们|她们|它|其)(?:的|在|于|后来|当时|又|还|曾|是否|如何|为何|为什么|做|说|提出|经历|观点)"
+    r"|这位|那位|这个人|那个人|两人|双方|前者|后者|上述人物|这场|那场|该战役|这次|那次|这件事|那件事"
+)
+COMPLEX = r"详细|全面|系统|完整|经过|过程|前后|各阶段|主要经历|梳理|演变|变化|原因|影响|意义|比较|异同"
+WIDE = ("event_overview", "comparison", "causal_analysis")
+VAGUE = ("更多", "更多证据", "其他", "其余", "全部", "完整资料", "相关资料")
+
+
+def guarded(plans: DataFrame, phrases: list[str]) -> DataFrame:
+    """Plans without what only the history of a conversation says.
+
+    plans has question, previous (the user's last question before, or null),
+    normalized, start_year, end_year, entities (of text and canonical), queries,
+    constraints and coverage.  Years hold if the question names them, or the previous
+    one where the question refers to its time; entities likewise.  Queries and
+    constraints with words of what was left out go too.  ``phrases`` tell a question,
+    or an entity's text, that leans on its context.
+    """
+    key = lambda c: F.lower(T.compact(c))
+    asked, previous = F.col("question"), F.coalesce("previous", F.lit(""))
+    leans = F.col("previous").isNotNull() & needs_context(asked, phrases)
+    own, earlier = year_range(asked), F.when(leans & asked.rlike(EARLIER_TIME), year_range(previous))
+    rows = plans.withColumn("__years", F.coalesce(own, earlier)).withColumn("__look_back", leans & asked.rlike(EARLIER_ENTITY))
+
+    def held(e: Column) -> Column:
+        now = F.contains(key(asked), key(e["canonical"])) | (F.contains(key(asked), key(e["text"])) & ~needs_context(e["text"], phrases))
+        before = F.contains(key(previous), key(e["text"])) | F.contains(key(previous), key(e["canonical"]))
+        return now | (F.col("__look_back") & before)
+
+    gone = F.flatten(F.transform(F.filter("entities", lambda e: ~held(e)), lambda e: F.array(e["text"], e["canonical"])))
+    planned = F.array_compact(F.array("start_year", "end_year"))
+    wrong = F.when(F.col("__years").isNull(), planned).otherwise(F.array_except(planned, F.col("__years")))
+    banned = F.filter(F.concat(F.transform(wrong, lambda y: y.cast("string")), gone), lambda w: F.length(F.trim(w)) >= 2)
+    rows = rows.withColumn("__banned", banned)
+    clean = lambda c: ~F.exists("__banned", lambda w: F.contains(c, w))
+    start, end = F.get("__years", F.lit(0)), F.get("__years", F.lit(1))
+    return rows.withColumns(
+        {
+            "normalized": F.when(clean(F.col("normalized")), F.col("normalized")).otherwise(asked),
+            "queries": F.filter("queries", clean),
+            "constraints": F.filter("constraints", clean),
+            "entities": F.filter("entities", held),
+            "coverage": F.when(F.col("__years").isNull() & F.col("coverage").isin("per_year", "balanced_period"), "relevance").otherwise(F.col("coverage")),
+            "start_year": start,
+            "end_year": end,
+        }
+    ).drop("__years", "__look_back", "__banned")
+
+
+def plan_error(start: Column, end: Column, unclear: Column, clarification: Column) -> Column:
+    """What is wrong with a plan: incomplete_year_range, reversed_year_range, missing_clarification_question or null."""
+    return (
+        F.when(start.isNull() != end.isNull(), "incomplete_year_range")
+        .when(start > end, "reversed_year_range")
+        .when(unclear & (F.trim(F.coalesce(clarification, F.lit(""))) == ""), "missing_clarification_question")
+    )
+
+
+def reflects(question: Column, intent_: Column, coverage_: Column) -> Column:
+    """Whether a question deserves a second look at its evidence."""
+    return (coverage_ != "relevance") | intent_.isin(*WIDE) | question.rlike(COMPLEX)
+
+
+def followups(question: Column, entities: Column, normalized: Column, constraints: Column, aspects: Column, most: int) -> Column:
+    """Up to ``most`` further queries for missing aspects, in order and once each.
+
+    Years that the question doesn't name are taken out of an aspect; aspects that are
+    vague or of one character are left out.  ``entities`` are names.
+    """
+    spaced = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    named = F.trim(F.array_join(F.array_distinct(entities), " "))
+    subject = F.when(named == "", normalized).otherwise(named)
+
+    def cleaned(aspect: Column) -> Column:
+        bare = F.regexp_replace(spaced(aspect), "^[，,。；;：:、\\- ]+|[，,。；;：:、\\- ]+$", "")
+        foreign = F.array_except(T.years(bare), T.years(question))
+        return spaced(F.aggregate(foreign, bare, lambda s, y: F.regexp_replace(s, F.concat(F.lit(r"(?<![0-9])"), y.cast("string"), F.lit(r"(?![0-9])\s*年?")), F.lit(""))))
+
+    good = F.filter(F.transform(aspects, cleaned), lambda a: (F.length(a) >= 2) & ~a.isin(*VAGUE))
+    rest = F.trim(F.array_join(constraints, " "))
+    asked = F.transform(good, lambda a: F.array_join(F.filter(F.array(subject, a, rest), lambda w: w != ""), " "))
+    return F.slice(F.filter(F.array_distinct(asked), lambda q: q != question), 1, most)

@@ -154,3 +154,51 @@ def canonical(members: DataFrame, pairs: DataFrame, separator: str = "\x1f") ->
     kinds = F.collect_set("event_type")
     grouped = members.groupBy("component").agg(F.concat(F.lit("canonical_"), F.substring(F.sha2(ids, 256), 1, 32)).alias("canonical_event_id"), F.count_distinct("event_id").alias("members"), F.when(F.size(kinds) == 1, F.array_max(kinds)).otherwise("mixed").alias("event_type"))
     return grouped.join(pairs.groupBy("component").agg(F.round(F.avg("score"), 6).alias("score")), "component")
+
+
+def month_pairs(events: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, b, relation, containment, jaccard, shared, mutual and score of pairs of one month that may be candidates.
+
+    events has event_id, start_value, event_type, description, people, organizations,
+    location, documents and subjects (of its documents); all but the first four may
+    be null.  A start of a year alone meets only such starts.  Pairs of one document
+    are left out, and so are, without a loss, those that can't be candidates:
+    whatever else agrees, a candidate without a common person has so much of the
+    shorter text in the other that one of the few rarest character pairs of the
+    shorter is among them.  So no month is paired with itself.
+    """
+    if not 0.5 <= least <= 0.95:
+        raise ValueError("the least score is between 0.5 and 0.95")
+    ids = lambda c: F.coalesce(F.col(c), F.array().cast(dict(events.dtypes)[c]))
+    sets = ("people", "organizations", "documents", "subjects")
+    rows = cut(events.where("start_value IS NOT NULL").withColumn("month", F.substring("start_value", 1, 7)).withColumn("grams", T.bigrams("description")).withColumns({c: ids(c) for c in sets}))
+    text = (least - DATE_WEIGHTS["exact_day"] - ORGANIZATION - LOCATION - TYPE) / (CONTAINMENT + JACCARD)
+    part = min(0.82, text) - 1e-5
+
+    token = rows.select("month", "event_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = token.groupBy("month", "gram").agg(F.count("*").alias("often"))
+    ordered = token.join(counts, ["month", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy("often", "gram")))
+    rare = ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * part) + 1).select("month", "gram", F.col("event_id").alias("x"), F.col("n").alias("m"))
+    by_text = rare.join(token, ["month", "gram"]).where("m <= n AND x <> event_id").select(F.least("x", "event_id").alias("a"), F.greatest("x", "event_id").alias("b"))
+    person = rows.select("month", "event_id", F.explode(F.array_distinct("people")).alias("person"))
+    by_person = person.withColumnRenamed("event_id", "a").join(person.withColumnRenamed("event_id", "b"), ["month", "person"]).where("a < b").select("a", "b")
+
+    pairs = by_text.unionByName(by_person).distinct()
+    side = lambda name, key: rows.select(F.col("event_id").alias(key), F.struct("start_value", "event_type", "location", "grams", *sets).alias(name))
+    met = pairs.join(side("l", "a"), "a").join(side("r", "b"), "b").where(~F.arrays_overlap("l.documents", "r.documents"))
+    shared = F.array_intersect("l.people", "r.people")
+    subjects = F.array_union("l.subjects", "r.subjects")
+    features = met.select(
+        "a",
+        "b",
+        date_relation(F.col("l.start_value"), F.col("r.start_value")).alias("relation"),
+        T.containment("l.grams", "r.grams").alias("containment"),
+        T.jaccard("l.grams", "r.grams").alias("jaccard"),
+        F.size(shared).alias("shared"),
+        ((F.size(subjects) >= 2) & (F.size(F.array_except(subjects, shared)) == 0)).alias("mutual"),
+        F.arrays_overlap("l.organizations", "r.organizations").alias("organization"),
+        F.coalesce((F.col("l.location") == F.col("r.location")) & (F.col("l.location") != ""), F.lit(False)).alias("place"),
+        F.coalesce((F.col("l.event_type") == F.col("r.event_type")) & (F.col("l.event_type") != GENERIC), F.lit(False)).alias("kind"),
+    )
+    score = pair_score(*(F.col(c) for c in ("relation", "containment", "jaccard", "shared", "mutual", "organization", "place", "kind")))
+    return features.withColumn("score", score).withColumns({c: F.round(c, 6) for c in ("containment", "jaccard")}).drop("organization", "place", "kind")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from evidencelake.plans import catalog, research, retrieval, review
+from evidencelake.plans import answers, catalog, research, retrieval, review
 
-QUERIES: dict = retrieval.QUERIES | research.QUERIES | review.QUERIES | catalog.QUERIES
-ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | research.ORACLE_SQL | review.ORACLE_SQL | catalog.ORACLE_SQL
+_PLANS = (retrieval, research, review, catalog, answers)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
