@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidencelake.operators import research
+
 #: Role words, longest rank first, marks of organisations, and verbs of appointment.
 ROLES = ("第一书记", "代理书记", "副秘书长", "秘书长", "副总司令", "总司令", "副司令员", "司令员", "副政治委员", "政治委员", "副委员长", "委员长", "第一副主席", "第二副主席", "第三副主席", "副主席", "主席", "第一副总理", "第二副总理", "副总理", "总理", "副部长", "部长", "副主任", "主任", "副书记", "书记", "总参谋长", "副参谋长", "参谋长", "委员", "政委")
 ORGANIZATIONS = ("中共中央", "中央", "国务院", "政务院", "委员会", "军委", "军区", "野战军", "兵团", "政府", "书记处", "政治局", "外交部", "国防部", "组织部")
@@ -12,10 +14,30 @@ VERBS = r"(?:被任命为|被委任为|被选为|当选为|担任|兼任|任(?!
 CLAUSE_END = r"[，,。；;]|并(?:出席|参加|主持|会见|访问|前往|赴)"
 
 
+#: Words before a name that make an appointment a mere wish, verbs before a name, and what joins several posts.
+WISHES, NAMING, AND = "要求|建议|提议|主张", "任命|委任|选举|决定由", r"(?:并)?兼(?:任)?|、"
+REACH = 100
+
+
+def _posts(tail: Column) -> Column:
+    """The posts of a text that follows a verb, to the end of its clause."""
+    return F.split(F.regexp_replace(tail, rf"(?s)(?:{CLAUSE_END}).*$", ""), AND, -1)
+
+
 def appointments(text: Column, name: Column) -> Column:
-    """Phrases after a name and a verb of appointment, to the end of the clause, split where one holds several posts."""
-    pattern = F.concat(F.lit(r"\Q"), name, F.lit(rf"\E[^，,。；;]{{0,16}}?{VERBS}(.{{2,100}}?)(?:{CLAUSE_END}|$)"))
-    return F.flatten(F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda p: F.filter(F.split(p, "兼(?:任)?|、"), lambda x: x != "")))
+    """Posts that a text gives a person, white space aside.
+
+    After each mention that a verb of appointment follows at once, unless it is wished
+    for; else after the first naming of the person to a post; else, where the text
+    itself begins with a verb of appointment, what follows that.
+    """
+    body, word = F.regexp_replace(text, r"(?U)\s+", ""), F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    after = F.regexp_extract_all(body, F.concat(F.lit(rf"(?<!(?:{WISHES})由?)"), word, F.lit(rf"(?=({VERBS}.{{0,{REACH}}}))")), F.lit(1))
+    own = F.flatten(F.transform(after, lambda t: _posts(F.regexp_replace(F.substring(t, 1, REACH), f"^{VERBS}", ""))))
+    named = F.get(F.regexp_extract_all(body, F.concat(F.lit(f"(?:{NAMING})"), word, F.lit(rf"(?:为|担任|兼任)(.{{0,{REACH}}})")), F.lit(1)), F.lit(0))
+    opening = F.when(body.rlike(f"^{VERBS}"), _posts(F.regexp_replace(body, f"^{VERBS}", "")))
+    found = F.when(F.size(own) > 0, own).when(named.isNotNull(), _posts(named)).otherwise(F.coalesce(opening, F.array().cast("array<string>")))
+    return F.filter(found, lambda p: p != "")
 
 
 def position(phrase: Column) -> Column:
@@ -27,3 +49,43 @@ def position(phrase: Column) -> Column:
     marked = F.exists(F.array(*map(F.lit, ORGANIZATIONS)), lambda m: F.contains(organization, m)) | F.endswith(organization, F.lit("部"))
     good = role.isNotNull() & (F.length(organization) >= 2) & marked & ~F.contains(organization, F.lit("和")) & (organization != "中央")
     return F.when(good, F.struct(organization.alias("organization"), role.alias("role")))
+
+
+def relationships(mentions: DataFrame) -> DataFrame:
+    """Positions held, from events and the people and evidence of each.
+
+    mentions has event_id, event_type, review_status, description, start_value,
+    person_id, mention and evidence_id.  Rejected events and those that name no
+    appointment are left out.  One row a person, organisation, role and start, with all
+    its evidence and events, sorted.
+    """
+    wanted = mentions.where("review_status <> 'rejected'").where((F.col("event_type") == "appointment") | F.contains("description", F.lit("任")))
+    posts = wanted.withColumn("post", F.explode(F.transform(appointments(F.col("description"), F.col("mention")), position))).where("post IS NOT NULL")
+    key = ["person_id", F.col("post.organization").alias("organization"), F.col("post.role").alias("role"), "start_value"]
+    sorted_set = lambda c: F.array_sort(F.collect_set(c)).alias(c + "s")
+    return posts.groupBy(*key).agg(sorted_set("evidence_id"), sorted_set("event_id"))
+
+
+#: Relations and statuses that tenure may be asked for.
+RELATIONS = ("held_position", "member_of", "led", "direct_subordinate")
+STATUSES = ("confirmed", "unreviewed", "needs_review")
+
+
+def tenure(relations: DataFrame, evidence: DataFrame, at: str | None = None, types: tuple[str, ...] = RELATIONS, statuses: tuple[str, ...] = STATUSES, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Page of each person's positions, of those held ``at`` a partial date if it is given, with sorted evidence.
+
+    relations has relation_id, person_id, relation_type, review_status, organization,
+    start_value and end_value; evidence has relation_id and evidence_id.  Relations
+    without evidence or organisation are left out, and so are confirmed ones without a
+    start.  Adds place, total and has_more.
+    """
+    if not types or not statuses or set(types) - set(RELATIONS) or set(statuses) - set(STATUSES):
+        raise ValueError("unknown or no relation types or statuses")
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("a page has 1 to 200 rows from an offset of 0 or more")
+    rows = relations.where(F.col("relation_type").isin(*types) & F.col("review_status").isin(*statuses) & F.col("organization").isNotNull())
+    rows = rows.where((F.col("review_status") != "confirmed") | F.col("start_value").isNotNull())
+    if at is not None:
+        rows = research.held_at(rows, "start_value", "end_value", at)
+    proofs = evidence.groupBy("relation_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    return research.page_of(rows.join(proofs, "relation_id"), "person_id", [F.asc_nulls_first("start_value"), "relation_id"], offset, limit)

@@ -72,12 +72,8 @@ def sample_buckets(events: DataFrame, group: str, bucket: Column, best: Column,
     return placed.where(F.array_contains(spots, F.col("i").cast("int"))).select(group, "bucket", F.col("e.event_id").alias("event_id"), "size")
 
 
-def together(events: DataFrame, person: str, shared: list[str], crowd: int = 1000) -> DataFrame:
-    """Pairs of people (first < second) and the number of ``shared`` keys on which both appear.
-
-    People of a key meet in pairs; a key with over ``crowd`` people is an error in
-    the data (it would mean that everyone met everyone) and is left to the caller.
-    """
+def together(events: DataFrame, person: str, shared: list[str]) -> DataFrame:
+    """Pairs of people (first < second) and the number of ``shared`` keys on which both appear; the people of a key meet in pairs."""
     rows = events.select(*shared, F.col(person).alias("p")).distinct()
     pairs = rows.withColumnRenamed("p", "first").join(rows.withColumnRenamed("p", "second"), shared).where("first < second")
     return pairs.groupBy("first", "second").agg(F.count("*").alias("shared"))
