@@ -153,3 +153,30 @@ def section_paths(pages: DataFrame, entries: DataFrame) -> DataFrame:
 def full_text(parts: DataFrame, group: str, order: str) -> DataFrame:
     """The parts of each group in order, a blank line between them."""
     return parts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x.text), "\n\n").alias("text"))
+
+
+#: Fixed value: headings of years, with the age or a bracket behind them.
+YEAR_HEADING = r"((?:18|19)\d{2})\s*年\s*[（(][^）)]{1,12}岁[）)]"
+
+
+def year_structure(pages: DataFrame, last_page: DataFrame) -> DataFrame:
+    """document_id, title, start and end of the years that headings of ``pages`` (document_id, pdf_page, text) begin.
+
+    A page begins one year at most: that of its first heading whose year no earlier page
+    began.  Lines with leaders do not count.  A year ends before the next one's page, the
+    last with the document (last_page: document_id, pages).
+    """
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n", -1), lambda x: F.trim(x)), lambda x: (F.regexp_count(x, F.lit(r"\.")) < 3) & ~F.contains(x, F.lit("……")))
+    headed = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, YEAR_HEADING, 1)), lambda y: y != "")
+    found = pages.select("document_id", "pdf_page", headed.alias("years")).where(F.size("years") > 0)
+    ordered = found.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pdf_page", "years"))).alias("pages_"))
+
+    def step(begun: Column, page: Column) -> Column:
+        fresh = F.filter(page["years"], lambda y: ~F.exists(begun, lambda b: b["year"] == y))
+        return F.when(F.size(fresh) > 0, F.concat(begun, F.array(F.struct(F.get(fresh, F.lit(0)).alias("year"), page["pdf_page"].cast("int").alias("start"))))).otherwise(begun)
+
+    none = F.array().cast("array<struct<year:string,start:int>>")
+    starts = ordered.select("document_id", F.inline(F.aggregate("pages_", none, step)))
+    following = F.lead("start").over(Window.partitionBy("document_id").orderBy("start"))
+    ended = starts.withColumn("next", following).join(last_page, "document_id")
+    return ended.select("document_id", F.concat("year", F.lit("年")).alias("title"), "start", F.greatest("start", F.coalesce(F.col("next") - 1, "pages")).alias("end"))

@@ -120,3 +120,40 @@ def routing(cases: DataFrame) -> DataFrame:
     """``cases`` (case_id, mode, preferred) with route and route_match, null without preferred routes."""
     taken = cases.withColumn("route", route(F.col("mode")))
     return taken.withColumn("route_match", F.when(F.size("preferred") > 0, F.array_contains("preferred", F.col("route"))))
+
+
+def citation_metrics(citations: DataFrame, gold: DataFrame, pages: DataFrame) -> DataFrame:
+    """case_id and metrics of the citations of each case in either table.
+
+    citations has case_id, number, document_id, start, end (null: one page) and quote;
+    gold has case_id, document_id and page; pages has document_id, page and text.
+    validity is the share of citations all of whose pages exist; consistency that of
+    those whose quote stands on a page of theirs, or across them, null unless each can be
+    checked (it is found, or all its pages exist); precision the share that meets gold,
+    recall the share of gold pages met.  Null where nothing can be counted.
+    """
+    from evidencelake.functions import text as T
+
+    relevant = gold.select("case_id", "document_id", "page").distinct()
+    ranged = citations.select("case_id", "number", "document_id", "quote", F.explode(F.sequence("start", F.coalesce("end", "start"))).alias("page"))
+    texts = pages.groupBy("document_id", "page").agg(F.min("text").alias("text"))
+    read = ranged.join(texts, ["document_id", "page"], "left").join(relevant.withColumn("gold", F.lit(True)), ["case_id", "document_id", "page"], "left")
+    plain = T.comparable("quote")
+    on_page = F.coalesce(quote_matches(plain, T.comparable("text")), F.lit(False))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page", "text")))), lambda p: p["text"]), "\n")
+    each = read.groupBy("case_id", "number").agg(F.max(on_page).alias("found"), whole.alias("whole"), F.first("quote").alias("quote"), F.min(F.col("text").isNotNull()).alias("exists"), F.coalesce(F.max("gold"), F.lit(False)).alias("relevant"))
+    judged = each.withColumn("found", F.col("found") | F.coalesce(quote_matches(plain, T.comparable("whole")), F.lit(False))).withColumn("known", F.col("found") | F.col("exists"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    cited = judged.groupBy("case_id").agg(F.count("*").alias("citations"), share("exists").alias("validity"), F.when(F.min("known"), share("found")).alias("consistency"), share("relevant").alias("precision"))
+    met = relevant.join(ranged.select("case_id", "document_id", "page").distinct().withColumn("met", F.lit(1.0)), ["case_id", "document_id", "page"], "left").groupBy("case_id").agg(F.avg(F.coalesce("met", F.lit(0.0))).alias("recall"))
+    return cited.join(met, "case_id", "full_outer").withColumn("citations", F.coalesce("citations", F.lit(0)))
+
+
+def judgment_error(verdict: Column, claims: Column, answer: Column) -> Column:
+    """What is wrong with a judge's output: passing_with_claims, failing_without_claims, claim_not_in_answer or null."""
+    from evidencelake.functions import text as T
+
+    whole = T.comparable(answer)
+    some = F.coalesce(F.size(claims), F.lit(0)) > 0
+    foreign = F.exists(claims, lambda c: ~F.contains(whole, T.comparable(c)))
+    return F.when((verdict == "pass") & some, "passing_with_claims").when((verdict == "fail") & ~some, "failing_without_claims").when(foreign, "claim_not_in_answer")

@@ -91,3 +91,12 @@ def last_record(lines: DataFrame, key: list[str], order: Column) -> DataFrame:
     """The last row of each key in the order of its lines."""
     rows = lines.groupBy(*key).agg(F.max_by(F.struct(*lines.columns), order).alias("r"))
     return rows.select("r.*")
+
+
+def ocr_text(results: Column) -> Column:
+    """Struct of text and confidence of OCR results (array of texts and scores): lines that are not blank, and the mean of their scores to six places."""
+    lines = F.flatten(F.transform(results, lambda r: F.arrays_zip(r["texts"].alias("text"), r["scores"].alias("score"))))
+    good = F.filter(F.transform(lines, lambda x: F.struct(F.trim(x["text"]).alias("text"), x["score"].alias("score"))), lambda x: F.length(x["text"]) > 0)
+    scores = F.filter(F.transform(good, lambda x: x["score"]), lambda v: v.isNotNull())
+    mean = F.aggregate(scores, F.lit(0.0), lambda total, v: total + v) / F.size(scores)
+    return F.struct(F.array_join(F.transform(good, lambda x: x["text"]), "\n").alias("text"), F.when(F.size(scores) > 0, F.round(mean, 6)).alias("confidence"))

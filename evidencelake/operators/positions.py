@@ -89,3 +89,39 @@ def tenure(relations: DataFrame, evidence: DataFrame, at: str | None = None, typ
         rows = research.held_at(rows, "start_value", "end_value", at)
     proofs = evidence.groupBy("relation_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
     return research.page_of(rows.join(proofs, "relation_id"), "person_id", [F.asc_nulls_first("start_value"), "relation_id"], offset, limit)
+
+
+#: Questions on careers, roles asked for (those of the party apart), and words of change.
+CAREER_QUESTION = "党内职务|职务变化|职务变动|任职|担任|出任"
+CAREER_ROLES = "第一书记|副书记|书记|候补委员|常务委员|常委|委员|副主席|主席|秘书长|副部长|部长|负责人|政治委员|政委|党代表|中央局|党委|党支部|特委|前委"
+PARTY_ROLES = "第一书记|副书记|书记|候补委员|常务委员|常委|(?<!政治)委员|副主席|主席|秘书长|副部长|部长|负责人|党代表|中央局|党委|党支部|特委|前委"
+CHANGES = "担任|出任|当选|选举|任命|改任|调任|兼任|升任|增补|组成|进入|成为|任职|免去|免职|撤销|辞去|代理"
+TAKES = "担任|出任|当选为|选为|任命为|改任|调任|兼任|升任|增补为|成为|任职为|代理|为|任"
+LEADING = r"^(?:(?:请问|请|梳理|介绍|概括|总结))?([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}·]{2,8}?)(?=在|\s|(?:18|19|20)\d{2})"
+
+
+def career_hits(hits: DataFrame) -> DataFrame:
+    """``hits`` (question, people, title, text) without those that, asked about a career, tie no person to a role.
+
+    A clause ties them if the person takes a role in it, stands next to one, or helps to
+    form a body of it; in a source whose title names the person, if it holds a role and a
+    change.  Without people the one that opens the question counts; without that, or for
+    other questions, every hit stays.
+    """
+    leading = F.regexp_extract(F.trim("question"), LEADING, 1)
+    given = F.coalesce("people", F.array().cast("array<string>"))
+    people = F.when(F.size(given) > 0, given).when(leading != "", F.array(leading)).otherwise(given)
+    rows = hits.withColumn("__people", people).withColumn("__role", F.when(F.contains("question", F.lit("党内")), PARTY_ROLES).otherwise(CAREER_ROLES))
+    role = F.concat(F.lit("(?:"), "__role", F.lit(")"))
+
+    def tied(clause: Column, person: Column) -> Column:
+        name = F.concat(F.lit(r"\Q"), person, F.lit(r"\E"))
+        takes = F.concat(name, F.lit(f".{{0,10}}(?:{TAKES}).{{0,12}}"), role)
+        forms = F.concat(name, F.lit(".{0,60}组成.{0,20}"), role)
+        return F.rlike(clause, F.concat(takes, F.lit("|"), role, F.lit(".{0,6}"), name, F.lit("|"), forms))
+
+    clauses = F.split("text", r"(?<=[，,。！？；;])|\n+", -1)
+    titled = F.exists("__people", lambda p: F.contains("title", p))
+    tells = F.exists(clauses, lambda c: F.exists("__people", lambda p: tied(c, p)) | (titled & F.rlike(c, role) & c.rlike(CHANGES)))
+    free = ~F.col("question").rlike(CAREER_QUESTION) | (F.size("__people") == 0)
+    return rows.where(free | F.coalesce(tells, F.lit(False))).drop("__people", "__role")

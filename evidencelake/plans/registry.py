@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evidencelake.plans import answers, catalog, research, retrieval, review, tenure
+from evidencelake.plans import answers, catalog, evidence, research, retrieval, review, tenure
 
-_PLANS = (retrieval, research, review, catalog, answers, tenure)
+_PLANS = (retrieval, research, review, catalog, answers, tenure, evidence)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

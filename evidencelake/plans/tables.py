@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as pages: a source is a document, its rows by doc_id are its pages."""
+    documents = table(spark, sf_dir, "documents")
+    # a source may hold most rows: its ids alone are put in order, its texts stay where they are
     page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), page.alias("pdf_page"), "doc_id", "text", F.lit(0).alias("images"))
+    numbered = documents.select("doc_id", F.col("source").alias("document_id"), page.alias("pdf_page"))
+    return documents.select("doc_id", "text").join(numbered, "doc_id").select("document_id", "pdf_page", "doc_id", "text", F.lit(0).alias("images"))
 
 
 def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
