@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import fixity, language_id, lm_scoring, pieces, quality, toxicity
+from evidencelake.llm import fixity, language_id, lm_scoring, pieces, quality, secrets, toxicity, whitening
 from evidencelake.llm._sample import crc_remainder
+from evidencelake.llm._store import shared_folder
 from evidencelake.llm.decontamination import contamination
 from evidencelake.llm.fingerprints import fingerprint_edits
 from evidencelake.llm.near_dedup import Similarity, near_duplicates
@@ -104,6 +106,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings on up to 32 components."""
+    embeddings = _table(spark, sf_dir, "embeddings")
+    whitened, model = whitening.whiten(embeddings)
+    error = whitening.identity_error(whitening.usable(embeddings, "embedding"), "embedding", model) if model else None
+    return whitening.by_component(whitened, model, error)
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: a ledger begins empty and one update scans every distinct text."""
+    ledger = secrets.Ledger(spark, f"{shared_folder(spark)}/evidencelake-{uuid.uuid4().hex}/ledger")
+    known = ledger.update(_table(spark, sf_dir, "documents"), path="doc_id")
+    return secrets.secret_report(ledger, known).withColumnRenamed("path", "doc_id").withColumn("blob", F.lower(F.hex("blob")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -117,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_fixity,
         op9_language_id,
         op10_benchmark_decontamination,
+        op12_embedding_whitening,
+        op13_secret_scans,
     )
 }
 
