@@ -15,7 +15,7 @@ from evidencelake.llm.decontamination import contamination
 from evidencelake.llm.fingerprints import fingerprint_edits
 from evidencelake.llm.near_dedup import Similarity, near_duplicates
 from evidencelake.llm.ngrams import flagged
-
+from evidencelake.llm.prefix_trie import prefix_nodes
 from evidencelake.llm.url_filters import judge_urls
 
 
@@ -106,6 +106,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared prefix of turns of all rebuilt conversations."""
+    return prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of all embeddings on up to 32 components."""
     embeddings = _table(spark, sf_dir, "embeddings")
@@ -134,11 +139,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_fixity,
         op9_language_id,
         op10_benchmark_decontamination,
+        op11_conversation_prefix_trie,
         op12_embedding_whitening,
         op13_secret_scans,
     )
 }
 
+
+
+def _spans_sql() -> str:
+    """Spans of every kind: the lengths of matches and of what lies between them add up to places."""
+    size = "lambda x: length(x)"
+    parts = []
+    for place, r in enumerate(secrets.RULES):
+        # a run of one class of characters, or a literal and such a run, may as well ask for its length itself
+        pattern = r.pattern.replace("(?ai)", "(?i)").replace("'", "''")
+        pattern = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}.get(r.kind, pattern)
+        own = f"regexp_extract_all(t, '{pattern}', {r.group})"
+        found = f"SELECT doc_id, string_split_regex(t, '{pattern}') AS s, regexp_extract_all(t, '{pattern}') AS m, {own} AS g FROM texts WHERE regexp_matches(t, '{pattern}')"
+        low = f"list_sum(list_transform(s[1 : i], {size})) + coalesce(list_sum(list_transform(m[1 : i - 1], {size})), 0)"
+        parts.append(f"SELECT doc_id, '{r.kind}' AS kind, {place} AS place, {r.least} AS least, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'low': ({low})::BIGINT, 'n': length(m[i]), 'own': length(g[i])}})) AS x FROM ({found})")
+    return " UNION ALL ".join(parts)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: The others need Python: a field, automata, mined rules, samples or hashes that SQL lacks; tests compare them with brute force.
@@ -168,4 +191,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
             sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN own ON d.doc_id = own.doc_id""",
+    "op11_conversation_prefix_trie": """
+        WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        keyed AS (SELECT conv_id, i, strlen(text) AS bytes, sha256(strlen(role) || ':' || role || text) AS k FROM turns),
+        crc AS (SELECT conv_id, max(i) AS n, xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::UBIGINT),
+                lambda c, b: list_reduce(range(8)::UBIGINT[], lambda x, step: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, xor(c, b)),
+                4294967295::UBIGINT)) % 9 AS h FROM turns GROUP BY conv_id),
+        lead AS (SELECT c.conv_id, i AS d, k, bytes FROM crc c JOIN keyed t ON t.conv_id = c.conv_id - c.conv_id % 5 AND i <= h),
+        had AS (SELECT c.conv_id, count(l.d) AS m FROM crc c LEFT JOIN lead l ON c.conv_id = l.conv_id GROUP BY c.conv_id),
+        again AS (SELECT * FROM lead UNION ALL
+            SELECT c.conv_id, m + i - h, k, bytes FROM crc c JOIN had USING (conv_id) JOIN keyed t ON t.conv_id = c.conv_id AND i > h),
+        paths AS (SELECT c.conv_id, coalesce(list(k ORDER BY d) FILTER (d IS NOT NULL), []) AS p, coalesce(list(bytes ORDER BY d) FILTER (d IS NOT NULL), []) AS b
+            FROM crc c LEFT JOIN again a ON c.conv_id = a.conv_id GROUP BY c.conv_id),
+        members AS (SELECT conv_id, len(p) AS n, unnest(range(0, len(p) + 1)) AS d, p, b FROM paths),
+        nodes AS (SELECT array_to_string(p[1 : d], '') AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d = 0 THEN 0 ELSE b[d] END) AS bytes,
+                coalesce(array_to_string(list(conv_id ORDER BY conv_id) FILTER (n = d), ','), '') AS ends FROM members GROUP BY 1, 2),
+        kids AS (SELECT left(node, 64 * (d - 1)) AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+        up AS (SELECT left(node, 64 * a) AS node, a AS d, sum(leaf) AS n_leaves, sum(saved) AS saved FROM
+            (SELECT n.node, unnest(range(0, n.d + 1)) AS a, CASE WHEN k.node IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * bytes AS saved
+                FROM nodes n LEFT JOIN kids k ON n.node = k.node AND n.d = k.d) GROUP BY 1, 2)
+        SELECT n.conv_id, n.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+            n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN up ON up.node = n.node AND up.d = n.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d
+            LEFT JOIN nodes parent ON n.d > 0 AND parent.node = left(n.node, 64 * (n.d - 1)) AND parent.d = n.d - 1""",
+    "op13_secret_scans": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        every AS (SELECT doc_id, kind, place, x.low AS low, concat_ws(':', kind, x.low, x.low + x.n) AS span FROM ({_spans_sql()}) WHERE x.own >= least),
+        own AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(span, ',' ORDER BY low, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY low, place) AS spans FROM every GROUP BY doc_id)
+        SELECT doc_id, sha256(t) AS blob, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM texts LEFT JOIN own USING (doc_id)""",
 }
