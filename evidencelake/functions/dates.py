@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 NOTE = re.compile(r"[（(][^）)]*[）)]")
 RANGE = re.compile(r"[—–－~～-]+|至|到|(?<=日)一(?=\d)")
 LIST = re.compile(r"[、,，]")
-ABOUT = re.compile(r"(?:前后|左右|上旬|中旬|下旬|月初|月底|月末|年初|年底|年末|约|间|初|底|末)")
+ABOUT = re.compile(r"(?:前后|左右|上旬|中旬|下旬|(?<!\d)[月年][初底末]|约|间|初|底|末)")
 SEASON = re.compile(r"^(\d{4})年[春夏秋冬]季?$")
 PARTS = re.compile(r"^(?:(\d{4})年)?(?:(\d{1,2})月)?(?:(\d{1,2})日?)?$")
 RELATIVE = re.compile(r"(\d{4})年?(及)?(之前|以前|之后|以后|前|后)")
