@@ -70,13 +70,10 @@ def find(text: str, rule: Rule, compiled: re.Pattern | None = None) -> list[tupl
 
 def _scanner(rules: tuple[Rule, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, done = {r.name: (r, re.compile(r.pattern)) for r in rules}, set()
+        compiled = {r.name: (r, re.compile(r.pattern)) for r in rules}
         for batch in batches:
             blobs, names, found = [], [], []
             for blob, text, wanted in zip(batch.column("blob").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                if blob in done:  # a row that repeats whole
-                    continue
-                done.add(blob)
                 own = text.as_py()
                 blobs.append(blob)
                 names.append(wanted)
@@ -121,18 +118,29 @@ class Ledger:
         """Scan what is unseen of ``versions`` and append it; returns path and blob of each of its rows.
 
         A null text is empty, and a null path one like any other.  Rows that repeat
-        whole are scanned by each task that holds one, once.  Other columns are not looked at.
+        whole are merged before they are scanned.  Other columns are not looked at.
         """
         _text.small_batches(self.spark)
         known = cut(versions.select(F.col(path).alias("path"), blob_of(text).alias("blob")), "blobs")
         # of each blob the row of its least path is scanned
-        chosen = known.groupBy("blob").agg(F.min("path").alias("path"))
+        least = F.min(F.struct("path", "rows")).alias("least")
+        chosen = known.groupBy("blob", "path").agg(F.count("*").alias("rows")).groupBy("blob").agg(least).select("blob", "least.path", "least.rows")
         wanted = cut(self.unseen(chosen, rules), "unseen")
         own = F.coalesce(F.col(text).cast("string"), F.lit(""))
         rows = versions.select(F.col(path).alias("path"), own.alias("text"), blob_of(text).alias("blob"))
-        self._due(rows, known, wanted, [r.name for r in rules]).mapInArrow(_text.releasing(_scanner(rules)), _LEDGER).write.mode("append").parquet(self.folder)
+        self._once(self._due(rows, known, wanted, [r.name for r in rules]), wanted).mapInArrow(_text.releasing(_scanner(rules)), _LEDGER).write.mode("append").parquet(self.folder)
         return known
 
+    def _once(self, due: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``due`` with one row of those that repeat whole; only these are shuffled, and merged in their tasks first."""
+        repeated = cut(wanted.where("rows > 1").select("blob"), "repeated")
+        n = repeated.count()
+        if not n:
+            return due
+        few = F.broadcast(repeated) if n * _ROW_BYTES < SENT_BYTES else repeated
+        merged = due.join(few, "blob", "left_semi").groupBy("blob").agg(F.max("text").alias("text"), F.max("wanted").alias("wanted"))
+        return due.join(few, "blob", "left_anti").unionByName(merged)
+
     def _due(self, rows: DataFrame, known: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
         """The rows that ``wanted`` names, with the rules that each lacks.
 

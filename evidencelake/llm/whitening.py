@@ -51,7 +51,7 @@ def remaindered(residues: list[int], moduli: list[int]) -> int:
 
 def as_integers(c: np.ndarray) -> np.ndarray:
     """x of entries ``c``."""
-    return np.clip(np.floor(SCALE * c), -LARGEST, LARGEST).astype(np.int64) + SHIFT
+    return np.floor(SCALE * np.clip(c, -LARGEST / SCALE, LARGEST / SCALE)).astype(np.int64) + SHIFT
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
