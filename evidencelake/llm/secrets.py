@@ -122,18 +122,18 @@ class Ledger:
         """
         _text.small_batches(self.spark)
         known = cut(versions.select(F.col(path).alias("path"), blob_of(text).alias("blob")), "blobs")
+        pairs = cut(known.groupBy("blob", "path").agg(F.count("*").alias("rows")), "pairs")
         # of each blob the row of its least path is scanned
-        least = F.min(F.struct("path", "rows")).alias("least")
-        chosen = known.groupBy("blob", "path").agg(F.count("*").alias("rows")).groupBy("blob").agg(least).select("blob", "least.path", "least.rows")
+        chosen = pairs.groupBy("blob").agg(F.min("path").alias("path"), F.max("rows").alias("rows"))
         wanted = cut(self.unseen(chosen, rules), "unseen")
         own = F.coalesce(F.col(text).cast("string"), F.lit(""))
         rows = versions.select(F.col(path).alias("path"), own.alias("text"), blob_of(text).alias("blob"))
-        self._once(self._due(rows, known, wanted, [r.name for r in rules]), wanted).mapInArrow(_text.releasing(_scanner(rules)), _LEDGER).write.mode("append").parquet(self.folder)
+        self._once(self._due(rows, pairs, wanted, [r.name for r in rules]), wanted).mapInArrow(_text.releasing(_scanner(rules)), _LEDGER).write.mode("append").parquet(self.folder)
         return known
 
     def _once(self, due: DataFrame, wanted: DataFrame) -> DataFrame:
-        """``due`` with one row of those that repeat whole; only these are shuffled, and merged in their tasks first."""
-        repeated = cut(wanted.where("rows > 1").select("blob"), "repeated")
+        """``due`` with one row of each blob of which rows repeat whole; only these are shuffled, and merged in their tasks first."""
+        repeated = wanted.where("rows > 1").select("blob")
         n = repeated.count()
         if not n:
             return due
@@ -141,7 +141,7 @@ class Ledger:
         merged = due.join(few, "blob", "left_semi").groupBy("blob").agg(F.max("text").alias("text"), F.max("wanted").alias("wanted"))
         return due.join(few, "blob", "left_anti").unionByName(merged)
 
-    def _due(self, rows: DataFrame, known: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    def _due(self, rows: DataFrame, pairs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
         """The rows that ``wanted`` names, with the rules that each lacks.
 
         Texts are not sorted.  If all wanted rows lack all rules, the rows to pass over can be
@@ -152,7 +152,7 @@ class Ledger:
         beside = lambda few, n: F.broadcast(few) if n * _ROW_BYTES < SENT_BYTES else few.hint("shuffle_hash")
         n = wanted.count()
         if wanted.where(F.size("wanted") < len(names)).isEmpty():
-            passed = cut(known.distinct().join(wanted, match(known, wanted), "left_anti"), "passed")
+            passed = cut(pairs.join(wanted, match(pairs, wanted), "left_anti"), "passed")
             m = passed.count()
             if m < n:
                 kept = rows.join(beside(passed, m), match(rows, passed), "left_anti")
