@@ -31,6 +31,30 @@ def ndcg(hits: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     return grades.select("query_id").distinct().join(ideal, "query_id", "left").join(got, "query_id", "left").select("query_id", F.when(F.col("best") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("best")).alias("ndcg"))
 
 
+def greedy_ndcg(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """query_id, ndcg and reason at ``k`` of hits that may cover several pages, each gold page gaining once.
+
+    hits has query_id, rank, document_id, start and end (null: one page); gold has query_id, document_id,
+    page, grade and complete (whether the query's gold is all there is).  In the order of ranks a hit takes
+    all gold pages that it covers and none took before, and gains for the best of them; so a page
+    belongs to the first hit that covers it, which is a minimum and no fold.  ndcg is null where
+    the gold is incomplete, a hit took several pages (ambiguous), or there is nothing to gain.
+    """
+    gain = lambda grade: F.pow(F.lit(2.0), grade) - 1.0
+    pages = gold.groupBy("query_id", "document_id", "page").agg(F.max("grade").alias("grade"))
+    covered = hits.where(F.col("rank") <= k).select("query_id", "rank", "document_id", F.explode(F.sequence("start", F.coalesce("end", "start"))).alias("page"))
+    taken = covered.join(pages, ["query_id", "document_id", "page"]).groupBy("query_id", "document_id", "page").agg(F.min("rank").alias("rank"), F.max("grade").alias("grade"))
+    gains = taken.groupBy("query_id", "rank").agg(F.max("grade").alias("grade"), (F.count("*") > 1).alias("several"))
+    got = gains.groupBy("query_id").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.max("several").alias("ambiguous"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade")))
+    ideal = pages.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("place") + 1.0)).alias("best"))
+    asked = gold.groupBy("query_id").agg(F.min("complete").alias("complete"))
+    both = asked.join(ideal, "query_id", "left").join(got, "query_id", "left")
+    nothing = ~F.coalesce(F.col("complete"), F.lit(False)) | F.coalesce(F.col("best") <= 0, F.lit(True))
+    reason = F.when(nothing, "incomplete_or_no_gain").when(F.col("ambiguous"), "ambiguous_pages").otherwise("evaluated")
+    return both.select("query_id", F.when(reason == "evaluated", F.coalesce("dcg", F.lit(0.0)) / F.col("best")).alias("ndcg"), reason.alias("reason"))
+
+
 def redundancy(hits: DataFrame, fingerprint: str) -> DataFrame:
     """query_id, hits, distinct and redundancy: the share of hits whose fingerprint another hit has already."""
     return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_distinct(fingerprint).alias("different")).withColumn("redundancy", (F.col("hits") - F.col("different")) / F.col("hits"))
@@ -157,3 +181,67 @@ def judgment_error(verdict: Column, claims: Column, answer: Column) -> Column:
     some = F.coalesce(F.size(claims), F.lit(0)) > 0
     foreign = F.exists(claims, lambda c: ~F.contains(whole, T.comparable(c)))
     return F.when((verdict == "pass") & some, "passing_with_claims").when((verdict == "fail") & ~some, "failing_without_claims").when(foreign, "claim_not_in_answer")
+
+
+#: The categories that a composite set has to cover.
+CORE_CATEGORIES = ("timeline", "intersection", "viewpoint", "event", "organization", "conflict", "refusal")
+OBSERVATION = "contemporary_observation"
+
+
+def answer_questions(questions: DataFrame) -> DataFrame:
+    """Answer questions (question_id, tags, answerable, evidence: how many anchors) as rows of a composite set."""
+    refusal = ~F.col("answerable")
+    kind = F.coalesce(category(F.col("tags"), list(CORE_CATEGORIES), refusal), F.when(F.array_contains("tags", OBSERVATION), "viewpoint"))
+    return questions.select(F.lit("answer").alias("source"), "question_id", kind.alias("category"), (refusal | (F.col("evidence") > 0)).alias("has_evidence"), F.when(kind.isNull(), "no_core_category").alias("broken"))
+
+
+def intersection_questions(cases: DataFrame) -> DataFrame:
+    """Cases of two people (id, source_event_id, document_id, pdf_page) as rows of a composite set."""
+    there = F.coalesce((F.col("source_event_id") != "") & (F.col("document_id") != "") & (F.col("pdf_page") > 0), F.lit(False))
+    return cases.select(F.lit("intersection").alias("source"), F.concat(F.lit("intersection::"), "id").alias("question_id"), F.lit("intersection").alias("category"), there.alias("has_evidence"), F.lit(None).cast("string").alias("broken"))
+
+
+def structured_questions(questions: DataFrame) -> DataFrame:
+    """Structured questions (question_id, kind, category, year, at, source_event_id, relationship_id, document_id, pdf_page) as rows of a composite set."""
+    none = lambda c: F.col(c).isNull()
+    wrong = (
+        F.when(~F.col("kind").isin("timeline", "organization"), "unknown_kind")
+        .when((F.col("kind") == "timeline") & ((F.col("category") != "timeline") | none("year") | ~none("at")), "timeline_needs_category_and_year")
+        .when((F.col("kind") == "timeline") & ~none("relationship_id"), "timeline_has_relationship")
+        .when((F.col("kind") == "organization") & ((F.col("category") != "organization") | none("at") | ~none("year")), "organization_needs_category_and_at")
+        .when((F.col("kind") == "organization") & none("relationship_id"), "organization_needs_relationship")
+        .when(F.coalesce(F.col("pdf_page") < 1, F.lit(False)), "page_below_one")
+    )
+    there = F.coalesce((F.col("source_event_id") != "") & (F.col("document_id") != "") & (F.col("pdf_page") > 0), F.lit(False))
+    return questions.select(F.lit("structured").alias("source"), "question_id", "category", there.alias("has_evidence"), wrong.alias("broken"))
+
+
+def audit_sets(questions: DataFrame, minimums: dict[str, int], least: int) -> DataFrame:
+    """rule, key, found and needed of everything that keeps a composite set of ``questions`` from passing; no rows if it passes.
+
+    The set is the union of the three kinds above.  Rules are questions (fewer than ``least``), category (fewer than
+    its minimum), evidence (a source some of whose questions have neither evidence nor a refusal), duplicate (an id of several
+    questions), and contract (what is broken, by source and how).
+    """
+    if set(minimums) != set(CORE_CATEGORIES) or min(minimums.values()) < 1:
+        raise ValueError("every core category needs a positive minimum")
+    spark = questions.sparkSession
+    row = lambda df, rule, key, found, needed: df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), found.cast("long").alias("found"), needed.cast("long").alias("needed"))
+    total = questions.agg(F.count("*").alias("n")).where(F.col("n") < least)
+    wanted = spark.createDataFrame(sorted(minimums.items()), "category string, needed long")
+    held = questions.groupBy("category").agg(F.count("*").alias("n"))
+    short = wanted.join(held, "category", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < needed")
+    bare = questions.groupBy("source").agg(F.count_if(F.coalesce("has_evidence", F.lit(False))).alias("with"), F.count("*").alias("n")).where(F.col("with") < F.col("n"))
+    twice = questions.groupBy("question_id").agg(F.count("*").alias("n")).where("n > 1")
+    broken = questions.where("broken IS NOT NULL").groupBy("source", "broken").agg(F.count("*").alias("n"))
+    parts = [
+        row(total, "questions", F.lit(None), F.col("n"), F.lit(least)),
+        row(short, "category", F.col("category"), F.col("n"), F.col("needed")),
+        row(bare, "evidence", F.col("source"), F.col("with"), F.col("n")),
+        row(twice, "duplicate", F.col("question_id"), F.col("n"), F.lit(1)),
+        row(broken, "contract", F.concat_ws(":", "source", "broken"), F.col("n"), F.lit(0)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -1,20 +1,30 @@
-"""Checkpoints in the folder that all executors share."""
+"""The folder that all executors share, and checkpoints in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The temporary folder of a local master, once it is made.
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only for a local master without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='evidencelake-')}")
+    return _LOCAL[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint; a local master without ``spark.checkpoint.dir`` gets a temporary folder."""
+    """``df`` from a reliable checkpoint."""
     context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="evidencelake-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
+from evidencelake.operators.lineage import cut
+from evidencelake.operators.ranges import numbered
+
+#: What an OCR pass flags, and texts of how many characters and Chinese characters count as little.
+FROM_TEXT, FROM_IMAGE, LITTLE, FEW, FEW_CJK = "ocr_from_existing_text_layer", "ocr_from_image_only_page", "ocr_low_substantive_text", 20, 5
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -100,3 +107,54 @@ def ocr_text(results: Column) -> Column:
     scores = F.filter(F.transform(good, lambda x: x["score"]), lambda v: v.isNotNull())
     mean = F.aggregate(scores, F.lit(0.0), lambda total, v: total + v) / F.size(scores)
     return F.struct(F.array_join(F.transform(good, lambda x: x["text"]), "\n").alias("text"), F.when(F.size(scores) > 0, F.round(mean, 6)).alias("confidence"))
+
+
+def ocr_pass(records: DataFrame, done: DataFrame, engine: Callable[[DataFrame], DataFrame], version: str, most: int | None = None, selected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records after the pass, summary of each document) of a pass that goes on where ``done`` ends.
+
+    records has document_id, place (the order of documents), pdf_page, file_sha256, status, normalized_text,
+    images and quality_flags of all pages; those that require OCR, and are among ``selected`` (document_id, pdf_page) if that
+    is given, are candidates.  What ``done`` has of a candidate, from the same file by the same ``version`` and
+    not failed, is used again.  Of the rest the first ``most`` by place and page, over all
+    documents, go to ``engine``, which adds text, confidence and error; they are found by ranges
+    of counts and not by a sort in one task.  A page with an error is a failed record.
+
+    The records have document_id, pdf_page, file_sha256, status, normalized_text, character_count,
+    ocr_confidence, quality_flags, extractor_version and error; the summary has candidate, processed, reused,
+    remaining and failed pages, characters and the mean confidence to six places.
+    """
+    kept = ["document_id", "pdf_page", "file_sha256", "status", "normalized_text", "character_count", "ocr_confidence", "quality_flags", "extractor_version", "error"]
+    wanted = records.where("status = 'ocr_required'")
+    if selected is not None:
+        wanted = wanted.join(selected.select("document_id", "pdf_page").distinct(), ["document_id", "pdf_page"], "left_semi")
+    reused, pending = incremental_pages(wanted, done, version)
+    if most is not None:
+        first = numbered(pending.select("place", "document_id", "pdf_page"), "place", "document_id", "pdf_page", name="__n").where(F.col("__n") <= most)
+        pending = pending.join(first.select("document_id", "pdf_page"), ["document_id", "pdf_page"], "left_semi")
+    source = F.coalesce("normalized_text", F.lit(""))
+    had = F.when(F.length(T.compact(source)) > 0, FROM_TEXT).otherwise(FROM_IMAGE)
+    read = engine(pending.select("document_id", "pdf_page", "file_sha256", "images", F.col("quality_flags").alias("__flags"), had.alias("__had")))
+    stored = read.withColumn("normalized_text", T.for_storage(F.coalesce("text", F.lit(""))))
+    body = T.compact("normalized_text")
+    cjk = F.regexp_count(body, F.lit(T.CJK))
+    little = F.when((F.length(body) < FEW) | (cjk < FEW_CJK), LITTLE)
+    failed = F.col("error").isNotNull()
+    flags = F.array_distinct(F.array_compact(F.concat(T.page_flags("normalized_text", F.lit(0)), F.coalesce("__flags", F.array().cast("array<string>")), F.array(F.col("__had"), little))))
+    made = stored.select(
+        "document_id",
+        "pdf_page",
+        "file_sha256",
+        F.when(failed, "failed").otherwise(T.page_status("normalized_text", F.lit(0))).alias("status"),
+        F.when(failed, "").otherwise(F.col("normalized_text")).alias("normalized_text"),
+        F.when(failed, 0).otherwise(F.length(body)).cast("long").alias("character_count"),
+        F.when(~failed, F.col("confidence")).alias("ocr_confidence"),
+        F.when(failed, F.array(F.lit("extraction_failed"))).otherwise(flags).alias("quality_flags"),
+        F.lit(version).alias("extractor_version"),
+        "error",
+    )
+    now = cut(made.withColumn("processed", F.lit(True)).unionByName(reused.select(*kept).withColumn("processed", F.lit(False))))
+    counts = now.groupBy("document_id").agg(F.count_if("processed").alias("processed"), F.count_if(~F.col("processed")).alias("reused"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("character_count").alias("characters"), F.round(F.avg("ocr_confidence"), 6).alias("confidence"))
+    candidates = wanted.groupBy("document_id").agg(F.count("*").alias("candidates"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    summary = candidates.join(counts, "document_id", "left").select("document_id", "candidates", *(zero(c) for c in ("processed", "reused", "failed", "characters")), "confidence")
+    return now.drop("processed"), summary.withColumn("remaining", F.col("candidates") - F.col("processed") - F.col("reused"))

@@ -104,6 +104,32 @@ def upsert(current: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     return both.select(key, F.coalesce("new", "old").alias("row"), action.alias("action"), F.col("new_hash").isNotNull().alias("is_active")).select(key, "row.*", "action", "is_active")
 
 
+def upsert_generated(current: DataFrame, new: DataFrame, key: str, columns: list[str], children: dict[str, tuple[DataFrame, DataFrame]], version: str = "extractor_version") -> DataFrame:
+    """key and action of an upsert of generated records that leaves reviewed ones alone: created, updated, skipped or protected.
+
+    A record is the same if its ``columns`` are, and for each of ``children`` (the stored and the new child
+    rows, by name) the set of its child rows is, in whatever order they come and however often.
+    Only records that rules made, that the same extractor made, and that nobody has reviewed are updated;
+    others that differ are protected.  Records that ``new`` lacks stay.  ``current`` has extraction_method,
+    ``version`` and review_status besides; child rows are told by all their columns.
+    """
+
+    def hashed(rows: DataFrame, kept: list[DataFrame]) -> DataFrame:
+        own = rows.select(key, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("own"))
+        for i, child in enumerate(kept):
+            names = sorted(c for c in child.columns if c != key)
+            row = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+            sets = child.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(row)), ","), 256).alias(f"set{i}"))
+            own = own.join(sets, key, "left")
+        return own.select(key, F.sha2(F.concat_ws("|", "own", *(F.coalesce(f"set{i}", F.lit("")) for i in range(len(kept)))), 256).alias("content"))
+
+    old = hashed(current, [c[0] for c in children.values()]).withColumnRenamed("content", "old").join(current.select(key, "extraction_method", F.col(version).alias("__version"), "review_status"), key)
+    fresh = hashed(new, [c[1] for c in children.values()]).join(new.select(key, F.col(version).alias("__new_version")), key)
+    free = (F.col("extraction_method") == "rule") & F.col("__version").eqNullSafe(F.col("__new_version")) & F.col("review_status").isin("unreviewed", "needs_review")
+    action = F.when(F.col("old").isNull(), "created").when(F.col("old") == F.col("content"), "skipped").when(F.coalesce(free, F.lit(False)), "updated").otherwise("protected")
+    return fresh.join(old, key, "left").select(key, action.alias("action"))
+
+
 def current_version(versions: DataFrame, key: str, order: str) -> DataFrame:
     """``versions`` with is_current: the latest of each key."""
     return versions.withColumn("is_current", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) == 1)

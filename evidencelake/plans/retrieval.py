@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
-from evidencelake.operators import fusion, keyword, pages, vector
+from evidencelake.operators import fusion, keyword, pages, stored, vector
+from evidencelake.operators.lineage import shared_folder
 from evidencelake.plans.tables import pages as page_table
 from evidencelake.plans.tables import table
 
@@ -97,10 +100,26 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.ranked_terms("text"))).alias("term"))
 
 
+def _store(spark: SparkSession, sf_dir: str, kind: str) -> stored.Store:
+    """A store of its own for each kind of index and folder of tables."""
+    return stored.Store(spark, f"{shared_folder(spark)}/evidencelake-indexes/{kind}-{uuid.uuid5(uuid.NAMESPACE_URL, sf_dir).hex}")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[stored.Store, stored.Version]:
+    """The published keyword index of all documents, built if there is none of these very files."""
+    store, files = _store(spark, sf_dir, "keyword"), stored.inputs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    version = store.current()
+    if version is None or version.manifest.get("inputs") != files:
+        version = stored.build_keyword(store, _chunks(spark, sf_dir), {"inputs": files})
+    return store, version
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark, sf_dir)
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return keyword.scores(terms, keyword.build_index(chunks, only=terms))
+    return keyword.scores(_terms(spark, sf_dir), stored.stored_keyword(*keyword_index(spark, sf_dir)))
 
 
 BM25 = f"""
