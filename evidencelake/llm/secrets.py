@@ -27,6 +27,8 @@ from evidencelake.llm._store import cut
 
 #: Bytes of chosen or passed-over rows up to which they are sent to all tasks, and of one such row.
 SENT_BYTES, _ROW_BYTES = 64 << 20, 96
+#: Bytes of what is reported of a blob besides its spans, and of a span.
+_BLOB_BYTES, _SPAN_BYTES = 256, 64
 
 
 @dataclass(frozen=True)
@@ -122,7 +124,7 @@ class Ledger:
         """
         _text.small_batches(self.spark)
         known = cut(versions.select(F.col(path).alias("path"), blob_of(text).alias("blob")), "blobs")
-        pairs = cut(known.groupBy("blob", "path").agg(F.count("*").alias("rows")), "pairs")
+        pairs = known.groupBy("blob", "path").agg(F.count("*").alias("rows"))
         # of each blob the row of its least path is scanned
         chosen = pairs.groupBy("blob").agg(F.min("path").alias("path"), F.max("rows").alias("rows"))
         wanted = cut(self.unseen(chosen, rules), "unseen")
@@ -152,13 +154,18 @@ class Ledger:
         beside = lambda few, n: F.broadcast(few) if n * _ROW_BYTES < SENT_BYTES else few.hint("shuffle_hash")
         n = wanted.count()
         if wanted.where(F.size("wanted") < len(names)).isEmpty():
-            passed = cut(pairs.join(wanted, match(pairs, wanted), "left_anti"), "passed")
-            m = passed.count()
+            m = pairs.count() - n  # every wanted row is one of the pairs
             if m < n:
+                passed = pairs.join(wanted, match(pairs, wanted), "left_anti").select("blob", "path")
                 kept = rows.join(beside(passed, m), match(rows, passed), "left_anti")
                 return kept.select("blob", "text", F.array(*(F.lit(x) for x in names)).alias("wanted"))
         return rows.join(beside(wanted, n), match(rows, wanted)).select(rows.blob, "text", "wanted")
 
+    def findings_bytes(self) -> int:
+        """At least the bytes of all ``findings``, from the sizes of the stored spans."""
+        n = self.rows().where(F.size("spans") > 0).agg(F.count("*").alias("blobs"), F.sum(F.size("spans")).alias("spans")).first()
+        return n["blobs"] * _BLOB_BYTES + (n["spans"] or 0) * _SPAN_BYTES
+
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """blob and spans (low, place, kind, high) of every blob in which these rule versions have found any, by low and the order of ``rules``."""
         place = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)))
@@ -178,12 +185,13 @@ def secret_report(ledger: Ledger, known: DataFrame, rules: tuple[Rule, ...] = RU
     """path, blob, counts of the base kinds, the SHA-256 of the base spans as text, and all spans as text, for each row of ``known`` (path, blob).
 
     What was found in a blob is put into words once; then all paths of the blob, which
-    may be a large part of all rows, are joined to that one row.
+    may be a large part of all rows, are joined to that one row: where they are, if all findings
+    are small enough to be sent to them.
     """
     base = [r.kind for r in BASE_RULES]
     of = lambda *kinds: F.filter("spans", lambda s: s.kind.isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
     found = ledger.findings(rules).select("blob", *counts, F.sha2(as_text(of(*base)).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
     none = F.sha2(F.lit("").cast("binary"), 256)
-    joined = known.join(found, "blob", "left")
+    joined = known.join(F.broadcast(found) if ledger.findings_bytes() < SENT_BYTES else found, "blob", "left")
     return joined.select("path", "blob", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base), F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
