@@ -41,13 +41,17 @@ def appointments(text: Column, name: Column) -> Column:
 
 
 def position(phrase: Column) -> Column:
-    """Struct of organization and role of a phrase; null unless it ends in a role after the name of an organisation."""
-    role = F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.endswith(phrase, r)), F.lit(0))
-    body = F.substring(phrase, F.lit(1), F.length(phrase) - F.length(role))
+    """Struct of organization and role of a phrase; null unless it ends in a role after a name that has the mark of an organisation.
+
+    White space, and marks at either end, do not count; a phrase of two posts (和) names none.
+    """
+    plain = F.regexp_replace(F.regexp_replace(phrase, r"(?U)\s+", ""), "^[：:、，和及的]+|[：:、，和及的]+$", "")
+    role = F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.endswith(plain, r)), F.lit(0))
+    body = F.regexp_replace(F.substring(plain, F.lit(1), F.length(plain) - F.length(role)), "^的+|的+$", "")
     # a minister's ministry keeps its last character
-    organization = F.when(role.isin("部长", "副部长") & ~F.endswith(body, F.lit("部")), F.concat(body, F.lit("部"))).otherwise(body)
-    marked = F.exists(F.array(*map(F.lit, ORGANIZATIONS)), lambda m: F.contains(organization, m)) | F.endswith(organization, F.lit("部"))
-    good = role.isNotNull() & (F.length(organization) >= 2) & marked & ~F.contains(organization, F.lit("和")) & (organization != "中央")
+    organization = F.when((role == "部长") & ~F.endswith(body, F.lit("部")), F.concat(body, F.lit("部"))).otherwise(body)
+    marked = F.exists(F.array(*map(F.lit, ORGANIZATIONS)), lambda m: F.contains(organization, m))
+    good = role.isNotNull() & (F.length(body) >= 2) & marked & ~F.contains(plain, F.lit("和")) & (organization != "中央")
     return F.when(good, F.struct(organization.alias("organization"), role.alias("role")))
 
 

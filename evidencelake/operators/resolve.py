@@ -12,6 +12,8 @@ from evidencelake.operators.lineage import cut
 DATE_WEIGHTS = {"exact_day": 0.34, "same_value": 0.24, "same_month": 0.18}
 CONTAINMENT, JACCARD, SHARED, MUTUAL, ORGANIZATION, LOCATION, TYPE = 0.22, 0.10, 0.14, 0.10, 0.04, 0.03, 0.03
 LEAST, AUTOMATIC = 0.70, 0.80
+#: Fixed value: how much of the shorter text candidates of two days have in common.
+ALIKE = 0.80
 #: Fixed value: the type of events that have no other.
 GENERIC = "activity"
 
@@ -45,13 +47,18 @@ def pair_score(relation: Column, containment: Column, jaccard: Column, shared: C
 def representative(events: DataFrame, group: str) -> DataFrame:
     """The event of each group that stands for it.
 
-    The best reviewed, surest, one of an exact day (if there is a column precision), of a type other than
+    The best reviewed, surest, one of an exact date (by a column certainty, or else of a day by a column precision), of a type other than
     ``GENERIC``, with the shortest description, then of the largest id.
     """
-    rank = F.when(F.col("review_status") == "confirmed", 2).when(F.col("review_status") == "unreviewed", 1).otherwise(0)
-    exact = [(F.col("precision") == "day")] if "precision" in events.columns else []
-    specific = [(F.col("event_type") != GENERIC)] if "event_type" in events.columns else []
-    return events.groupBy(group).agg(F.max_by(F.struct("*"), F.struct(rank, "confidence", *exact, *specific, -F.length("description"), "event_id")).alias("e")).select(group, "e.event_id", "e.confidence", "e.review_status")
+    return events.groupBy(group).agg(F.max_by(F.struct("*"), standing(events.columns)).alias("e")).select(group, "e.event_id", "e.confidence", "e.review_status")
+
+
+def standing(columns: list[str]) -> Column:
+    """What an event's standing among those of its group is ordered by; terms whose columns are not among ``columns`` are left out."""
+    rank = F.when(F.col("review_status") == "confirmed", 3).when(F.col("review_status") == "unreviewed", 2).when(F.col("review_status") == "needs_review", 1).otherwise(0)
+    exact = [(F.col("certainty") == "exact")] if "certainty" in columns else [(F.col("precision") == "day")] if "precision" in columns else []
+    specific = [(F.col("event_type") != GENERIC)] if "event_type" in columns else []
+    return F.struct(rank, "confidence", *exact, *specific, -F.length("description"), "event_id")
 
 
 def canonical_type(members: DataFrame, group: str) -> DataFrame:
@@ -107,9 +114,13 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("x", "node")
 
 
-def high_confidence(members: Column, pairs: Column, relation: Column, score: Column, containment: Column, mutual: Column, shared: Column) -> Column:
-    """Whether a group may be merged without review."""
-    return (members == 2) & (pairs == 1) & (relation == "exact_day") & (score >= AUTOMATIC) & (containment >= 0.75) & (mutual | ((containment >= 0.9) & (shared > 0)))
+def high_confidence(members: Column, pairs: Column, relation: Column, score: Column, containment: Column, mutual: Column, shared: Column, days: Column, sure: Column, exact: Column, automatic: float = AUTOMATIC) -> Column:
+    """Whether a group may be merged without review: one pair of two events of one day with enough in common.
+
+    days, sure and exact say whether all members start on a day, whether all their dates are exact or inferred, and whether any is exact.
+    """
+    alike = (relation == "exact_day") & (score >= automatic) & (containment >= 0.75) & (mutual | ((containment >= 0.9) & (shared > 0)))
+    return F.coalesce((members == 2) & (pairs == 1) & alike & days & sure & exact, F.lit(False))
 
 
 def review_priority(confidence: Column) -> Column:
@@ -132,7 +143,7 @@ def candidates(scored: DataFrame, least: float = LEAST) -> DataFrame:
     scored has relation, score, containment, jaccard, shared and mutual.
     """
     exact = (F.col("relation") == "exact_day") & ((F.col("score") >= least) | ((F.col("containment") >= 0.82) & (F.col("jaccard") >= 0.55)))
-    alike = (F.col("containment") >= 0.80) & (F.col("jaccard") >= 0.45) & (F.col("shared") > 0) & (F.col("mutual") | (F.col("containment") >= 0.90))
+    alike = (F.col("containment") >= ALIKE) & (F.col("jaccard") >= 0.45) & (F.col("shared") > 0) & (F.col("mutual") | (F.col("containment") >= 0.90))
     relaxed = (F.col("relation") != "exact_day") & (F.col("score") >= max(0.60, least - 0.10)) & alike
     return scored.where(exact | relaxed)
 
@@ -143,17 +154,68 @@ def participants(rows: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(group, "person_id", "mention").orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def _identity(prefix: str, ids: Column, separator: str) -> Column:
+    text = F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), separator)
+    return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, 32))
+
+
 def canonical(members: DataFrame, pairs: DataFrame, separator: str = "\x1f") -> DataFrame:
     """component, canonical_event_id, members, score (mean of its pairs) and event_type of each component.
 
-    members has component, event_id and event_type; pairs has component and score.
-    The id is a hash of the sorted member ids; the type is the one all agree on, or
-    ``mixed``.
+    members has component, event_id, event_type and what ``standing`` asks for; pairs has component
+    and score.  The id is a hash of the sorted member ids; the type is ``canonical_type``'s.
+    """
+    best = representative(members, "component").select("component", F.col("event_id").alias("__best"))
+    marked = members.join(best, "component").withColumn("is_representative", F.col("event_id") == F.col("__best"))
+    grouped = members.groupBy("component").agg(_identity("canonical_", F.collect_set("event_id"), separator).alias("canonical_event_id"), F.count_distinct("event_id").alias("members"))
+    return grouped.join(canonical_type(marked, "component"), "component").join(pairs.groupBy("component").agg(F.round(F.avg("score"), 6).alias("score")), "component")
+
+
+def canonical_candidates(members: DataFrame, pairs: DataFrame, version: str, automatic: float = AUTOMATIC, separator: str = "\x1f") -> DataFrame:
+    """One canonical event for each component: what it says, how sure it is, and a hash of all it was made from.
+
+    members has component, event_id, name, event_type, start_value, precision, certainty, end_value, location,
+    organizations, description, documents, review_status and confidence, one row each; pairs has
+    component, a, b, relation, score, containment, jaccard, shared and mutual.  Name, dates, location and
+    description are the representative's, the type is ``canonical_type``'s, organizations are
+    those of all members in the order of ids, and confidence is the mean score of the pairs.
+    candidate_kind is high_confidence or uncertain, and review_status
+    unreviewed or needs_review with it; input_hash changes with any member, pair, kind or the ``version``.
     """
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set("event_id")), lambda i: i.cast("string")), separator)
-    kinds = F.collect_set("event_type")
-    grouped = members.groupBy("component").agg(F.concat(F.lit("canonical_"), F.substring(F.sha2(ids, 256), 1, 32)).alias("canonical_event_id"), F.count_distinct("event_id").alias("members"), F.when(F.size(kinds) == 1, F.array_max(kinds)).otherwise("mixed").alias("event_type"))
-    return grouped.join(pairs.groupBy("component").agg(F.round(F.avg("score"), 6).alias("score")), "component")
+    content = F.sha2(F.to_json(F.struct(*sorted(c for c in members.columns if c != "component")), {"ignoreNullFields": "false"}), 256)
+    names = F.coalesce("organizations", F.array().cast("array<string>"))
+    grouped = members.withColumn("__content", content).groupBy("component").agg(
+        _identity("canonical_", F.collect_set("event_id"), separator).alias("canonical_event_id"),
+        F.count("*").alias("members"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("event_id", names.alias("o")))), lambda m: m["o"]))).alias("organizations"),
+        F.max_by(F.struct("event_id", "name", "start_value", "end_value", "location", "description", "event_type"), standing(members.columns)).alias("best"),
+        F.collect_set("event_type").alias("kinds"),
+        F.min(F.col("precision") == "day").alias("days"),
+        F.min(F.col("certainty").isin("exact", "inferred")).alias("sure"),
+        F.max(F.col("certainty") == "exact").alias("exact"),
+        F.array_sort(F.collect_list(F.struct("event_id", "__content"))).alias("contents"),
+    )
+    feature = F.struct("a", "b", "relation", "score", "containment", "jaccard", "shared", "mutual")
+    scored = pairs.groupBy("component").agg(F.count("*").alias("pairs"), F.round(F.avg("score"), 6).alias("confidence"), F.min(feature).alias("one"), F.array_sort(F.collect_list(feature)).alias("features"))
+    both = grouped.join(scored, "component")
+    surely = high_confidence(F.col("members"), F.col("pairs"), *(F.col(f"one.{c}") for c in ("relation", "score", "containment", "mutual", "shared")), F.col("days"), F.col("sure"), F.col("exact"), automatic)
+    specific = F.filter("kinds", lambda k: k != GENERIC)
+    kind = F.when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).when(F.size(specific) == 1, F.get(specific, F.lit(0))).otherwise(F.col("best.event_type"))
+    named = both.withColumn("candidate_kind", F.when(surely, "high_confidence").otherwise("uncertain"))
+    made_from = F.to_json(F.struct("contents", "features", "candidate_kind", F.lit(version).alias("version")), {"ignoreNullFields": "false"})
+    return named.select(
+        "component",
+        "canonical_event_id",
+        "members",
+        "candidate_kind",
+        F.when(surely, "unreviewed").otherwise("needs_review").alias("review_status"),
+        F.col("best.event_id").alias("representative_id"),
+        *(F.col(f"best.{c}").alias(c) for c in ("name", "start_value", "end_value", "location", "description")),
+        kind.alias("event_type"),
+        "organizations",
+        "confidence",
+        F.sha2(made_from, 256).alias("input_hash"),
+    )
 
 
 def month_pairs(events: DataFrame, least: float = LEAST) -> DataFrame:
@@ -162,10 +224,11 @@ def month_pairs(events: DataFrame, least: float = LEAST) -> DataFrame:
     events has event_id, start_value, event_type, description, people, organizations,
     location, documents and subjects (of its documents); all but the first four may
     be null.  A start of a year alone meets only such starts.  Pairs of one document
-    are left out, and so are, without a loss, those that can't be candidates:
-    whatever else agrees, a candidate without a common person has so much of the
-    shorter text in the other that one of the few rarest character pairs of the
-    shorter is among them.  So no month is paired with itself.
+    are left out, and so are, without a loss, those that can't be candidates.  Candidates
+    are of one day, or share a person and ``ALIKE`` of the shorter text; of one day without a common person,
+    whatever else agrees, they share as much of it as the score needs.  So events of one day and person meet,
+    and all others only if one of the few rarest character pairs of the shorter text is in the
+    other, inside their day, or their month and person.
     """
     if not 0.5 <= least <= 0.95:
         raise ValueError("the least score is between 0.5 and 0.95")
@@ -173,17 +236,25 @@ def month_pairs(events: DataFrame, least: float = LEAST) -> DataFrame:
     sets = ("people", "organizations", "documents", "subjects")
     rows = cut(events.where("start_value IS NOT NULL").withColumn("month", F.substring("start_value", 1, 7)).withColumn("grams", T.bigrams("description")).withColumns({c: ids(c) for c in sets}))
     text = (least - DATE_WEIGHTS["exact_day"] - ORGANIZATION - LOCATION - TYPE) / (CONTAINMENT + JACCARD)
-    part = min(0.82, text) - 1e-5
 
-    token = rows.select("month", "event_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    token = rows.select("event_id", "month", "start_value", "people", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     counts = token.groupBy("month", "gram").agg(F.count("*").alias("often"))
-    ordered = token.join(counts, ["month", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy("often", "gram")))
-    rare = ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * part) + 1).select("month", "gram", F.col("event_id").alias("x"), F.col("n").alias("m"))
-    by_text = rare.join(token, ["month", "gram"]).where("m <= n AND x <> event_id").select(F.least("x", "event_id").alias("a"), F.greatest("x", "event_id").alias("b"))
-    person = rows.select("month", "event_id", F.explode(F.array_distinct("people")).alias("person"))
-    by_person = person.withColumnRenamed("event_id", "a").join(person.withColumnRenamed("event_id", "b"), ["month", "person"]).where("a < b").select("a", "b")
-
-    pairs = by_text.unionByName(by_person).distinct()
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("often", "gram"))
+    ordered = cut(token.join(counts, ["month", "gram"]).withColumn("place", place).drop("often"))
+
+    def by_text(block: list[str], tokens: DataFrame, share: float) -> DataFrame:
+        """Pairs of a block in which one of the rarest grams of the shorter text is in the other: all that have ``share`` of it in common."""
+        rare = tokens.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (share - 1e-5)) + 1).select(*block, "gram", F.col("event_id").alias("x"), F.col("n").alias("m"))
+        met = rare.join(tokens.select(*block, "gram", "event_id", "n"), [*block, "gram"]).where("m <= n AND x <> event_id")
+        return met.select(F.least("x", "event_id").alias("a"), F.greatest("x", "event_id").alias("b"))
+
+    day = F.length("start_value") == 10
+    of_day = by_text(["start_value"], ordered.where(day), min(0.82, text))
+    of_person = by_text(["month", "person"], ordered.withColumn("person", F.explode(F.array_distinct("people"))), ALIKE)
+    person = rows.where(day).select("start_value", "event_id", F.explode(F.array_distinct("people")).alias("person"))
+    of_both = person.withColumnRenamed("event_id", "a").join(person.withColumnRenamed("event_id", "b"), ["start_value", "person"]).where("a < b").select("a", "b")
+
+    pairs = of_day.unionByName(of_person).unionByName(of_both).distinct()
     side = lambda name, key: rows.select(F.col("event_id").alias(key), F.struct("start_value", "event_type", "location", "grams", *sets).alias(name))
     met = pairs.join(side("l", "a"), "a").join(side("r", "b"), "b").where(~F.arrays_overlap("l.documents", "r.documents"))
     shared = F.array_intersect("l.people", "r.people")

@@ -34,15 +34,14 @@ sc AS (SELECT a, b, relation, round(c, 6) AS containment, round(k, 6) AS jaccard
   + CAST(0.22 AS DOUBLE) * c + CAST(0.10 AS DOUBLE) * k + CAST(0.14 AS DOUBLE) * least(len(sh), 2) / CAST(2 AS DOUBLE) + CASE WHEN mutual THEN CAST(0.10 AS DOUBLE) ELSE 0 END + CASE WHEN org THEN CAST(0.04 AS DOUBLE) ELSE 0 END + CASE WHEN loc THEN CAST(0.03 AS DOUBLE) ELSE 0 END + CASE WHEN kind THEN CAST(0.03 AS DOUBLE) ELSE 0 END), 6) AS score FROM f)"""
 
 
-@query(f"""
-WITH {MONTHLY} SELECT a, b, relation, containment, jaccard, CAST(shared AS INT) AS shared, mutual, score FROM sc
-WHERE (relation = 'exact_day' AND (score >= 0.7 OR (containment >= 0.82 AND jaccard >= 0.55))) OR (relation <> 'exact_day' AND score >= 0.6 AND containment >= 0.8 AND jaccard >= 0.45 AND shared > 0 AND (mutual OR containment >= 0.9))""")
-def m7_month_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates among all events of each month, with every relation of dates and people."""
+CANDIDATES = "(relation = 'exact_day' AND (score >= 0.7 OR (containment >= 0.82 AND jaccard >= 0.55))) OR (relation <> 'exact_day' AND score >= 0.6 AND containment >= 0.8 AND jaccard >= 0.45 AND shared > 0 AND (mutual OR containment >= 0.9))"
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.col("o_orderkey")
     start = F.when(order % 4 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     document = F.array(order % 7)
-    events = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         order.alias("event_id"),
         start.alias("start_value"),
         F.when(F.col("o_totalprice") > 250000, "visit").otherwise("activity").alias("event_type"),
@@ -53,7 +52,36 @@ def m7_month_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         document.alias("documents"),
         document.alias("subjects"),
     )
-    return resolve.candidates(resolve.month_pairs(events))
+
+
+@query(f"""
+WITH {MONTHLY} SELECT a, b, relation, containment, jaccard, CAST(shared AS INT) AS shared, mutual, score FROM sc
+WHERE {CANDIDATES}""")
+def m7_month_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates among all events of each month, with every relation of dates and people."""
+    return resolve.candidates(resolve.month_pairs(_monthly(spark, sf_dir)))
+
+
+@query(f"""
+WITH RECURSIVE {MONTHLY}, k AS (SELECT * FROM sc WHERE {CANDIDATES}), g AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+t AS (SELECT a AS node, a AS other FROM g UNION SELECT t.node, g.b FROM t JOIN g ON g.a = t.other), co AS (SELECT node, min(other) AS component FROM t GROUP BY node),
+m AS (SELECT component, node, s, ev.kind, ev.org, x, o_orderpriority || o_orderstatus || o_custkey AS description, o_totalprice > 100000 AS confirmed, o_orderkey % 3 <> 0 AS exact, round(o_totalprice / 1000000, 6) AS confidence FROM co JOIN ev ON ev.id = node JOIN orders ON o_orderkey = node),
+r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY confirmed DESC, confidence DESC, exact DESC, kind <> 'activity' DESC, length(description), node DESC) AS n FROM m),
+h AS (SELECT component, count(*) AS members, min(CASE WHEN n = 1 THEN node END) AS representative_id, count(DISTINCT kind) AS kinds, min(CASE WHEN n = 1 THEN kind END) AS own, bool_and(length(s) = 10) AS days, bool_or(exact) AS exact,
+  array_to_string(list_sort(list_distinct(list(org))), ',') AS organizations FROM r GROUP BY component),
+p AS (SELECT component, count(*) AS pairs, round(avg(score), 6) AS confidence, bool_and(relation = 'exact_day' AND score >= 0.8 AND containment >= 0.75 AND (mutual OR (containment >= 0.9 AND shared > 0))) AS sure FROM k JOIN co ON co.node = k.a GROUP BY component)
+SELECT component, members, CASE WHEN members = 2 AND pairs = 1 AND sure AND days AND exact THEN 'high_confidence' ELSE 'uncertain' END AS candidate_kind, CASE WHEN members = 2 AND pairs = 1 AND sure AND days AND exact THEN 'unreviewed' ELSE 'needs_review' END AS review_status,
+  representative_id, CASE WHEN kinds = 1 THEN own ELSE 'visit' END AS event_type, organizations, confidence FROM h JOIN p USING (component)""")
+def m14_canonical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical events of the groups that the candidates of whole months make."""
+    events = _monthly(spark, sf_dir)
+    pairs = resolve.candidates(resolve.month_pairs(events))
+    groups = resolve.components(pairs.select("a", "b"))
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_totalprice") > 100000, "confirmed").otherwise("unreviewed").alias("review_status"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence"), F.when(F.col("o_orderkey") % 3 != 0, "exact").otherwise("inferred").alias("certainty"))
+    named = events.withColumns({"name": F.col("description"), "end_value": F.lit(None).cast("string"), "precision": F.when(F.length("start_value") == 10, "day").otherwise("month")})
+    members = groups.select("component", F.col("node").alias("event_id")).join(named, "event_id").join(facts, "event_id")
+    found = resolve.canonical_candidates(members, pairs.join(groups.select(F.col("node").alias("a"), "component"), "a"), "v1")
+    return found.select("component", "members", "candidate_kind", "review_status", "representative_id", "event_type", F.array_join(F.array_sort("organizations"), ",").alias("organizations"), "confidence")
 
 
 SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"

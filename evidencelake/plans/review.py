@@ -40,13 +40,13 @@ t AS (SELECT a AS node, a AS other FROM g UNION SELECT t.node, g.b FROM t JOIN g
 
 @query(f"""
 WITH RECURSIVE {COMPONENTS}, m AS (SELECT component, 'canonical_' || substr(sha256(string_agg(CAST(node AS VARCHAR), chr(31) ORDER BY node)), 1, 32) AS canonical_event_id, count(*) AS members,
-  CASE WHEN count(DISTINCT event_type) = 1 THEN max(event_type) ELSE 'mixed' END AS event_type FROM co JOIN events ON event_id = node GROUP BY component),
+  CASE WHEN count(DISTINCT event_type) = 1 THEN max(event_type) ELSE arg_max(event_type, (CASE review_status WHEN 'confirmed' THEN 3 WHEN 'unreviewed' THEN 2 WHEN 'needs_review' THEN 1 ELSE 0 END, confidence, -length(props), event_id)) END AS event_type FROM co JOIN ev ON event_id = node GROUP BY component),
 p AS (SELECT component, round(avg(score), 6) AS score FROM sc JOIN co ON co.node = sc.a WHERE score >= 0.85 GROUP BY component)
 SELECT component, canonical_event_id, members, event_type, score FROM m JOIN p USING (component)""")
 def m14_canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _scored(spark, sf_dir).where("score >= 0.85")
     groups = resolve.components(pairs.select("a", "b"))
-    members = groups.select("component", F.col("node").alias("event_id")).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    members = groups.select("component", F.col("node").alias("event_id")).join(source_events(spark, sf_dir).withColumn("description", F.col("props")), "event_id")
     return resolve.canonical(members, pairs.join(groups.select(F.col("node").alias("a"), "component"), "a"))
 
 
