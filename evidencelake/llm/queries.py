@@ -17,11 +17,9 @@ from evidencelake.llm.near_dedup import Similarity, near_duplicates
 from evidencelake.llm.ngrams import flagged
 from evidencelake.llm.prefix_trie import prefix_nodes
 from evidencelake.llm.url_filters import judge_urls
+from evidencelake.plans.tables import table as _table
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, Jaccard similarity of 0.85 or more."""
