@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import dates
 from evidencelake.functions import text as T
+from evidencelake.operators import names
 
 #: Words of event types in the order they are tried.
 TYPES = (
@@ -87,12 +88,12 @@ def line_entries(pages: DataFrame, years: DataFrame) -> DataFrame:
     return read.select("document_id", entry.alias("entry"), "label", date.alias("date"), "text", "pages", "methods")
 
 
-def about_subject(text: Column, label: Column, names: list[str]) -> Column:
+def about_subject(text: Column, label: Column, known: list[str]) -> Column:
     """Whether an entry tells of the subject: it names them, or begins, after its date and time, with an act."""
     body = T.compact(text)
     told = F.when(F.startswith(body, T.compact(label)), F.substring(body, F.length(T.compact(label)) + 1, F.length(body))).otherwise(body)
     named = F.lit(False)
-    for name in names:
+    for name in known:
         named = named | F.contains(text, F.lit(name))
     return named | F.regexp_replace(told, TIMES, "").rlike("^(?:" + "|".join(ACTS) + ")")
 
@@ -140,7 +141,7 @@ def participants(rows: DataFrame, forms: DataFrame, subjects: DataFrame) -> Data
     """
     single = forms.groupBy("form").agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").select("form", "person_id", T.compact("form").alias("key"))
     texts = rows.select("document_id", "entry", T.compact("text").alias("body"))
-    met = texts.join(single, F.expr("contains(body, key)")).withColumn("at", F.expr("instr(body, key)"))
+    met = names.found(texts, ["document_id", "entry"], "body", single, "key")
     found = met.groupBy("document_id", "entry", "person_id").agg(F.min_by(F.struct("form", "at"), F.struct("at", -F.length("form"))).alias("m")).select("document_id", "entry", "person_id", "m.form", "m.at")
     subject = rows.select("document_id", "entry").join(subjects, "document_id").join(found, ["document_id", "entry", "person_id"], "left")
     first = subject.select("document_id", "entry", "person_id", F.lit(SUBJECT).alias("role"), F.coalesce("form", "name").alias("mention_text"), F.when(F.col("form").isNotNull(), "explicit").otherwise("chronology_subject").alias("mention_source"), F.lit(-1).alias("at"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
+from evidencelake.operators import names
 
 #: Patterns of page numbers, headings, paragraph ends and dotted leaders; limits of chunks.
 PAGE_NUMBER = r"^[\s—–-]*[0-9]{1,4}[\s—–-]*$"
@@ -122,9 +123,9 @@ def scope(years: Column, low: int, high: int) -> Column:
 def mentions(texts: DataFrame, forms: DataFrame, key: str) -> DataFrame:
     """``key`` and the sorted canonical names of which some form (form, name) occurs in the text; rows without one go.
 
-    The forms are a dictionary of names, broadcast by size; every text meets each once.
+    Forms are looked up by how they begin (see ``names.found``); no text meets all of them.
     """
-    met = texts.select(key, "text").join(forms.select("form", "name").distinct(), F.expr("contains(text, form)"))
+    met = names.found(texts, [key], "text", forms.select("form", "name").distinct(), "form")
     return met.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
