@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import dates
 from evidencelake.functions import text as T
-from evidencelake.operators import answers, chronology, fusion, keyword, pages, planning, positions
+from evidencelake.operators import answers, chronology, fusion, keyword, pages, planning, positions, stored
 from evidencelake.plans.retrieval import BM25, BRANCHES, _bm25, _branches
 from evidencelake.plans.tables import table
 
@@ -222,3 +222,14 @@ def e10_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = F.when(F.col("o_orderstatus") == "O", F.array(F.lit("ocr"), F.lit("text_layer"))).otherwise(F.array(F.lit("text_layer")))
     confidence = chronology.confidence(F.lit(0.89), flags, _pick(key, "day", "month", "year"), methods)
     return table(spark, sf_dir, "orders").select(key.alias("event_id"), chronology.event_type(text).alias("event_type"), chronology.places(text).alias("places"), confidence.alias("confidence"))
+
+
+# What is embedded
+
+
+@query("""
+SELECT doc_id, sha256(regexp_replace(coalesce(source, '') || chr(10) || coalesce(lang || ' > ' || 'p', '') || chr(10) || text, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')) AS text_sha256 FROM documents""")
+def v1_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what would be embedded of each document: its source as title, its language and a part as path, its text."""
+    path = F.when(F.col("lang").isNotNull(), F.array(F.col("lang"), F.lit("p")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(stored.embedding_text(F.col("source"), path, F.col("text")), 256).alias("text_sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,18 +62,66 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its file and at, its place in the file: the start of its split, then its number in the split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.withColumn("at", F.struct("block", F.monotonically_increasing_id().alias("n"))).drop("block")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line (from 1) and text of the lines of JSON-lines files that are neither blank nor records of ``schema``.
+
+    A line's number is its number in its split plus the lines of the splits before it.
+    """
+    rows = _lines(spark, path)
+    first = rows.groupBy("file", F.col("at.block").alias("block")).agg(F.count("*").alias("size"), F.min("at.n").alias("low"))
+    before = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = first.select("file", "block", "low", F.coalesce(before, F.lit(0)).alias("before"))
+    read = F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})
+    wrong = rows.where(F.trim("value") != "").withColumn("r", read).where(F.col("r").isNull() | F.col("r.__bad").isNotNull())
+    placed = wrong.withColumn("block", F.col("at.block")).join(starts, ["file", "block"])
+    return placed.select("file", (F.col("at.n") - F.col("low") + F.col("before") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """Page records, the last one of each page by the time it was made."""
-    return last_record(json_lines(spark, path, schemas.PAGE), ["document_id", "pdf_page"], F.struct("processed_at", "run_id"))
+    """Page records; of several of one page the one on the last line, the files being in order of their names."""
+    rows = _lines(spark, path).where(F.trim("value") != "")
+    record = F.from_json("value", schemas.PAGE, {"mode": "FAILFAST"})
+    last = rows.select(record.alias("r"), F.struct("file", "at").alias("place")).select("r.*", "place")
+    return last_record(last, ["document_id", "pdf_page"], F.col("place")).drop("place")
 
 
 def chunk_records(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk records of all JSON-lines files of a folder; FileNotFoundError if it has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(at) if not files.exists(at) else files.listStatus(at)
+    if not found or not any(f.getLen() for f in found if not f.getPath().getName().startswith(("_", "."))):
+        raise FileNotFoundError(f"no chunk records in {path}")
     return json_lines(spark, path, schemas.CHUNK)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
-    """JSON lines under ``path``; the job's commit replaces what was there as a whole."""
-    rows.write.mode("overwrite").json(path)
+    """JSON lines under ``path``: written beside it, and put in its place by renaming when they are whole.
+
+    What was there is kept under another name until then, and comes back if the renaming fails.
+    """
+    spark = rows.sparkSession
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    rows.write.json(new)
+    place, beside, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(place)
+    if had and not files.rename(place, aside):
+        files.delete(beside, True)
+        raise OSError(f"{path} can't be renamed")
+    if not files.rename(beside, place):
+        if had:
+            files.rename(aside, place)
+        files.delete(beside, True)
+        raise OSError(f"{new} can't be renamed")
+    if had:
+        files.delete(aside, True)
 
 
 def manifest(documents: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.sources import files, schemas
@@ -52,3 +53,44 @@ def test_pages_stream_in_once(spark, tmp_path):
         ingest.into(ingest.pages(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/state", ingest.append_once(f"file://{tmp_path}/out")).awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out").orderBy("pdf_page").collect()
     assert [r["status"] for r in got] == ["extracted", "ocr_required"]
+
+
+def test_the_last_line_wins_whenever_it_was_made(spark, tmp_path):
+    for name, lines in (("a", ["2024-01-03 late", "2024-01-02 last"]), ("b", ["2024-01-01 other"])):
+        rows = [json.dumps({"document_id": name, "pdf_page": 1, "status": x.split()[1], "processed_at": x.split()[0]}) for x in lines]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(rows) + "\n")
+    got = {r["document_id"]: r["status"] for r in files.page_records(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a": "last", "b": "other"}
+
+
+def test_bad_lines_are_told_by_number(spark, tmp_path):
+    lines = [json.dumps({"i": n, "t": "x" * 50}) for n in range(400)]
+    lines[3], lines[250], lines[399] = "{broken", '{"i": "text"}', "[1]"
+    (tmp_path / "a.jsonl").write_text("\n".join([*lines[:10], "  ", *lines[10:]]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted((r["line"], r["text"]) for r in files.bad_lines(spark, f"file://{tmp_path}", "i int, t string").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(4, "{broken"), (252, '{"i": "text"}'), (401, "[1]")]
+
+
+def test_json_lines_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    for n in (1, 2):
+        files.write_json_lines(spark.range(n), path)
+        assert spark.read.json(path).count() == n
+    with pytest.raises(Exception):
+        files.write_json_lines(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")), path)
+    assert spark.read.json(path).count() == 2
+    files.write_json_lines(spark.read.json(path), path)  # even from itself
+    assert spark.read.json(path).count() == 2
+
+
+def test_folders_without_chunks(spark, tmp_path):
+    for name in ("none", "empty"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "empty/_SUCCESS").write_text("x")
+    for name in ("none", "empty", "absent"):
+        with pytest.raises(FileNotFoundError):
+            files.chunk_records(spark, f"file://{tmp_path}/{name}")
