@@ -10,15 +10,16 @@ from evidencelake.llm._store import cut, forget
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a node without one: the components are stars."""
-    rows, ends = edges.agg(F.count("*"), F.count_distinct("u")).first()
-    return rows == ends and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 OR out > 0 AND into > 0").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
+    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours; a link may come twice."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
