@@ -80,13 +80,17 @@ def cjk_bigrams(run: Column) -> Column:
     return F.when(F.length(run) <= 2, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
 
 
+def latin_tokens(c: Column | str) -> Column:
+    """Lower-cased Latin words and numbers of a text, in order."""
+    return F.transform(F.regexp_extract_all(_column(c), F.lit(LATIN), 0), lambda w: F.lower(w))
+
+
 def index_tokens(c: Column | str) -> Column:
     """Tokens of a text for the index: CJK bigrams, lower-cased Latin words and numbers, and each year twice (YYYY and YYYY年)."""
     t = _column(c)
     bigrams = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(CJK_RUN), 0), cjk_bigrams))
-    latin = F.transform(F.regexp_extract_all(t, F.lit(LATIN), 0), lambda w: F.lower(w))
     dated = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(YEAR), 1), lambda y: F.array(y, F.concat(y, F.lit("年")))))
-    return F.concat(bigrams, latin, dated)
+    return F.concat(bigrams, latin_tokens(t), dated)
 
 
 def ranked_terms(c: Column | str) -> Column:
