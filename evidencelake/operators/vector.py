@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelake.operators.best import Best
+
 #: Query vectors that are shared with the executors at a time.
 BLOCK = 4096
+#: Queries and points whose cosines a task holds at a time.
+TILE = (512, 1024)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -26,17 +30,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _nearest(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, wanted = shared.value
+        best = Best(len(names), k)
         for batch in batches:
-            points = _unit(_matrix(batch.column("vector")))
-            if not len(points) or not len(wanted):
-                continue
-            cosine = np.nan_to_num(wanted @ points.T, nan=-2.0)
-            ids = batch.column("id").to_numpy()
-            most = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, cosine.shape), -np.round(cosine, 12)), axis=1)[:, :most]
-            score = np.take_along_axis(cosine, order, axis=1)
-            found = score >= -1.5
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, most)[found.ravel()]), pa.array(ids[order].ravel()[found.ravel()]), pa.array(score[found])], names=["query_id", "id", "score"])
+            for low in range(0, len(batch) if len(wanted) else 0, TILE[1]):
+                part = batch.slice(low, TILE[1])
+                points, ids = _unit(_matrix(part.column("vector"))), part.column("id").to_numpy()
+                for first in range(0, len(wanted), TILE[0]):
+                    cosine = np.round(wanted[first : first + TILE[0]] @ points.T, 6)
+                    best.add(first, np.where(np.isnan(cosine), -np.inf, cosine), ids)
+        yield from best.batches(names, ("query_id", "id", "score"))
 
     return run
 
@@ -47,7 +49,7 @@ def search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The score is the cosine, rounded to six places; ties go to the smaller id.
     Vectors without length or of another dimension than the first query are left
     out.  Queries go out in blocks of bounded size, each block meets every point
-    once, and only each batch's best leave a task.
+    once in tiles of bounded size, and only each task's best leave it.
     """
     spark = points.sparkSession
     held = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"))
@@ -61,9 +63,8 @@ def search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         share = spark.sparkContext.broadcast((names, _unit(wanted) if len(wanted) else wanted))
         part = ready.mapInArrow(_nearest(share, k), "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
-    rounded = found.withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def two_tier(ranked: DataFrame, preferred: str, k: int) -> DataFrame:

@@ -1,6 +1,10 @@
 """Steps that the larger tables of round 3 found wrong or growing too fast, on small tables that show it."""
 
 import duckdb
+import numpy as np
+
+from evidencelake.operators import vector
+from evidencelake.operators.best import Best
 from evidencelake.plans import retrieval
 
 
@@ -22,3 +26,26 @@ def test_index_tokens_of_years_equal_sql(spark, tmp_path):
     wanted = by_sql(folder, retrieval.ORACLE_SQL["k2_index_tokens"], "documents")
     assert sorted(map(tuple, retrieval.k2_index_tokens(spark, folder).select("term", "tokens", "documents").collect())) == wanted
     assert ("1950", 3, 2) in wanted
+
+
+def test_nearest_vectors_tie_at_six_places(spark):
+    # a batch of twelve points, all but equal: the smaller ids are the farther ones by less than what is ranked
+    points = spark.createDataFrame([(i, [1.0, 1e-4 * (13 - i)]) for i in range(1, 13)], "id long, vector array<float>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<float>")
+    got = [(r["id"], r["rank"]) for r in vector.search(points, asked, 3).orderBy("rank").collect()]
+    wanted = sorted(((-round(1 / (1 + (1e-4 * (13 - i)) ** 2) ** 0.5, 6), i) for i in range(1, 13)))[:3]
+    assert got == [(i, n + 1) for n, (_, i) in enumerate(wanted)]
+
+
+def test_best_holds_what_a_whole_sort_finds():
+    random = np.random.default_rng(3)
+    scores, ids = np.round(random.random((5, 400)), 1), random.permutation(400)
+    scores[:, ::7] = -np.inf
+    best = Best(5, 9)
+    for low in range(0, 400, 37):
+        best.add(0, scores[:2, low : low + 37], ids[low : low + 37])
+        best.add(2, scores[2:, low : low + 37], ids[low : low + 37])
+    for q in range(5):
+        order = np.lexsort((ids, -scores[q]))[:9]
+        assert best.id[q].tolist() == ids[order].tolist() and best.score[q].tolist() == scores[q][order].tolist()
+    assert sum(len(b) for b in Best(3, 4).batches(np.arange(3), ("a", "b", "c"))) == 0
