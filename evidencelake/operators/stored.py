@@ -152,33 +152,45 @@ def inputs(rows: DataFrame) -> str:
 # Keyword index
 
 
+#: Stands for the tables of a keyword index and their columns.
+LAYOUT = 2
+
+
 def keyword_tables(chunks: DataFrame) -> dict:
-    """postings (term, chunk_id, tf, length), terms (term, held), metadata (chunk_id, text_sha256, length) and statistics (n, average) of ``chunks`` (chunk_id, text).
+    """words (chunk_id, text_sha256, length, terms, tfs), postings (term, chunk_id, tf, length), terms (term, held, words), metadata (chunk_id, text_sha256, length) and statistics (n, average) of ``chunks`` (chunk_id, text).
 
+    Texts are split and counted once, each in its row; the other tables come from what was stored of that.
     Postings are sorted by range of term and chunk, so a common term takes many files and a
     reader of some terms skips the row groups of others.
     """
-    index = keyword.build_index(chunks)
-    postings = index.terms.select("term", "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("length").cast("long").alias("length"))
-    held = lambda stored: stored["postings"].groupBy("term").agg(F.count("*").alias("held"))
-    metadata = chunks.select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), keyword.word_count("text").alias("length"))
+    words = keyword.counted(chunks.select("chunk_id", "text")).select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "length", "terms", "tfs")
+    postings = lambda stored: _postings(stored["words"]).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    held = lambda stored: stored["postings"].groupBy("term").agg(F.count("*").alias("held"), F.sum("tf").alias("words"))
+    metadata = lambda stored: stored["words"].select("chunk_id", "text_sha256", "length")
     average = lambda stored: stored["metadata"].where("length >= 0").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    return {"postings": postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "terms": held, "metadata": metadata, "statistics": average}
+    return {"words": words, "postings": postings, "terms": held, "metadata": metadata, "statistics": average}
+
+
+def _postings(words: DataFrame) -> DataFrame:
+    each = words.select("chunk_id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("w"))
+    return each.select("w.terms", "chunk_id", "w.tfs", "length").toDF("term", "chunk_id", "tf", "length")
 
 
 def check_keyword(stored: dict[str, DataFrame], chunks: int | None = None) -> dict:
-    """Counts of a stored keyword index; raises BuildError unless chunks, words and lengths agree between its tables."""
-    postings, metadata = stored["postings"], stored["metadata"]
-    held = metadata.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("different"), F.sum("length").alias("words"), F.count("length").alias("counted")).first()
+    """Counts of a stored keyword index; raises BuildError unless chunks, words, lengths and postings agree between its tables."""
+    counted = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, b: a + b)
+    held = stored["metadata"].agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("different"), F.sum("length").alias("words"), F.count("length").alias("counted")).first()
     n, average = stored["statistics"].first()
-    found = postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.count_if(F.col("tf") < 1).alias("bad")).first()
-    lost = postings.select("chunk_id", "length").distinct().join(metadata.select("chunk_id", F.col("length").alias("own")), "chunk_id", "left").where("own IS NULL OR own <> length").count()
+    lost = stored["words"].where(counted != F.coalesce("length", F.lit(0))).count()
+    # the same rows in another order: sums of their hashes agree
+    sums = [F.count("*").alias("postings"), F.sum("tf").alias("words"), F.count_if(F.col("tf") < 1).alias("bad"), F.sum(F.xxhash64("term", "chunk_id", "tf", "length").cast("decimal(20,0)")).alias("rows")]
+    found, wanted = (rows.agg(*sums).first() for rows in (stored["postings"], _postings(stored["words"])))
     wrong = [
         ("chunks", chunks is not None and held["n"] != chunks),
         ("repeated chunks", held["different"] != held["n"]),
         ("statistics", n != held["counted"] or abs((average or 0.0) * n - (held["words"] or 0)) > 1e-6 * max(1, held["words"] or 0)),
-        ("words", (found["words"] or 0) != (held["words"] or 0) or found["bad"] > 0),
-        ("postings of other chunks", lost > 0),
+        ("words", (found["words"] or 0) != (held["words"] or 0) or found["bad"] > 0 or lost > 0),
+        ("postings", found != wanted),
     ]
     if bad := [name for name, is_bad in wrong if is_bad]:
         raise BuildError("the stored keyword index is wrong in: " + ", ".join(bad))
@@ -192,7 +204,7 @@ def build_keyword(store: Store, chunks: DataFrame, manifest: dict | None = None)
 
 def stored_keyword(store: Store, version: Version | None = None) -> keyword.Index:
     """A published keyword index, as ``keyword.scores`` takes it."""
-    return keyword.Index(store.table("postings", version), store.table("statistics", version), store.table("terms", version))
+    return keyword.Index(store.table("postings", version), store.table("statistics", version), store.table("terms", version).select("term", "held"), store.table("words", version))
 
 
 # Vector index

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evidencelake.operators import evaluation, packets, pages, parsers, reports, search, stored
 from evidencelake.operators.research import upsert_generated
-from evidencelake.operators.lineage import shared_folder
-from evidencelake.plans.retrieval import BRANCHES, WORDS, _branches, _vectors, keyword_index
+from evidencelake.operators.lineage import cut, shared_folder
+from evidencelake.plans.retrieval import BRANCHES, WORDS, _branches, _by_vector, _vectors, keyword_index
 from evidencelake.plans.tables import table
 
 QUERIES: dict = {}
@@ -40,9 +40,7 @@ SELECT doc_id AS chunk_id, len(words)::BIGINT AS length, len(list_distinct(words
 def s12_keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and distinct terms of every document, as the published index has them."""
     store, version = keyword_index(spark, sf_dir)
-    terms = store.table("postings", version).groupBy("chunk_id").agg(F.count("*").alias("terms"))
-    rows = store.table("metadata", version).join(terms, "chunk_id", "left")
-    return rows.select("chunk_id", "length", F.coalesce("terms", F.lit(0)).alias("terms"))
+    return store.table("words", version).select("chunk_id", "length", F.size("terms").cast("long").alias("terms"))
 
 
 @query(f"""
@@ -51,8 +49,7 @@ SELECT term, count(DISTINCT doc_id) AS held, count(*) AS words FROM w GROUP BY t
 def s12_stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each term, and how often it comes, from the published index."""
     store, version = keyword_index(spark, sf_dir)
-    often = store.table("postings", version).groupBy("term").agg(F.sum("tf").alias("words"))
-    return store.table("terms", version).join(often, "term")
+    return store.table("terms", version)
 
 
 @query("""
@@ -95,7 +92,7 @@ UNION ALL SELECT 'keyword_only', 'vector', query_id, id, rank, NULL, rank, NULL
 UNION ALL SELECT 'vector_only', 'keyword', query_id, id, NULL, rank, rank, NULL FROM v WHERE rank <= 5""")
 def h14_degraded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search of every benchmark item by both branches, by words while no vectors are published, and by vectors while the word index fails as it is read."""
-    words, near = _branches(spark, sf_dir, 100)
+    words, near = map(cut, _branches(spark, sf_dir, 100))  # three searches read them
     empty = _own_store(spark)
     broken = words.withColumn("id", F.when(F.col("rank") > 0, F.raise_error(F.lit("the index is damaged"))).otherwise(F.col("id")))
     runs = [
@@ -126,7 +123,7 @@ SELECT i.query_id, CASE WHEN complete AND coalesce(most, 0) < 2 THEN round(coale
 FROM i LEFT JOIN d USING (query_id)""")
 def g5_greedy_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings by vectors whose hits lie on a page, or on two, of seven books; gold pages gain once."""
-    _, near = _branches(spark, sf_dir, 100)
+    near = _by_vector(spark, sf_dir, 100)
     page = F.floor(F.col("id") / 7)
     hits = near.select("query_id", "rank", (F.col("id") % 7).alias("document_id"), page.alias("start"), F.when(F.col("id") % 3 == 0, page + 1).alias("end"))
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")

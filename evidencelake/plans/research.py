@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import text as T
 from evidencelake.operators import corpus, evaluation, resolve, sessions
 from evidencelake.operators import research as R
-from evidencelake.plans.retrieval import BRANCHES, PAGES, _branches
+from evidencelake.plans.retrieval import BRANCHES, PAGES, _by_vector, _by_words
 from evidencelake.plans.tables import pages as page_table
 from evidencelake.plans.tables import source_events, table
 
@@ -326,7 +326,7 @@ m AS (SELECT g.query_id, min(kw.rank) AS first FROM g LEFT JOIN kw ON kw.query_i
 SELECT query_id, first, round(coalesce(CAST(1 AS DOUBLE) / first, 0), 6) AS reciprocal FROM m""")
 def g1_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the documents that hold a benchmark item whole, in the ranking by words."""
-    words, _ = _branches(spark, sf_dir, 100)
+    words = _by_words(spark, sf_dir, 100)
     rows = evaluation.first_ranks(words, _gold(spark, sf_dir))
     return rows.select("query_id", *long("first"), F.round("reciprocal", 6).alias("reciprocal"))
 
@@ -349,7 +349,7 @@ sz AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1), h AS (SELECT v.query_i
 SELECT sz.query_id, CAST(coalesce(found, 0) > 0 AS INT) AS hit, round(coalesce(found, 0) / CAST(n AS DOUBLE), 6) AS recall, round(coalesce(found, 0) / CAST(10 AS DOUBLE), 6) AS precision FROM sz LEFT JOIN h USING (query_id)""")
 def g4_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit, recall and precision of the vector branch, a query's label being what is relevant."""
-    _, near = _branches(spark, sf_dir, 100)
+    near = _by_vector(spark, sf_dir, 100)
     rows = evaluation.at_k(near, _relevant(spark, sf_dir), 10)
     return rows.select("query_id", "hit", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
@@ -366,7 +366,7 @@ d AS (SELECT v.query_id, sum((CAST(2 AS DOUBLE) ** grade - 1) / log2(rank + 1))
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS place FROM g), i AS (SELECT query_id, sum((CAST(2 AS DOUBLE) ** grade - 1) / log2(place + 1)) AS best FROM p WHERE place <= 10 GROUP BY 1)
 SELECT i.query_id, round(coalesce(dcg, 0) / best, 6) AS ndcg FROM i LEFT JOIN d USING (query_id)""")
 def g5_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, near = _branches(spark, sf_dir, 100)
+    near = _by_vector(spark, sf_dir, 100)
     grades = _relevant(spark, sf_dir).withColumn("grade", F.when(F.col("id") % 2 == 0, 2).otherwise(1))
     return evaluation.ndcg(near, grades, 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
@@ -375,7 +375,7 @@ def g5_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {BRANCHES}, h AS (SELECT kw.query_id, md5(d.text) AS f FROM kw JOIN documents d ON d.doc_id = kw.id WHERE rank <= 20)
 SELECT query_id, count(*) AS hits, count(DISTINCT f) AS different, round((count(*) - count(DISTINCT f)) / CAST(count(*) AS DOUBLE), 6) AS redundancy FROM h GROUP BY query_id""")
 def g6_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, _ = _branches(spark, sf_dir, 20)
+    words = _by_words(spark, sf_dir, 20)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("f"))
     return evaluation.redundancy(words.join(docs, "id"), "f").withColumn("redundancy", F.round("redundancy", 6))
 

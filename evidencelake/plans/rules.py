@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import dates
 from evidencelake.functions import text as T
 from evidencelake.operators import answers, chronology, fusion, keyword, pages, planning, positions, stored
-from evidencelake.plans.retrieval import BM25, BRANCHES, _bm25, _branches
+from evidencelake.plans.retrieval import BM25, BRANCHES, _bm25, _branches, _ranked
 from evidencelake.plans.tables import table
 
 QUERIES: dict = {}
@@ -74,9 +74,8 @@ def k10_bm25_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("chunk_id"), F.col("source").alias("document_id"), F.when(F.col("lang") == "fr", "out_of_scope").otherwise("in_scope").alias("scope_status"),
         F.array(F.lit("book"), F.concat(F.lit("part "), F.col("source"))).alias("section_path"), F.array(year, year + 20).alias("year_mentions"), F.when(key % 3 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("people"),
     )
-    passed = keyword.admitted(metadata, ["src1", "src2", "src3", "src4"], "part src", (1910, 1930), people=["a", "b"]).select("chunk_id")
-    scored = _bm25(spark, sf_dir).join(passed, "chunk_id", "left_semi").withColumn("score", F.round("raw", 6))
-    return keyword.top(scored, 10, F.col("score")).select("query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    passed = keyword.admitted(metadata, ["src1", "src2", "src3", "src4"], "part src", (1910, 1930), people=["a", "b"]).select("chunk_id", F.lit(0.0).alias("gain"))
+    return _ranked(_bm25(spark, sf_dir, 10, passed))
 
 
 @query("""

@@ -2,8 +2,10 @@
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from evidencelake.operators import vector
+from evidencelake.operators import keyword, stored, vector
 from evidencelake.operators.best import Best
 from evidencelake.plans import retrieval
 
@@ -49,3 +51,40 @@ def test_best_holds_what_a_whole_sort_finds():
         order = np.lexsort((ids, -scores[q]))[:9]
         assert best.id[q].tolist() == ids[order].tolist() and best.score[q].tolist() == scores[q][order].tolist()
     assert sum(len(b) for b in Best(3, 4).batches(np.arange(3), ("a", "b", "c"))) == 0
+
+
+def test_words_are_counted_in_their_row(spark):
+    texts = [(1, "b a b, A!"), (2, ""), (3, None), (4, "..."), (5, "é é z2")]
+    got = {r["chunk_id"]: (r["length"], r["terms"], r["tfs"]) for r in keyword.counted(spark.createDataFrame(texts, "chunk_id long, text string")).collect()}
+    assert got == {1: (4, ["a", "b"], [2, 2]), 2: (0, [], []), 3: (None, [], []), 4: (0, [], []), 5: (3, ["z2", "é"], [1, 2])}
+
+
+def test_best_chunks_are_those_of_the_whole_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword, "BLOCK", 3)  # several blocks of queries
+    words = "a b c d e f g h".split()
+    texts = [(i, " ".join(words[(i * j) % (3 + i % 6)] for j in range(i % 9))) for i in range(150)] + [(150, None)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    store = stored.Store(spark, f"file://{tmp_path}/index")
+    stored.build_keyword(store, chunks)
+    index = stored.stored_keyword(store)
+    asked = spark.createDataFrame([(q, w) for q in range(4) for w in words[q : q + 4] + ["unknown"]], "query_id long, term string")
+    whole = keyword.scores(asked, keyword.build_index(chunks)).withColumn("score", F.round("raw", 6))
+    wanted = keyword.top(whole, 7, F.col("score")).select("query_id", "chunk_id", "score", "rank")
+    found = keyword.best(asked, index, 7)
+    assert sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect())) == sorted(map(tuple, wanted.collect()))
+    # no row of a pair of query and chunk is shuffled: a join would have stood before the scoring
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    gains = chunks.where("chunk_id % 2 = 0").select("chunk_id", (F.col("chunk_id") % 3 * 1.0).alias("gain"))
+    boosted = keyword.top(whole.join(gains, "chunk_id").withColumn("score", F.round(F.col("raw") + F.col("gain"), 6)), 7, F.col("score"))
+    assert sorted(map(tuple, keyword.best(asked, index, 7, gains).select("query_id", "chunk_id", "score").collect())) == sorted(map(tuple, boosted.select("query_id", "chunk_id", "score").collect()))
+    groups = chunks.select("chunk_id", F.when(F.col("chunk_id") % 5 > 0, F.concat(F.lit("g"), (F.col("chunk_id") % 5).cast("string"))).alias("group"))
+    over = whole.where("raw > 0.6").join(groups, "chunk_id").select("query_id", "group").distinct()
+    assert sorted(map(str, keyword.groups_over(asked, index, 0.6, groups).collect())) == sorted(map(str, over.collect()))
+
+
+def test_postings_that_are_not_those_of_the_words_are_refused(spark):
+    words = keyword.counted(spark.createDataFrame([(1, "a b"), (2, "b b")], "chunk_id long, text string")).withColumn("text_sha256", F.lit("")).drop("text")
+    tables = {"words": words, "postings": stored._postings(words), "metadata": words.select("chunk_id", "length"), "statistics": words.agg(F.count("*").alias("n"), F.avg("length").alias("average"))}
+    assert stored.check_keyword(tables, 2) == {"chunks": 2, "postings": 3, "words": 4}
+    with pytest.raises(stored.BuildError, match="postings"):  # another chunk's posting, counts and sums as they were
+        stored.check_keyword(tables | {"postings": tables["postings"].withColumn("chunk_id", F.lit(1).cast("long"))})
