@@ -37,16 +37,19 @@ def with_ocr_policy(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """``records`` with the catalog's OCR policy (document_id, ocr_strategy, ocr_pages) applied afresh.
 
     Flags of an earlier policy go and the class is made again; then a document under
-    ``full``, or a listed page under ``pages``, requires OCR.
+    ``full``, or a listed page under ``pages``, requires OCR.  Listed pages meet records as rows, so
+    a record never carries or searches its document's list.
     """
     policy = ["ocr_policy_full", "ocr_policy_page"]
-    joined = records.join(catalog.select("document_id", "ocr_strategy", "ocr_pages"), "document_id", "left")
+    # the outer form: a plain one filters by the list's size, which would be worked out for every row that the catalog is made from
+    pages = catalog.where("ocr_strategy = 'pages'").select("document_id", F.explode_outer("ocr_pages").alias("pdf_page")).where("pdf_page IS NOT NULL").distinct().withColumn("__listed", F.lit(True))
+    joined = records.join(catalog.select("document_id", "ocr_strategy"), "document_id", "left").join(pages, ["document_id", "pdf_page"], "left")
     full = F.coalesce(F.col("ocr_strategy") == "full", F.lit(False))
-    listed = F.coalesce((F.col("ocr_strategy") == "pages") & F.array_contains("ocr_pages", F.col("pdf_page")), F.lit(False))
+    listed = F.coalesce((F.col("ocr_strategy") == "pages") & F.col("__listed"), F.lit(False))
     base = F.array_except("quality_flags", F.array(*map(F.lit, policy)))
     again = F.when(F.col("character_count") == 0, F.when(F.array_contains(base, "image_only_page"), "ocr_required").otherwise("empty")).when(F.array_contains(base, "high_replacement_ratio"), "ocr_required").otherwise("extracted")
     flag = F.when(full, F.lit(policy[0])).when(listed, F.lit(policy[1]))
-    return joined.withColumn("quality_flags", F.array_compact(F.concat(base, F.array(flag)))).withColumn("status", F.when(full | listed, "ocr_required").otherwise(again)).drop("ocr_strategy", "ocr_pages")
+    return joined.withColumn("quality_flags", F.array_compact(F.concat(base, F.array(flag)))).withColumn("status", F.when(full | listed, "ocr_required").otherwise(again)).drop("ocr_strategy", "__listed")
 
 
 def effective_pages(base: DataFrame, ocr: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidencelake.operators import keyword, stored, vector
+from evidencelake.operators import keyword, pages, stored, vector
 from evidencelake.operators.best import Best
 from evidencelake.plans import retrieval
 
@@ -88,3 +88,12 @@ def test_postings_that_are_not_those_of_the_words_are_refused(spark):
     assert stored.check_keyword(tables, 2) == {"chunks": 2, "postings": 3, "words": 4}
     with pytest.raises(stored.BuildError, match="postings"):  # another chunk's posting, counts and sums as they were
         stored.check_keyword(tables | {"postings": tables["postings"].withColumn("chunk_id", F.lit(1).cast("long"))})
+
+
+def test_listed_pages_are_not_carried_by_records(spark):
+    records = spark.createDataFrame([(d, p, [], 9) for d in (1, 2, 3) for p in (1, 2)], "document_id long, pdf_page long, quality_flags array<string>, character_count long")
+    catalog = spark.createDataFrame([(1, "pages", [2, 2, None]), (2, "full", None), (3, "pages", [])], "document_id long, ocr_strategy string, ocr_pages array<long>")
+    found = pages.with_ocr_policy(records, catalog)
+    assert sorted((r["document_id"], r["pdf_page"], r["status"]) for r in found.collect()) == [(1, 1, "extracted"), (1, 2, "ocr_required"), (2, 1, "ocr_required"), (2, 2, "ocr_required"), (3, 1, "extracted"), (3, 2, "extracted")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(ocr_pages" not in plan
