@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ WISHES, NAMING, AND = "要求|建议|提议|主张", "任命|委任|选举|决
 REACH = 100
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _posts(tail: Column) -> Column:
     """The posts of a text that follows a verb, to the end of its clause."""
     return F.split(F.regexp_replace(tail, rf"(?s)(?:{CLAUSE_END}).*$", ""), AND, -1)
@@ -31,13 +38,17 @@ def appointments(text: Column, name: Column) -> Column:
     for; else after the first naming of the person to a post; else, where the text
     itself begins with a verb of appointment, what follows that.
     """
-    body, word = F.regexp_replace(text, r"(?U)\s+", ""), F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    after = F.regexp_extract_all(body, F.concat(F.lit(rf"(?<!(?:{WISHES})由?)"), word, F.lit(rf"(?=({VERBS}.{{0,{REACH}}}))")), F.lit(1))
-    own = F.flatten(F.transform(after, lambda t: _posts(F.regexp_replace(F.substring(t, 1, REACH), f"^{VERBS}", ""))))
-    named = F.get(F.regexp_extract_all(body, F.concat(F.lit(f"(?:{NAMING})"), word, F.lit(rf"(?:为|担任|兼任)(.{{0,{REACH}}})")), F.lit(1)), F.lit(0))
-    opening = F.when(body.rlike(f"^{VERBS}"), _posts(F.regexp_replace(body, f"^{VERBS}", "")))
-    found = F.when(F.size(own) > 0, own).when(named.isNotNull(), _posts(named)).otherwise(F.coalesce(opening, F.array().cast("array<string>")))
-    return F.filter(found, lambda p: p != "")
+    word = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+
+    def of_body(body: Column) -> Column:
+        after = F.regexp_extract_all(body, F.concat(F.lit(rf"(?<!(?:{WISHES})由?)"), word, F.lit(rf"(?=({VERBS}.{{0,{REACH}}}))")), F.lit(1))
+        own = F.flatten(F.transform(after, lambda t: _posts(F.regexp_replace(F.substring(t, 1, REACH), f"^{VERBS}", ""))))
+        named = F.get(F.regexp_extract_all(body, F.concat(F.lit(f"(?:{NAMING})"), word, F.lit(rf"(?:为|担任|兼任)(.{{0,{REACH}}})")), F.lit(1)), F.lit(0))
+        opening = F.when(body.rlike(f"^{VERBS}"), _posts(F.regexp_replace(body, f"^{VERBS}", "")))
+        otherwise = _let(named, lambda n: F.when(n.isNotNull(), _posts(n)).otherwise(F.coalesce(opening, F.array().cast("array<string>"))))
+        return _let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(otherwise))
+
+    return F.filter(_let(F.regexp_replace(text, r"(?U)\s+", ""), of_body), lambda p: p != "")
 
 
 def position(phrase: Column) -> Column:
@@ -46,13 +57,20 @@ def position(phrase: Column) -> Column:
     White space, and marks at either end, do not count; a phrase of two posts (和) names none.
     """
     plain = F.regexp_replace(F.regexp_replace(phrase, r"(?U)\s+", ""), "^[：:、，和及的]+|[：:、，和及的]+$", "")
-    role = F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.endswith(plain, r)), F.lit(0))
-    body = F.regexp_replace(F.substring(plain, F.lit(1), F.length(plain) - F.length(role)), "^的+|的+$", "")
-    # a minister's ministry keeps its last character
-    organization = F.when((role == "部长") & ~F.endswith(body, F.lit("部")), F.concat(body, F.lit("部"))).otherwise(body)
-    marked = F.exists(F.array(*map(F.lit, ORGANIZATIONS)), lambda m: F.contains(organization, m))
-    good = role.isNotNull() & (F.length(body) >= 2) & marked & ~F.contains(plain, F.lit("和")) & (organization != "中央")
-    return F.when(good, F.struct(organization.alias("organization"), role.alias("role")))
+    # each step is worked out once: written out in full, a phrase would go through these expressions thousands of times
+    return _let(plain, lambda p: _let(F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.endswith(p, r)), F.lit(0)), lambda role: _of_role(p, role)))
+
+
+def _of_role(plain: Column, role: Column) -> Column:
+    def of_body(body: Column) -> Column:
+        # a minister's ministry keeps its last character
+        organization = F.when((role == "部长") & ~F.endswith(body, F.lit("部")), F.concat(body, F.lit("部"))).otherwise(body)
+        return _let(organization, lambda o: F.when(_good(o) & role.isNotNull() & (F.length(body) >= 2) & ~F.contains(plain, F.lit("和")), F.struct(o.alias("organization"), role.alias("role"))))
+
+    def _good(organization: Column) -> Column:
+        return F.exists(F.array(*map(F.lit, ORGANIZATIONS)), lambda m: F.contains(organization, m)) & (organization != "中央")
+
+    return _let(F.regexp_replace(F.substring(plain, F.lit(1), F.length(plain) - F.length(role)), "^的+|的+$", ""), of_body)
 
 
 def relationships(mentions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidencelake.operators import keyword, pages, stored, vector
+from evidencelake.operators import keyword, pages, positions, stored, vector
 from evidencelake.operators.best import Best
 from evidencelake.plans import retrieval
 
@@ -97,3 +97,11 @@ def test_listed_pages_are_not_carried_by_records(spark):
     assert sorted((r["document_id"], r["pdf_page"], r["status"]) for r in found.collect()) == [(1, 1, "extracted"), (1, 2, "ocr_required"), (2, 1, "ocr_required"), (2, 2, "ocr_required"), (3, 1, "extracted"), (3, 2, "extracted")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains(ocr_pages" not in plan
+
+
+def test_a_phrase_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("国务院副总理",), ("学校校长",), ("和平部长和主席",), ("外交部长",), (None,)], "t string")
+    found = rows.select(positions.position(F.col("t")).alias("p"))
+    assert [tuple(r["p"]) if r["p"] else None for r in found.collect()] == [("国务院", "副总理"), None, None, ("外交部", "部长"), None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3, plan.count("regexp_replace")
