@@ -57,7 +57,7 @@ def position(phrase: Column) -> Column:
     White space, and marks at either end, do not count; a phrase of two posts (和) names none.
     """
     plain = F.regexp_replace(F.regexp_replace(phrase, r"(?U)\s+", ""), "^[：:、，和及的]+|[：:、，和及的]+$", "")
-    # each step is worked out once: written out in full, a phrase would go through these expressions thousands of times
+    # each step is worked out once: written out in each other, they would be worked out again for every role and mark
     return _let(plain, lambda p: _let(F.get(F.filter(F.array(*map(F.lit, ROLES)), lambda r: F.endswith(p, r)), F.lit(0)), lambda role: _of_role(p, role)))
 
 
