@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.operators import answers, enrichment, evaluation, planning, resolve
+from evidencelake.operators.lineage import cut
 from evidencelake.plans.research import BIGRAMS
 from evidencelake.plans.tables import table
 
@@ -75,11 +76,11 @@ SELECT component, members, CASE WHEN members = 2 AND pairs = 1 AND sure AND days
 def m14_canonical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events of the groups that the candidates of whole months make."""
     events = _monthly(spark, sf_dir)
-    pairs = resolve.candidates(resolve.month_pairs(events))
+    pairs = cut(resolve.candidates(resolve.month_pairs(events)))
     groups = resolve.components(pairs.select("a", "b"))
     facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_totalprice") > 100000, "confirmed").otherwise("unreviewed").alias("review_status"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence"), F.when(F.col("o_orderkey") % 3 != 0, "exact").otherwise("inferred").alias("certainty"))
     named = events.withColumns({"name": F.col("description"), "end_value": F.lit(None).cast("string"), "precision": F.when(F.length("start_value") == 10, "day").otherwise("month")})
-    members = groups.select("component", F.col("node").alias("event_id")).join(named, "event_id").join(facts, "event_id")
+    members = groups.select("component", F.col("node").alias("event_id")).hint("merge").join(named, "event_id").hint("merge").join(facts, "event_id")
     found = resolve.canonical_candidates(members, pairs.join(groups.select(F.col("node").alias("a"), "component"), "a"), "v1")
     return found.select("component", "members", "candidate_kind", "review_status", "representative_id", "event_type", F.array_join(F.array_sort("organizations"), ",").alias("organizations"), "confidence")
 

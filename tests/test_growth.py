@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.operators import keyword, pages, positions, resolve, stored, vector
 from evidencelake.operators.best import Best
-from evidencelake.plans import retrieval
+from evidencelake.plans import answers, retrieval
 
 
 def written(spark, folder, name, rows, schema):
@@ -143,3 +143,9 @@ def test_month_pairs_lose_no_candidate_and_send_no_texts_to_the_driver(spark):
         assert len(found) > 40 and found == sorted(wanted(least))
     # by the size of the scan, all grams would go through the driver
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_canonical_candidates_send_no_events_to_the_driver(spark):
+    plan = answers.m14_canonical_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("Scan parquet") == 2  # events and facts: candidates are not worked out again
