@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import dates
 from evidencelake.functions import text as T
+from evidencelake.operators.lineage import cut
 
 #: Labels that begin a line, lines of footnotes, and headings of pages.
 _DIGIT = r"\d(?:[ \t\n]*\d)?"
@@ -33,19 +34,19 @@ SAME_DAY, NEXT_DAY, SAME_MONTH, SAME_YEAR = ("同日", "当日"), ("翌日", "
 _STRIP = r"^\s+|\s+$"
 
 
-def body(text: Column) -> tuple[Column, Column]:
-    """A page's text without its number, its heading and its footnotes, and whether footnotes were cut."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _STRIP, ""), NUMBER, ""), YEAR_HEADING, "")
+def bodies(pages: DataFrame) -> DataFrame:
+    """``pages`` with their text without its number, its heading and its footnotes, and noted (whether footnotes were cut); each step is worked out once."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _STRIP, ""), NUMBER, ""), YEAR_HEADING, "")
     lines = F.split(F.regexp_replace(F.regexp_replace(plain, r"\A\s+", ""), NUMBER, ""), "\r\n|\r|\n", -1)
-    noted = F.array_min(F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(FOOTNOTE), i))))
-    kept = F.transform(F.slice(lines, F.lit(1), F.coalesce(noted, F.size(lines))), lambda x: F.regexp_replace(x, _STRIP, ""))
-    return F.regexp_replace(F.array_join(kept, "\n"), _STRIP, ""), noted.isNotNull()
+    first = F.array_min(F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(FOOTNOTE), i))))
+    kept = F.transform(F.slice("lines", F.lit(1), F.coalesce("first", F.size("lines"))), lambda x: F.regexp_replace(x, _STRIP, ""))
+    return pages.withColumn("lines", lines).withColumn("first", first).withColumn("text", F.regexp_replace(F.array_join(kept, "\n"), _STRIP, "")).withColumn("noted", F.col("first").isNotNull()).drop("lines", "first")
 
 
 def runs(pages: DataFrame, years: DataFrame) -> DataFrame:
-    """document_id, pdf_page, year, run and gap (whether a page is missing behind this one) of the pages that have a year."""
+    """``pages`` that have a year, with year, run and gap (whether a page is missing behind this one); all their columns are sorted."""
     by_page = Window.partitionBy("document_id").orderBy("pdf_page")
-    dated = pages.select("document_id", "pdf_page").join(years.select("document_id", "pdf_page", "year"), ["document_id", "pdf_page"], "left")
+    dated = pages.hint("merge").join(years.select("document_id", "pdf_page", "year"), ["document_id", "pdf_page"], "left")
     begins = ~(F.col("year").eqNullSafe(F.lag("year").over(by_page)) & F.coalesce(F.col("pdf_page") == F.lag("pdf_page").over(by_page) + 1, F.lit(False)))
     gap = F.coalesce(F.lead("pdf_page").over(by_page) != F.col("pdf_page") + 1, F.lit(False))
     marked = dated.select("*", begins.cast("int").alias("begins"), gap.alias("gap"))
@@ -57,7 +58,7 @@ def _point(value: Column, precision: Column, certainty: str) -> Column:
 
 
 def resolved(labels: DataFrame) -> DataFrame:
-    """``labels`` (document_id, run, n, label, year) with the date of each, carried along a run.
+    """document_id, run, n and date of ``labels`` (document_id, run, n, label, year), carried along a run.
 
     The same day has the date before it, the next day the day after it if that is one day,
     this month and this year what they say; without a date to go on from they
@@ -65,7 +66,7 @@ def resolved(labels: DataFrame) -> DataFrame:
     """
     word = T.compact("label")
     kind = F.when(word.isin(*SAME_DAY), "day").when(word.isin(*NEXT_DAY), "next").when(word.isin(*SAME_MONTH), "month").when(word.isin(*SAME_YEAR), "year").otherwise("own")
-    read = labels.withColumns({"kind": kind, "own": dates.parsed("label", F.col("year"))})
+    read = labels.withColumn("kind", kind).withColumn("own", dates.parsed(F.when(F.col("kind") == "own", F.col("label")), F.col("year")))
     year = F.lpad(F.col("year").cast("string"), 4, "0")
     no_end = F.lit(None).cast(dates.DATE["end"].dataType)
     typed = lambda start, end, flags: F.struct(start.alias("start"), end.alias("end"), flags.alias("flags")).cast(dates.DATE)
@@ -96,7 +97,7 @@ def resolved(labels: DataFrame) -> DataFrame:
     nothing = F.array().cast(f"array<{dates.DATE.simpleString()}>")
     fold = F.aggregate("steps", nothing, lambda done, step: F.concat(done, F.array(carried(F.when(F.size(done) > 0, F.element_at(done, -1)).otherwise(none), step))))
     folded = gathered.select("document_id", "run", F.explode(F.arrays_zip(F.col("steps.n").alias("n"), fold.alias("date"))).alias("s"))
-    return labels.join(folded.select("document_id", "run", "s.n", "s.date"), ["document_id", "run", "n"])
+    return folded.select("document_id", "run", "s.n", "s.date")
 
 
 def split_date_entries(pages: DataFrame, years: DataFrame) -> DataFrame:
@@ -108,20 +109,20 @@ def split_date_entries(pages: DataFrame, years: DataFrame) -> DataFrame:
     pages of its run.  flags are footnotes_excluded, if a page it is on had any, and page_gap, if
     it ends where a page is missing.  A null text is empty.
     """
-    text, noted = body(F.coalesce("text", F.lit("")))
-    marked = F.split(F.regexp_replace(text, LABEL, "\x01$1\x02"), "\x01", -1)
-    split = pages.select("document_id", "pdf_page", "method", marked.alias("pieces"), noted.alias("noted"))
+    marked = F.split(F.regexp_replace("text", LABEL, "\x01$1\x02"), "\x01", -1)
+    # texts are cut into pieces once; what says where they go, labels with it, is a small part of them
+    split = cut(bodies(pages.select("document_id", "pdf_page", "method", "text")).select("document_id", "pdf_page", "method", marked.alias("pieces"), "noted"))
+    told = F.transform(F.slice("pieces", F.lit(2), F.size("pieces")), lambda p: F.substring_index(p, "\x02", 1))
     along = Window.partitionBy("document_id", "run").orderBy("pdf_page")
-    counts = runs(pages, years).join(split.select("document_id", "pdf_page", (F.size("pieces") - 1).alias("labels")), ["document_id", "pdf_page"])
-    placed = counts.select("*", (F.sum("labels").over(along) - F.col("labels")).alias("before"), F.lead("pdf_page").over(along).isNull().alias("last"))
-    each = split.join(placed, ["document_id", "pdf_page"]).select("document_id", "run", "year", "pdf_page", "method", "noted", (F.col("last") & F.col("gap")).alias("cut"), "before", "labels", F.posexplode("pieces").alias("at", "piece"))
+    counts = runs(split.select("document_id", "pdf_page", told.alias("told")), years).withColumn("labels", F.size("told"))
+    placed = cut(counts.select("document_id", "pdf_page", "run", "year", "told", "labels", (F.sum("labels").over(along) - F.col("labels")).alias("before"), (F.lead("pdf_page").over(along).isNull() & F.col("gap")).alias("cut")))
+    each = split.hint("merge").join(placed.drop("year", "told"), ["document_id", "pdf_page"]).select("document_id", "run", "pdf_page", "method", "noted", "cut", "before", "labels", F.posexplode("pieces").alias("at", "piece"))
     named = each.withColumn("n", F.col("before") + F.col("at")).where("n > 0")
     label = F.when(F.col("at") > 0, F.substring_index("piece", "\x02", 1))
     rest = F.regexp_replace(F.when(F.col("at") > 0, F.substring_index("piece", "\x02", -1)).otherwise(F.col("piece")), _STRIP, "")
-    part = named.select("document_id", "run", "year", "n", "pdf_page", "method", "noted", label.alias("label"), rest.alias("rest"), (F.col("cut") & (F.col("at") == F.col("labels"))).alias("cut"), (F.col("at") > 0).alias("begins"))
+    part = named.select("document_id", "run", "n", "pdf_page", "method", "noted", label.alias("label"), rest.alias("rest"), (F.col("cut") & (F.col("at") == F.col("labels"))).alias("cut"), (F.col("at") > 0).alias("begins"))
     said = (F.col("rest") != "") | F.col("begins")
     grouped = part.groupBy("document_id", "run", "n").agg(
-        F.min("year").alias("year"),
         F.max("label").alias("label"),
         F.array_sort(F.collect_list(F.struct("pdf_page", "rest"))).alias("parts"),
         F.array_sort(F.collect_set(F.when(said, F.col("pdf_page")))).alias("pages"),
@@ -129,7 +130,7 @@ def split_date_entries(pages: DataFrame, years: DataFrame) -> DataFrame:
         F.array_compact(F.array(F.when(F.max("noted"), "footnotes_excluded"), F.when(F.max("cut"), "page_gap"))).alias("flags"),
     )
     whole = F.array_join(F.filter(F.concat(F.array("label"), F.transform("parts", lambda p: p["rest"])), lambda x: x != ""), "\n")
-    entries = grouped.select("document_id", "run", "n", "year", "label", whole.alias("text"), "pages", "methods", "flags")
-    dated = resolved(entries.select("document_id", "run", "n", "label", "year")).select("document_id", "run", "n", "date")
-    number = dated.select("document_id", "run", "n", "date", F.row_number().over(Window.partitionBy("document_id").orderBy("run", "n")).alias("entry"))
-    return entries.join(number, ["document_id", "run", "n"]).select("document_id", "entry", "label", "date", "text", "pages", "methods", "flags")
+    entries = grouped.select("document_id", "run", "n", "label", whole.alias("text"), "pages", "methods", "flags")
+    labels = placed.select("document_id", "run", "year", "before", F.posexplode("told").alias("at", "label")).select("document_id", "run", (F.col("before") + F.col("at") + 1).alias("n"), "label", "year")
+    number = resolved(labels).select("document_id", "run", "n", "date", F.row_number().over(Window.partitionBy("document_id").orderBy("run", "n")).alias("entry"))
+    return entries.hint("merge").join(number, ["document_id", "run", "n"]).select("document_id", "entry", "label", "date", "text", "pages", "methods", "flags")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidencelake.operators import joint, segments
+from evidencelake.operators.lineage import cut
 from evidencelake.plans.tables import table
 
 QUERIES: dict = {}
@@ -45,7 +46,8 @@ def e6_split_date_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(key % 5 != 4, F.concat(F.lit("\n　"), word, F.lit(" 又"), key.cast("string"))).otherwise("")
     last = F.when(key % 4 == 0, F.concat(F.lit("\n次日 再"), key.cast("string"))).otherwise("")
     note = F.when(key % 3 == 0, "\n[1] 某人，1954年在任。\n同日 注文").otherwise("")
-    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), (F.row_number().over(along) + gaps).alias("pdf_page"), F.concat(F.lit("12\n续"), key.cast("string"), dated, more, last, note).alias("text"), F.lit("ocr").alias("method"), F.year(day).alias("year"))
+    placed = cut(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), (F.row_number().over(along) + gaps).alias("pdf_page"), "o_orderkey", "o_orderdate"))
+    pages = placed.select("document_id", "pdf_page", F.concat(F.lit("12\n续"), key.cast("string"), dated, more, last, note).alias("text"), F.lit("ocr").alias("method"), F.year(day).alias("year"))
     found = segments.split_date_entries(pages, pages)
     return found.select("document_id", F.col("entry").cast("long").alias("entry"), F.col("date.start.value").alias("start_value"), F.regexp_replace("text", r"\s+", "").alias("body"), F.size("pages").cast("long").alias("pages"), F.array_join("flags", ",").alias("flags"))
 

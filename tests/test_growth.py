@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidencelake.operators import keyword, pages, positions, resolve, stored, vector
+from evidencelake.functions import dates
+from evidencelake.operators import keyword, pages, positions, resolve, segments, stored, vector
 from evidencelake.operators.best import Best
 from evidencelake.plans import answers, retrieval
 
@@ -149,3 +150,20 @@ def test_canonical_candidates_send_no_events_to_the_driver(spark):
     plan = answers.m14_canonical_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert plan.count("Scan parquet") == 2  # events and facts: candidates are not worked out again
+
+
+def test_pages_are_cut_into_pieces_once_and_dates_read_once(spark):
+    rows = [(1, 1, "1月2日 甲\n同日 乙\n[1] 注", "ocr", 1950), (1, 2, "丙\n1月2日 丁", "ocr", 1950), (1, 4, "次日 戊", "ocr", 1950), (1, 5, None, "ocr", None)]
+    pages = spark.createDataFrame(rows, "document_id long, pdf_page long, text string, method string, year int")
+    found = segments.split_date_entries(pages, pages)
+    got = [(r["entry"], r["date"]["start"]["value"], r["text"], r["pages"], r["flags"]) for r in found.orderBy("entry").collect()]
+    assert got == [
+        (1, "1950-01-02", "1月2日\n甲", [1], ["footnotes_excluded"]),
+        (2, "1950-01-02", "同日\n乙\n丙", [1, 2], ["footnotes_excluded"]),
+        (3, "1950-01-02", "1月2日\n丁", [2], ["page_gap"]),
+        (4, "1950", "次日\n戊", [4], []),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert segments.FOOTNOTE[:12] not in plan and plan.count("_parsed(") <= 2, plan
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dates._known("1月2日", 1950) is dates._known("1月2日", 1950)
