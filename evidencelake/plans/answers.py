@@ -81,7 +81,7 @@ def m14_canonical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_totalprice") > 100000, "confirmed").otherwise("unreviewed").alias("review_status"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence"), F.when(F.col("o_orderkey") % 3 != 0, "exact").otherwise("inferred").alias("certainty"))
     named = events.withColumns({"name": F.col("description"), "end_value": F.lit(None).cast("string"), "precision": F.when(F.length("start_value") == 10, "day").otherwise("month")})
     members = groups.select("component", F.col("node").alias("event_id")).hint("merge").join(named, "event_id").hint("merge").join(facts, "event_id")
-    found = resolve.canonical_candidates(members, pairs.join(groups.select(F.col("node").alias("a"), "component"), "a"), "v1")
+    found = resolve.canonical_candidates(members, pairs.hint("merge").join(groups.select(F.col("node").alias("a"), "component"), "a"), "v1")
     return found.select("component", "members", "candidate_kind", "review_status", "representative_id", "event_type", F.array_join(F.array_sort("organizations"), ",").alias("organizations"), "confidence")
 
 

@@ -2,11 +2,12 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import dates
-from evidencelake.operators import joint, keyword, pages, positions, resolve, segments, stored, vector
+from evidencelake.operators import joint, keyword, meeting, pages, positions, resolve, segments, stored, vector
 from evidencelake.operators.best import Best
 from evidencelake.plans import answers, retrieval
 
@@ -146,6 +147,39 @@ def test_month_pairs_lose_no_candidate_and_send_no_texts_to_the_driver(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_a_month_leave_their_task_only_as_candidates(spark, monkeypatch):
+    # one day and month of many like events, cut into pieces
+    rows = [(i, "1950-01-02" if i % 4 else "1950-01", "visit", f"abcdefgh{i % 10}{i % 7}" if i % 11 else None, [str(i % 3), str(i % 2)], ["o"], "here", [str(i % 5)], [str(i % 5)]) for i in range(90)]
+    events = spark.createDataFrame(rows, "event_id long, start_value string, event_type string, description string, people array<string>, organizations array<string>, location string, documents array<string>, subjects array<string>")
+    whole = resolve.month_pairs(events)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # events are shuffled, pairs are not
+    wanted = sorted(map(str, resolve.candidates(whole).collect()))
+    monkeypatch.setattr(resolve, "PIECE", 7)
+    assert sorted(map(str, resolve.candidates(resolve.month_pairs(events)).collect())) == wanted and len(wanted) > 300
+    # a text that is not known has no likeness, and as in SQL the score is the largest
+    assert {(r["containment"], r["jaccard"], r["score"]) for r in whole.where("a % 11 = 0 OR b % 11 = 0").collect()} == {(0.0, None, 1.0), (None, None, 1.0)}
+
+
+def test_common_codes_of_strips_are_those_of_sets(monkeypatch):
+    random = np.random.default_rng(4)
+    held = [set(random.integers(0, 40, int(n)).tolist()) | ({1} if n % 2 else set()) for n in random.integers(0, 9, 60)]
+    row, code = np.array([(r, c) for r, s in enumerate(held) for c in s]).T
+    some = meeting.Sets(row, code, 60, 40)
+    for cheaper in (0, 5, 10**9):  # lists alone, both, products alone
+        monkeypatch.setattr(meeting, "CHEAPER", cheaper)
+        for low, middle, right, high in ((0, 60, 0, 60), (0, 25, 25, 60)):
+            both = meeting.Meeting(some, low, middle, right, high)
+            assert both.counts(low + 3, low + 20, right + 5).tolist() == [[len(held[r] & held[c]) for c in range(right + 5, high)] for r in range(low + 3, low + 20)]
+    x, y = random.integers(0, 60, 500), random.integers(0, 60, 500)
+    for table in (0, meeting.TABLE):
+        monkeypatch.setattr(meeting, "TABLE", table)
+        assert meeting.Sets(row, code, 60, 40).common(x, some, y).tolist() == [len(held[r] & held[c]) for r, c in zip(x, y, strict=True)]
+        assert some.common(x, meeting.Sets(row, code, 60, 40), y).tolist() == [len(held[r] & held[c]) for r, c in zip(x, y, strict=True)]
+    grams = meeting.character_pairs(pa.array(["abab", "", None, "x", "yxab"]))
+    assert grams.size.tolist() == [2, 0, 0, 1, 3] and grams.common(np.array([0, 3]), grams, np.array([4, 4])).tolist() == [1, 0]
+
+
 def test_canonical_candidates_send_no_events_to_the_driver(spark):
     plan = answers.m14_canonical_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
