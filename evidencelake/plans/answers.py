@@ -60,7 +60,7 @@ WITH {MONTHLY} SELECT a, b, relation, containment, jaccard, CAST(shared AS INT)
 WHERE {CANDIDATES}""")
 def m7_month_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates among all events of each month, with every relation of dates and people."""
-    return resolve.candidates(resolve.month_pairs(_monthly(spark, sf_dir)))
+    return resolve.candidates(resolve.month_pairs(_monthly(spark, sf_dir))).drop("month")
 
 
 @query(f"""
@@ -77,7 +77,7 @@ def m14_canonical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events of the groups that the candidates of whole months make."""
     events = _monthly(spark, sf_dir)
     pairs = cut(resolve.candidates(resolve.month_pairs(events)))
-    groups = resolve.components(pairs.select("a", "b"))
+    groups = cut(resolve.components_within(pairs, "month"))
     facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_totalprice") > 100000, "confirmed").otherwise("unreviewed").alias("review_status"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence"), F.when(F.col("o_orderkey") % 3 != 0, "exact").otherwise("inferred").alias("certainty"))
     named = events.withColumns({"name": F.col("description"), "end_value": F.lit(None).cast("string"), "precision": F.when(F.length("start_value") == 10, "day").otherwise("month")})
     members = groups.select("component", F.col("node").alias("event_id")).hint("merge").join(named, "event_id").hint("merge").join(facts, "event_id")

@@ -180,6 +180,38 @@ def test_common_codes_of_strips_are_those_of_sets(monkeypatch):
     assert grams.size.tolist() == [2, 0, 0, 1, 3] and grams.common(np.array([0, 3]), grams, np.array([4, 4])).tolist() == [1, 0]
 
 
+def test_components_of_blocks_take_no_rounds(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    rows = [(f"m{i % 3}", int(x) * 3 + i % 3, int(y) * 3 + i % 3) for i, (x, y) in enumerate(random.integers(0, 60, (90, 2))) if x < y] + [("long", i, i + 3) for i in range(1000, 1300, 3)] + [("turn", 2000 - i, 1999 - i) for i in range(50)]
+    pairs = spark.createDataFrame(rows, "month string, a long, b long").repartition(3)
+    asked = []
+    monkeypatch.setattr(resolve, "cut", lambda df: asked.append(df) or df)
+    found = resolve.components_within(pairs, "month")
+    least = {n: n for _, a, b in rows for n in (a, b)}
+    for _ in least:
+        for _, a, b in rows:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {(r["node"], r["component"]) for r in found.collect()} == set(least.items()) and found.count() == len(least)
+    assert not asked and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    # in more than one go
+    monkeypatch.setattr(resolve, "LINKS", 7)
+    linked = resolve._Linked()
+    for i in range(0, len(rows), 5):
+        linked.add(*np.array([r[1:] for r in rows[i : i + 5]]).T)
+    node, first = linked.settle()
+    assert dict(zip(node.tolist(), first.tolist(), strict=True)) == least
+
+
+def test_canonical_candidates_are_made_in_few_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("canonical", "")
+    try:
+        answers.m14_canonical_candidates(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(tracker.getJobIdsForGroup("canonical")) <= 12
+
+
 def test_canonical_candidates_send_no_events_to_the_driver(spark):
     plan = answers.m14_canonical_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
