@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def first_ranks(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     """query_id, first (rank of the first relevant hit, null if none) and reciprocal of each query in ``relevant`` (query_id, id)."""
-    found = hits.join(relevant.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    return relevant.select("query_id").distinct().join(found, "query_id", "left").withColumn("reciprocal", F.coalesce(1.0 / F.col("first"), F.lit(0.0)))
+    found = relevant.select("query_id", "id").join(hits.select("query_id", "id", "rank"), ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    return found.withColumn("reciprocal", F.coalesce(1.0 / F.col("first"), F.lit(0.0)))
 
 
 def at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import text as T
 from evidencelake.operators import corpus, evaluation, resolve, sessions
 from evidencelake.operators import research as R
+from evidencelake.operators.holding import holding
 from evidencelake.plans.retrieval import BRANCHES, PAGES, _by_vector, _by_words
 from evidencelake.plans.tables import pages as page_table
 from evidencelake.plans.tables import source_events, table
@@ -332,15 +333,10 @@ def g1_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id) of items whose text a document holds: candidates share the item's first letters at a word, then all of it."""
-    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.ranked_terms("text").alias("w"), T.comparable("text").alias("quote"))
-    key = lambda a, b: F.concat_ws(" ", a, b)
-    asked = item.where(F.size("w") >= 4).select("query_id", "quote", key(F.col("w")[1], F.col("w")[2]).alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.ranked_terms("text").alias("w"), T.comparable("text").alias("page"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    keyed = docs.where(F.size("w") >= 4).select("doc_id", F.explode(F.array_distinct(pairs)).alias("key"))
-    met = keyed.join(asked, "key").join(docs.select("doc_id", "page"), "doc_id").where(F.contains("page", F.col("quote")))
-    return met.select("query_id", F.col("doc_id").alias("id")).distinct()
+    """(query_id, id) of items whose letters and digits a document holds in one run, wherever their words begin."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.comparable("text").alias("quote"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.comparable("text").alias("page"))
+    return holding(docs, items).distinct()
 
 
 @query(f"""

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import dates
-from evidencelake.operators import joint, keyword, meeting, pages, positions, resolve, segments, stored, vector
+from evidencelake.operators import holding, joint, keyword, meeting, pages, positions, resolve, segments, stored, vector
 from evidencelake.operators.best import Best
-from evidencelake.plans import answers, retrieval
+from evidencelake.plans import answers, research, retrieval
 
 
 def written(spark, folder, name, rows, schema):
@@ -251,3 +251,28 @@ def test_people_of_an_action_meet_in_its_row(spark):
     assert got == sorted(wanted, key=lambda r: (r[:2], r[3])) and found.columns == ["event_id", "action", "basis", "method", "clause", "first", "first_role", "second", "second_role"]
     # people are named by one join, and texts are in no other
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_quotes_are_found_wherever_words_begin(spark, tmp_path, monkeypatch):
+    texts = ["The quick-brown fox, it jumps", "the quickbrown FOX it jumps over", "one two three", "ab", "a b", None, "", "...", "国务院副总理，在会上", "one two three four five six seven eight nine ten eleven twelve thirteen", "aaaaaaaaab", "b"]
+    asked = ["quick brown fox it jumps", "two three", "a", "ab", "a-b", None, "", "...", "务院副", "副总理在会", "three four five six seven eight nine ten eleven twelve", "aaab", "two three", "not there at all", "onetwothree"]
+    folder = written(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    written(spark, tmp_path, "benchmark", list(enumerate(asked)), "item_id long, text string")
+    written(spark, tmp_path, "embeddings", [(0, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")
+    plain = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    wanted = {(q, d) for q, a in enumerate(asked) for d, t in enumerate(texts) if a is not None and t is not None and plain(a) in plain(t)}
+    for block, part in ((holding.BLOCK, holding.SLICE), (40, 12)):
+        monkeypatch.setattr(holding, "BLOCK", block)
+        monkeypatch.setattr(holding, "SLICE", part)
+        assert sorted(map(tuple, research.g11_quote_matches(spark, folder).collect())) == sorted(wanted)
+    got = sorted((tuple(r) for r in research.g1_recall_mrr(spark, folder).collect()), key=str)
+    assert got == sorted(by_sql(folder, research.ORACLE_SQL["g1_recall_mrr"], "documents", "benchmark", "embeddings"), key=str)
+
+
+def test_quotes_of_every_length_are_met():
+    random = np.random.default_rng(8)
+    pages = ["".join(random.choice(list("abcde"), int(n))) for n in random.integers(0, 400, 40)]
+    quotes = list(dict.fromkeys([p[i : i + n] for p in pages for i, n in zip(random.integers(0, 300, 12).tolist(), random.integers(0, 70, 12).tolist(), strict=True)] + ["".join(random.choice(list("abcdef"), n)) for n in range(70)]))
+    page, quote = holding.Quotes(quotes).held(pages)
+    found = list(zip(page.tolist(), quote.tolist(), strict=True))
+    assert len(set(found)) == len(found) and set(found) == {(p, q) for p, text in enumerate(pages) for q, part in enumerate(quotes) if part in text}
